@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, decontaminate, media, quality
+from marketlens.llm import bpe, decontaminate, media, quality, simhash
 from marketlens.llm.common import residue, table
 
 
@@ -16,6 +16,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stream_digest(table(spark, sf_dir, "documents")).select("doc_id", "stream.*")
 
@@ -43,6 +47,6 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_media": op3_media, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_decontaminate": op6_decontaminate}
+QUERIES = {"op2_simhash": op2_simhash, "op3_media": op3_media, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_decontaminate": op6_decontaminate}
 
 SQL: dict[str, str] = {}
