@@ -22,14 +22,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return named or "/tmp/checkpoints"
 
 
-def stored(df: DataFrame, label: str = "step") -> DataFrame:
+def stored(df: DataFrame, label: str = "step", by: str | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared scratch folder and read it back.
 
     Cuts the lineage: whatever is lost later is read again from shared storage.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
