@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, decontaminate, media, quality, simhash, suffixes
+from marketlens.llm import bpe, decontaminate, lm, media, quality, simhash, suffixes
 from marketlens.llm.common import residue, table
 
 
@@ -47,10 +47,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True).select("doc_id", "dedup.*")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_media": op3_media, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_decontaminate": op6_decontaminate, "op9_suffix_dedup": op9_suffix_dedup}
+QUERIES = {"op2_simhash": op2_simhash, "op3_media": op3_media, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_decontaminate": op6_decontaminate, "op7_lm": op7_lm, "op9_suffix_dedup": op9_suffix_dedup}
 
 SQL: dict[str, str] = {}
