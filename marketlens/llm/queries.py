@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, decontaminate, lm, media, quality, simhash, suffixes
+from marketlens.llm import bpe, chat, decontaminate, lm, media, quality, simhash, suffixes, urls, warc
 from marketlens.llm.common import residue, table
 
 
@@ -16,6 +16,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: host/path rules of the URL query.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,10 +59,43 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), vocabulary())
 
 
+#: The tool that a user turn calls in op8, and the arguments it takes.
+REPLY = [chat.Field("prompt", "string", least=1, most=600), chat.Field("turn", "integer", least=0)]
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as calls of one tool, assistant turns as results of the turn before; a call follows the user turn two before."""
+    rows = table(spark, sf_dir, "conversations")
+    name = lambda back: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
+    calls = rows.where(F.col("role") == "user").select(
+        name(0).alias("id"), F.col("turn").alias("seq"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), F.when(F.col("turn") >= 2, name(2)).alias("after")
+    )
+    results = rows.where(F.col("role") == "assistant").select(name(1).alias("id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    return chat.link(calls, results, {"reply": REPLY})
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True).select("doc_id", "dedup.*")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_media": op3_media, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_decontaminate": op6_decontaminate, "op7_lm": op7_lm, "op9_suffix_dedup": op9_suffix_dedup}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of all pages against a replica in which the first byte of each 97th page's body is damaged."""
+    pages = table(spark, sf_dir, "pages")
+    damaged = F.when((F.col("page_id") % 97 == 13) & (F.length("html") > 0), F.concat(F.lit("~"), F.substring("html", 2, 2147483647))).otherwise(F.col("html"))
+    return warc.audit(pages, pages.withColumn("html", damaged))
+
+
+QUERIES = {
+    "op1_urls": op1_urls,
+    "op2_simhash": op2_simhash,
+    "op3_media": op3_media,
+    "op4_quality": op4_quality,
+    "op5_bpe": op5_bpe,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_lm": op7_lm,
+    "op8_chat": op8_chat,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_warc": op10_warc,
+}
 
 SQL: dict[str, str] = {}
