@@ -134,12 +134,12 @@ def day_count(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    """Three decimals of the binary value, ties upward."""
-    return F.coalesce(F.concat(F.format_number((c * 100).cast("decimal(38,20)").cast("decimal(30,15)").cast("double"), "0.000"), F.lit("%")), F.lit(DASH))
+    """Three decimals of the binary value."""
+    return F.coalesce(F.concat(F.call_function("format_number", c * 100, F.lit("0.000")), F.lit("%")), F.lit(DASH))
 
 
 def amount_text(c: Column) -> Column:
-    return F.coalesce(F.format_number(c, "#,##0.##"), F.lit(""))
+    return F.coalesce(F.call_function("format_number", c, F.lit("#,##0.##")), F.lit(""))
 
 
 def line_list(lines: Column, most: int = 8) -> Column:

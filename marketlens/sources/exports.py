@@ -93,9 +93,9 @@ def split(text: str, delimiter: str) -> tuple[list[tuple[int, list[str], bool]],
     return records, None
 
 
-def _file_rows(name: str, content: bytes | str | None, length: int | None = None) -> Iterator[tuple]:
-    if content is None or (length or 0) > MAX_BYTES:
-        yield name, None, None, None, None, None, None, "file is larger than the limit" if content is None else None
+def _file_rows(name: str, content: bytes | str | None) -> Iterator[tuple]:
+    if content is None:
+        yield name, None, None, None, None, None, None, "file is larger than the limit"
         return
     text, encoding = (content, None) if isinstance(content, str) else decode(content)
     text = text.removeprefix("﻿")
