@@ -98,4 +98,42 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '')"
+
+_OP6 = f"""WITH D AS (SELECT doc_id, {_WORDS} w FROM documents), I AS (SELECT CAST(item_id AS VARCHAR) item, {_WORDS} w FROM benchmark WHERE item_id IS NOT NULL),
+B AS (SELECT DISTINCT item, least(len(w), 13) n, array_to_string(w[i:i + 12], ' ') t FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) i FROM I WHERE len(w) > 0)),
+X AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) i FROM D, (SELECT DISTINCT n FROM B) WHERE len(w) >= n)),
+H AS (SELECT doc_id, item, i, n FROM X JOIN B USING (n, t)),
+W AS (SELECT doc_id, count(DISTINCT k) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) k FROM H) GROUP BY 1),
+T AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT doc_id, item FROM H) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated
+FROM D LEFT JOIN W USING (doc_id) LEFT JOIN T USING (doc_id)"""
+
+_OP8 = """WITH RECURSIVE K AS (SELECT 'c' || conv_id || '-' || turn id, turn, text, CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS after FROM conversations WHERE role = 'user'),
+R AS (SELECT 'c' || conv_id || '-' || (turn - 1) id, turn, text FROM conversations WHERE role = 'assistant'),
+F AS (SELECT id, count(*) n_results, arg_min(text, (turn, text)) content FROM R GROUP BY 1),
+V(id, level) AS (SELECT id, CAST(0 AS BIGINT) FROM K WHERE after IS NULL OR after NOT IN (SELECT id FROM K) UNION ALL SELECT K.id, V.level + 1 FROM K JOIN V ON K.after = V.id)
+SELECT 'call' kind, K.id, turn seq, level, coalesce(n_results, 0) n_results,
+ concat_ws('; ', CASE WHEN length(text) < 1 THEN 'prompt: below 1' WHEN length(text) > 600 THEN 'prompt: above 600' END, CASE WHEN after IS NOT NULL AND after NOT IN (SELECT id FROM K) THEN 'depends on an unknown call' END) errors,
+ '{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(K.id) || ',"level":' || level || ',"name":"reply","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' line
+FROM K JOIN V ON K.id = V.id LEFT JOIN F ON K.id = F.id
+UNION ALL SELECT 'orphan', id, turn, NULL, 1, 'no call', '{"id":' || to_json(id) || ',"result":' || to_json(text) || '}' FROM R WHERE id NOT IN (SELECT id FROM K)"""
+
+_OP9 = """WITH D AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) h, strlen(coalesce(text, '')) n FROM documents),
+C AS (SELECT doc_id, n, c, h[1024 * c + 1:1024 * c + 1422] x FROM (SELECT doc_id, h, n, unnest(range(0, (n + 511) // 512)) c FROM D WHERE n >= 200)),
+P AS (SELECT doc_id, 512 * c + j p, md5_number(x[2 * j + 1:2 * j + 400]) k FROM (SELECT doc_id, c, x, unnest(range(0, least(512, n - 199 - 512 * c))) j FROM C)),
+M AS (SELECT doc_id, p FROM P WHERE k IN (SELECT k FROM P GROUP BY 1 HAVING count(*) > 1)),
+S AS (SELECT doc_id, min(p) a, max(p) + 200 b FROM (SELECT doc_id, p, sum(o) OVER (PARTITION BY doc_id ORDER BY p) g FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 200 THEN 1 ELSE 0 END o FROM M)) GROUP BY doc_id, g),
+E AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) f, a t FROM S UNION ALL SELECT doc_id, max(b), NULL FROM S GROUP BY 1),
+K AS (SELECT doc_id, string_agg(h[2 * f + 1:2 * coalesce(t, n)], '' ORDER BY f) kept FROM E JOIN D USING (doc_id) GROUP BY 1),
+N AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) n_removed, count(*) n_spans FROM S GROUP BY 1)
+SELECT doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256 FROM D LEFT JOIN K USING (doc_id) LEFT JOIN N USING (doc_id)"""
+
+_OP10 = f"""WITH R AS (SELECT page_id, html, 'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || e ||
+ 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e record FROM pages, (SELECT chr(13) || chr(10) e)),
+Q AS (SELECT *, strlen(record) length, sha256(record) digest, row_number() OVER (ORDER BY page_id NULLS FIRST, sha256(record)) - 1 place FROM R)
+SELECT page_id, place // {warc.RECORDS} file_no, place % {warc.RECORDS} record_no, CAST(coalesce(sum(length) OVER (PARTITION BY place // {warc.RECORDS} ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, length, digest,
+ NOT coalesce(page_id % 97 = 13 AND length(html) > 0, false) intact FROM Q"""
+
+#: SQL for the queries that SQL can express; the others are tested against plain versions in tests/llm.
+SQL: dict[str, str] = {"op6_decontaminate": _OP6, "op8_chat": _OP8, "op9_suffix_dedup": _OP9, "op10_warc": _OP10}
