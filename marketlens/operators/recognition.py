@@ -192,3 +192,106 @@ def kickout_rivals(codes: DataFrame) -> DataFrame:
     cut = cut.withColumn("rest", F.concat(F.expr("substring(code, 1, place - 1)"), F.lit("?"), F.expr("substring(code, place + 1)"))).withColumn("letter", F.expr("substring(code, place, 1)"))
     other = cut.select("rest", "place", F.col("letter").alias("rival"))
     return cut.join(other, ["rest", "place"]).where("letter <> rival").select("code", "place", "rival")
+
+
+# Status pairs that differ by one glyph, header thresholds, hole counts of the digits.
+CLOSE_CODES = [("CTGA", "CTGO"), ("HS", "HC"), ("PS", "PC"), ("ACTV", "AUCT"), ("PEND", "PCHG"), ("CANC", "CTG"), ("HS", "SS"), ("PS", "SS"), ("HC", "SS"), ("PC", "SS")]
+CLOSE_MARGIN = 0.10
+HEADER_ROWS, HEADER_LABELS_MIN, HEADER_ANCHORS_MIN = 6, 4, 2
+HEADER_ANCHORS = ["status", "list", "sold", "mls"]
+DIGIT_HOLES = {0: 1, 4: 1, 6: 1, 8: 2, 9: 1}
+MLS_DIGITS, MLS_SHARE, WORD_ASPECT = 8, 0.6, 0.25
+
+
+def _among(a: Column, b: Column, pairs) -> Column:
+    hit = F.lit(False)
+    for x, y in pairs:
+        hit = hit | ((a == x) & (b == y)) | ((a == y) & (b == x))
+    return hit
+
+
+def required_margin(top: Column, second: Column) -> Column:
+    """The margin that a status reading needs: wider for codes that differ by one glyph."""
+    return F.when(_among(top, second, CLOSE_CODES), CLOSE_MARGIN).otherwise(VOTE_MARGIN)
+
+
+def digit_ambiguity(top: Column, second: Column, score: Column, margin: Column, holes: Column, upper: Column, lower: Column) -> Column:
+    """As :func:`ambiguity` for digits, with holes as extra evidence and the balance of 8 and 9.
+
+    A confusable pair needs less where the holes fit the first digit and not the second, and much more where an 8
+    is top-heavy or a 9 is not.
+    """
+    own = F.create_map(*[F.lit(x) for d in range(10) for x in (d, DIGIT_HOLES.get(d, 0))])
+    first, other = F.element_at(own, top.cast("int")), F.element_at(own, second.cast("int"))
+    need = F.when((first != other) & (holes == first), MIN_MARGIN).otherwise(PAIR_MARGIN)
+    balance = F.when(lower > 0.001, upper / lower).otherwise(10.0)
+    wrong = ((top == 8) & (second == 9) & (balance > 1.15)) | ((top == 9) & (second == 8) & (balance < 1.15))
+    need = F.when(wrong, F.greatest(need, F.lit(0.20))).otherwise(need)
+    return F.when(score < MIN_SCORE, "score").when(margin < MIN_MARGIN, "margin").when(_among(top, second, CONFUSABLE) & (margin < need), "confusable")
+
+
+def colour_distance(a: Column, b: Column) -> Column:
+    """Euclidean distance of two colours (arrays of red, green, blue)."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def colour_hex(c: Column) -> Column:
+    return F.concat(F.lit("#"), F.array_join(F.transform(c, lambda x: F.lower(F.lpad(F.hex(F.round(x).cast("long")), 2, "0"))), ""))
+
+
+def aspect_agreement(a: Column, b: Column) -> Column:
+    """1 for equal shapes, 0 from a factor of two on."""
+    return F.when((a > 0) & (b > 0), F.greatest(F.lit(0.0), 1 - F.abs(F.log2(a / b)))).otherwise(0.0)
+
+
+def word_score(shape: Column, aspect: Column) -> Column:
+    return (1 - WORD_ASPECT) * shape + WORD_ASPECT * aspect
+
+
+def to_decimal(digits: Column, fraction: Column) -> Column:
+    """A digit string with its last ``fraction`` digits behind the point; null without whole digits."""
+    whole = F.substring(digits, F.lit(1), F.length(digits) - fraction)
+    return F.when(F.length(whole) > 0, F.concat(whole, F.when(fraction > 0, F.concat(F.lit("."), F.right(digits, fraction))).otherwise("")).try_cast("decimal(14,2)"))
+
+
+def index_percentile(hist: DataFrame, value: str, count: str, share: float) -> DataFrame:
+    """The value at place floor(n * share) of the sorted values, from their histogram."""
+    up = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)  # one row per distinct value
+    run = hist.withColumn("upto", F.sum(count).over(up))
+    n = hist.agg(F.sum(count).alias("n_all"))
+    return run.crossJoin(F.broadcast(n)).where(F.col("upto") > F.floor(F.col("n_all") * share)).agg(F.min(value).alias("value"), F.first("n_all").alias("n_all"))
+
+
+def header_row(labels: DataFrame) -> DataFrame:
+    """Per grid the topmost early row with enough labels and anchors (grid, row, label, role)."""
+    g = labels.where(F.col("row") < HEADER_ROWS).groupBy("grid", "row").agg(F.count("*").alias("n_labels"), F.countDistinct(F.when(F.col("role").isin(*HEADER_ANCHORS), F.col("role"))).alias("n_anchors"))
+    return g.where((F.col("n_labels") >= HEADER_LABELS_MIN) & (F.col("n_anchors") >= HEADER_ANCHORS_MIN)).groupBy("grid").agg(F.min("row").alias("row"))
+
+
+def read_tokens(glyphs: DataFrame, by: list[str]) -> DataFrame:
+    """Digit strings of tokens from their glyph rows (place, digit, reason); one refused glyph refuses the token."""
+    g = glyphs.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "digit"))), lambda x: x["digit"].cast("string")), "").alias("digits"), F.max("reason").alias("reason"))
+    return g.withColumn("digits", F.when(F.col("reason").isNull(), F.col("digits")))
+
+
+def mls_column(cells: DataFrame, by: str = "col") -> DataFrame:
+    """Columns whose cells mostly have eight glyphs, by the share that reads cleanly (n_glyphs, clean)."""
+    g = cells.groupBy(by).agg(F.avg((F.col("n_glyphs") == MLS_DIGITS).cast("int")).alias("eight"), F.avg(F.col("clean").cast("int")).alias("clean"))
+    return g.where(F.col("eight") >= MLS_SHARE)
+
+
+def widest_gaps(rows: DataFrame, by: str, start: str, end: str, order: list[str]) -> DataFrame:
+    """Per group the widest gap between one interval's end and the next one's start (a place to split a column)."""
+    gap = F.lead(start).over(W.partitionBy(by).orderBy(start, *order)) - F.col(end)
+    return rows.withColumn("gap", gap).where(F.col("gap") > 0).groupBy(by).agg(F.max(F.struct("gap", (-F.col(end)).alias("minus"))).alias("m")).select(by, F.col("m.gap").alias("gap"), (-F.col("m.minus")).alias("after"))
+
+
+def kickout_read(votes: DataFrame, codes: list[str]) -> DataFrame:
+    """Codes spelt by the best letter at each place (cluster, place, letter, mean), if it is one of ``codes`` and
+    every rival letter is beaten by the wide margin."""
+    best = votes.groupBy("cluster", "place").agg(F.max(F.struct("mean", "letter")).alias("b"))
+    code = best.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "b.letter"))), lambda x: x["letter"]), "").alias("code")).where(F.col("code").isin(*codes))
+    rivals = kickout_rivals(votes.sparkSession.createDataFrame([(c,) for c in codes], "code string"))
+    near = code.join(rivals, "code").join(votes.withColumnRenamed("letter", "rival"), ["cluster", "place", "rival"]).join(best, ["cluster", "place"])
+    beaten = near.where(F.col("b.mean") - F.col("mean") < CLOSE_MARGIN).select("cluster").distinct()
+    return code.join(beaten, "cluster", "left_anti")

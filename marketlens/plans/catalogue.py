@@ -594,3 +594,28 @@ def kickout_rivals(spark, sf_dir):
     from marketlens.functions.vocab import KICKOUT
 
     return recognition.kickout_rivals(spark.createDataFrame([(c,) for c in KICKOUT], "code string"))
+
+
+@query("SELECT CAST(list(q ORDER BY q)[CAST(floor(count(*) * 0.65) AS BIGINT) + 1] AS BIGINT) AS value, count(*) n_all FROM (SELECT CAST(l_quantity AS BIGINT) q FROM lineitem)")
+def index_percentile(spark, sf_dir):
+    hist = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_quantity").cast("bigint").alias("q")).agg(F.count("*").alias("n"))
+    return recognition.index_percentile(hist, "q", "n", 0.65)
+
+
+@query(
+    """WITH E AS (SELECT user_id, event_id, epoch_us(ts) a FROM events), G AS (SELECT user_id, lead(a) OVER (PARTITION BY user_id ORDER BY a, event_id) - a gap, a FROM E)
+SELECT user_id, gap, a AS after FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gap DESC, a) r FROM G WHERE gap > 0) WHERE r = 1"""
+)
+def widest_gap(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("a"))
+    return recognition.widest_gaps(e.withColumn("b", F.col("a")), "user_id", "a", "b", ["event_id"])
+
+
+@query(f"{L}, M AS (SELECT code, count(*) n_rows FROM C WHERE code IS NOT NULL GROUP BY 1) SELECT row_number() OVER (ORDER BY n_rows IS NULL, code) pos, code, vbucket bucket, coalesce(n_rows, 0) n_rows FROM vocab LEFT JOIN M USING (code)")
+def mapping_grid(spark, sf_dir):
+    """The mapping editor's rows: codes that are present first, then by code."""
+    from pyspark.sql import Window as W
+
+    rows = status_table(spark).join(market.present_codes(listings(spark, sf_dir)), "code", "left")
+    pos = F.row_number().over(W.orderBy(F.col("n_rows").isNull(), "code")).cast("bigint")  # a row per vocabulary code
+    return rows.select(pos.alias("pos"), "code", "bucket", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
