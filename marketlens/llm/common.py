@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +14,18 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Texts that travel to a Python worker at once; texts can be long, so far fewer than Spark's default.
+BATCH_ROWS = 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound the Arrow batches of the session by rows, unless it already asks for smaller ones."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; one of our own only where the session names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -71,23 +81,3 @@ def byte_values(column: pa.Array) -> list[bytes]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
-
-
-def slices(batches: Iterator[pa.Array], rows: int = 512) -> Iterator[list[pa.Array]]:
-    """Cut each Arrow batch in runs of ``rows`` rows so that working memory follows the run, not the batch."""
-    for batch in batches:
-        yield [batch.slice(i, rows) for i in range(0, len(batch), rows)]
-
-
-def struct_udf(return_type, one_batch: Callable[[pa.Array], pa.Array], setup: Callable[[], None] | None = None):
-    """An Arrow UDF of one column that maps batch by batch, in slices."""
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if setup:
-            setup()
-        for parts in slices(batches):
-            done = [one_batch(p) for p in parts]
-            yield pa.concat_arrays(done) if done else one_batch(pa.array([], pa.string()))
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, return_type)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import byte_values
+from marketlens.llm.common import byte_values, small_batches
 
 PACKET, SYNC = 188, 0x47
 ROW = 192
@@ -246,9 +246,9 @@ def _stream_udf():
 def to_stream(docs: DataFrame, text: str = "text", out: str = "stream") -> DataFrame:
     """``docs`` with a struct column ``out``: the stored stream, the payload read back from it, and the
     timestamps and packet numbers of its random-access points."""
-    return docs.withColumn(out, _stream_udf()(F.col(f"`{text}`")))
+    return small_batches(docs).withColumn(out, _stream_udf()(F.col(f"`{text}`")))
 
 
 def stream_digest(docs: DataFrame, text: str = "text", out: str = "stream") -> DataFrame:
     """As :func:`to_stream`, but the task keeps only lengths, hashes and the feature string."""
-    return docs.withColumn(out, _digest_udf()(F.col(f"`{text}`")))
+    return small_batches(docs).withColumn(out, _digest_udf()(F.col(f"`{text}`")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import residue
+from marketlens.llm.common import residue, small_batches
 
 BITS = 18
 MASK = (1 << BITS) - 1
@@ -34,7 +34,7 @@ ALPHA, BETA, L1, L2 = 4.0, 1.0, 0.001, 0.0
 THRESHOLD = 0.3
 
 _tokens = re.compile(r"\w+|[^\w\s]+").findall
-_MEMO = 200_000
+_MEMO = 100_000
 
 
 class Hasher:
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     shards = max(1, min(n, max_rows) // SHARD_ROWS)
     # At most about max_rows ids of a few bytes each: small enough to broadcast at any corpus size.
     some = F.broadcast(known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    vectors = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(some, "k").select("k", "label", _vector_udf()("t").alias("v"))
+    vectors = small_batches(docs).select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(some, "k").select("k", "label", _vector_udf()("t").alias("v"))
     each = vectors.groupBy("k").agg(F.min(F.struct("label", "v")).alias("r"))
     dealt = each.select(F.pmod(F.xxhash64("k"), F.lit(shards)).alias("shard"), F.xxhash64(F.col("k"), F.lit(1)).alias("order"), "r.label", "r.v.i", "r.v.x")
     parts = dealt.groupBy("shard").applyInArrow(_fit_shard, "w binary, n bigint").collect()
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a double column ``out``: the probability of label 1 of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, hasher = shared.value, Hasher()

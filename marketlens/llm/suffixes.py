@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import byte_values, discard, release, stored
+from marketlens.llm.common import byte_values, discard, release, small_batches, stored
 from marketlens.llm.segments import LENGTH, segments
 
 #: Batches that a whole table is added in.
 BATCHES = 4
-#: Different segments of a key up to which one task compares them.
-HOT = 2048
+#: Different segments of a key up to which one task compares them (some MB of text, as segments are short).
+HOT = 16384
+#: Rows that a task works on at a time.
+PIECE = 1024
 TEXT = ["t1", "t2"]
 
 
@@ -49,8 +51,8 @@ def suffix_arrays(texts: DataFrame, length: int = LENGTH, batches: int = BATCHES
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in arrow:
-            for at in range(0, whole.num_rows, 2048):
-                part = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, PIECE):
+                part = whole.slice(at, PIECE)
                 found = [segments(t, length) for t in byte_values(part["t"])]
                 n = np.array([len(f[0]) for f in found], np.int64)
                 key, seg, lo, hi = (np.concatenate([f[i] for f in found]) for i in range(4))
@@ -59,7 +61,7 @@ def suffix_arrays(texts: DataFrame, length: int = LENGTH, batches: int = BATCHES
                 columns = [(t1 % batches).astype(np.int32), key, seg, t1, t2, lo.astype(np.int32), hi.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], names=["batch", "key", "seg", "t1", "t2", "lo", "hi"])
 
-    return texts.select("t", "t1", "t2").mapInArrow(run, "batch int, key bigint, seg bigint, t1 bigint, t2 int, lo int, hi int")
+    return small_batches(texts).select("t", "t1", "t2").mapInArrow(run, "batch int, key bigint, seg bigint, t1 bigint, t2 int, lo int, hi int")
 
 
 class LevelFamily:
@@ -94,13 +96,15 @@ def _cut(length: int):
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "hot", "full", "t1", "t2", "lo", "bytes"]
-        for batch in arrow:
-            out: list[tuple] = []
-            for text, t1, t2, rows in zip(byte_values(batch["t"]), batch["t1"].to_pylist(), batch["t2"].to_pylist(), batch["rows"].to_pylist()):
-                out += [(r["key"], r["hot"], r["full"], t1, t2, r["lo"], text[r["lo"] : r["hi"] + length]) for r in rows]
-            kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            columns = list(zip(*out)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+        kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        for whole in arrow:
+            for at in range(0, whole.num_rows, PIECE):
+                batch = whole.slice(at, PIECE)
+                out: list[tuple] = []
+                for text, t1, t2, rows in zip(byte_values(batch["t"]), batch["t1"].to_pylist(), batch["t2"].to_pylist(), batch["rows"].to_pylist()):
+                    out += [(r["key"], r["hot"], r["full"], t1, t2, r["lo"], text[r["lo"] : r["hi"] + length]) for r in rows]
+                columns = list(zip(*out)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
@@ -112,7 +116,7 @@ def _window_hashes(data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     """Hashes of all windows of each string, and how many windows each has."""
     n = np.array([len(d) - length + 1 for d in data], np.int64)
     digest = xxhash.xxh3_64_intdigest
-    return np.array([digest(d[p : p + length]) for d, k in zip(data, n.tolist()) for p in range(k)], np.uint64), n
+    return np.fromiter((digest(d[p : p + length]) for d, k in zip(data, n.tolist()) for p in range(k)), np.uint64, int(n.sum())), n
 
 
 def _compare(length: int):
@@ -120,7 +124,7 @@ def _compare(length: int):
 
     def ranges(t: pa.Table) -> pa.RecordBatch:
         hashes, n = _window_hashes(t["bytes"].to_pylist(), length)
-        row = np.repeat(np.arange(len(n)), n)
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         mixed = hashes * np.uint64(0x9E3779B97F4A7C15) + t["key"].to_numpy().view(np.uint64)[row]
         _, which, count = np.unique(mixed, return_inverse=True, return_counts=True)
         twice = (count[which] > 1) & ~t["full"].to_numpy(zero_copy_only=False)[row]
@@ -145,9 +149,9 @@ def _compare(length: int):
             # The last key may go on in the next batch; it has HOT rows at most.
             keys = t["key"].to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))
-            for at in range(0, cut, 4096):
+            for at in range(0, cut, PIECE):
                 # Pieces end between keys.
-                lo, hi = int(np.searchsorted(keys, keys[at])), cut if at + 4096 >= cut else int(np.searchsorted(keys, keys[at + 4096]))
+                lo, hi = int(np.searchsorted(keys, keys[at])), cut if at + PIECE >= cut else int(np.searchsorted(keys, keys[at + PIECE]))
                 if lo < hi:
                     yield ranges(t.slice(lo, hi - lo))
             rest = t.slice(cut)
@@ -162,8 +166,8 @@ def _spread(length: int):
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in arrow:
-            for at in range(0, whole.num_rows, 1024):
-                t = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, PIECE):
+                t = whole.slice(at, PIECE)
                 hashes, n = _window_hashes(t["bytes"].to_pylist(), length)
                 row = np.repeat(np.arange(len(n)), n)
                 step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -217,13 +221,13 @@ def _keep_udf(digest: bool):
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, ranges in batches:
             out: list[tuple] = []
-            if isinstance(ranges, pa.ChunkedArray):
-                ranges = ranges.combine_chunks()
-            for i, text in enumerate(byte_values(texts)):
+            ends, packed_all = ranges.offsets.to_numpy(), ranges.values.to_numpy()
+            for i in range(len(texts)):
+                text = (texts[i].as_py() or "").encode()
                 removed = spans = 0
                 kept = text
-                if ranges[i].is_valid and len(ranges[i].values):
-                    packed = np.sort(ranges[i].values.to_numpy())
+                if ends[i] < ends[i + 1]:
+                    packed = np.sort(packed_all[ends[i] : ends[i + 1]])
                     a, b = packed >> 32, np.maximum.accumulate(packed & 0xFFFFFFFF)
                     opens = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
                     starts, stops = a[opens], np.append(b[opens[1:] - 1], b[-1])
