@@ -91,11 +91,15 @@ def status_text(c: Column) -> Column:
 
 def status_code(c: Column) -> Column:
     """The vocabulary code of a status text; null if it has none."""
-    s = F.upper(trimmed(c))
-    known = lambda x: x.isin(*STATUS_BUCKET)
-    base = F.regexp_extract(s, rf"\A({'|'.join(KICKOUT)})[0-9]+\z", 1)
-    private = F.regexp_extract(s, r"(?s)\APRIV-(.+)\z", 1)
-    return F.when(known(s), s).when(base != "", base).when(private != "", F.when(known(private), private).otherwise("PRIV"))
+
+    def code(s: Column) -> Column:
+        known = lambda x: x.isin(*STATUS_BUCKET)
+        base = F.regexp_extract(s, rf"\A({'|'.join(KICKOUT)})[0-9]+\z", 1)
+        private = F.regexp_extract(s, r"(?s)\APRIV-(.+)\z", 1)
+        return F.when(known(s), s).when(base != "", base).when(private != "", F.when(known(private), private).otherwise("PRIV"))
+
+    # Through a one-element array, so that trimming is evaluated once and not wherever the text is used.
+    return F.transform(F.array(F.upper(trimmed(c))), code)[0]
 
 
 def _lookup(c: Column, table: dict[str, str]) -> Column:
@@ -104,9 +108,8 @@ def _lookup(c: Column, table: dict[str, str]) -> Column:
 
 def bucket(status: Column, overrides: dict[str, str] | None = None) -> Column:
     """The bucket of a status under the default mapping and a user's overrides; unknown ones are unclassified."""
-    code = status_code(status)
-    found = F.coalesce(_lookup(code, STATUS_BUCKET | (overrides or {})), F.lit("unclassified"))
-    return F.when(found.isin(*BUCKETS), found).otherwise("unclassified")
+    known = {c: b for c, b in (STATUS_BUCKET | (overrides or {})).items() if b in BUCKETS}
+    return F.coalesce(_lookup(status_code(status), known), F.lit("unclassified"))
 
 
 def caution(code: Column) -> Column:
