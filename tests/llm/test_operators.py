@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marketlens.llm import attention, bpe, chat, common, components, decontaminate, lm, media, quality, queries, segments, simhash, suffixes, urls, warc
+from marketlens.llm import attention, bpe, chat, common, components, copies, decontaminate, lm, media, quality, queries, segments, simhash, suffixes, urls, warc
 
 LOWER = {ord(c): c.lower() for c in common.UPPER}
 PASSAGE = " ".join(f"shared{i} word{i * 7 % 13}" for i in range(40))
@@ -415,6 +415,35 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     assert run == {tuple(r) for r in at["bpe encoding"].values()}
 
 
+def plain_similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_pipeline_near_copies(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    texts = [[f"w{x}" for x in rng.integers(0, 3000, int(n))] for n in rng.integers(20, 400, 60)]
+    for base in list(texts):
+        for _ in range(3):
+            changed = list(base)
+            for at in rng.integers(0, len(base), max(1, int(len(base) * rng.uniform(0, 0.06)))):
+                changed[at] = f"new{rng.integers(0, 10**9)}"
+            texts.append(changed)
+    hot = [f"h{x}" for x in rng.integers(0, 3000, 300)]
+    for i in range(60):
+        texts.append([f"own{i}" if rng.random() < 0.012 else w for w in hot])
+    lines = [" ".join(t) for t in texts] + [None, "", " ", "a b", "A  b", "a c", texts[0][0]]
+    near = lambda i, j: plain_similarity(lines[i], lines[j]) >= 0.8
+    found = [(i, j) for i in range(len(lines)) for j in range(i) if near(i, j)]
+    assert sum(plain_similarity(lines[i], lines[j]) < 0.95 for i, j in found) > 50
+    linked = set(found)
+    want = plain_components(range(len(lines)), lambda a, b: (max(a, b), min(a, b)) in linked)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(lines)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for some in (copies.NEXT, 1):
+        monkeypatch.setattr(copies.near_copies, "__defaults__", (some,))
+        assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == set(want.values())
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA + ", lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
