@@ -272,6 +272,21 @@ def test_lm(spark, docs, none):
     assert lm.score(none, queries.vocabulary()).count() == 0
 
 
+def test_lm_trains_on_every_text(spark, monkeypatch):
+    texts = [f"alpha{i} beta{i % 7} gamma" for i in range(40)]
+    fold = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA)
+    seen, plain = [], lm.train
+
+    def spy(texts, name, path, known, rows):
+        seen.extend(r.t for r in texts.collect())
+        return plain(texts, name, path, known, rows)
+
+    monkeypatch.setattr(lm, "train", spy)
+    assert lm.score(fold, queries.vocabulary()).count() == 40
+    held = {t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 == 0}
+    assert sorted(seen) == sorted(set(texts) - held)
+
+
 def test_lm_rare_words_join(spark, docs, monkeypatch):
     a = {(r.doc_id, r.n_tokens): r for r in lm.score(docs, queries.vocabulary()).collect()}
     monkeypatch.setattr(lm, "FREQUENT", 3)
