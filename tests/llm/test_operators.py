@@ -287,6 +287,14 @@ def test_lm_trains_on_every_text(spark, monkeypatch):
     assert sorted(seen) == sorted(set(texts) - held)
 
 
+def test_lm_pieces_use_long_tokens():
+    pieces = lm.Pieces(queries.vocabulary())
+    by_id = {i: w for known in (pieces.inner, pieces.last) for w, i in known.items()}
+    assert max(map(len, by_id.values())) > 4 and len(pieces.split(b"something")) == 1
+    for word in (b"something", b"internationalisation", "naïve日本".encode(), b"x" * 500):
+        assert b"".join(by_id[i] for i in pieces.split(word)) == word
+
+
 def test_lm_rare_words_join(spark, docs, monkeypatch):
     a = {(r.doc_id, r.n_tokens): r for r in lm.score(docs, queries.vocabulary()).collect()}
     monkeypatch.setattr(lm, "FREQUENT", 3)
