@@ -165,7 +165,6 @@ def glyph_vector(image: pd.DataFrame) -> pd.Series:
 def _cluster(grid: pd.DataFrame) -> pd.DataFrame:
     grid = grid.sort_values("cell").reset_index(drop=True)
     medoids: list[int] = []
-    members: list[list[int]] = []
     out = []
     vectors = [np.asarray(v, float) for v in grid["vector"]]
     for i in range(len(grid)):
@@ -180,15 +179,9 @@ def _cluster(grid: pd.DataFrame) -> pd.DataFrame:
                 home = c
                 break
         if home < 0:
+            # The first cell stands for its cluster throughout, as in the reference.
             medoids.append(i)
-            members.append([i])
             home = len(medoids) - 1
-        else:
-            own = members[home]
-            own.append(i)
-            # The medoid is the member closest to all others, among the first few.
-            some = own[:12]
-            medoids[home] = max(some, key=lambda x: sum(ncc(vectors[x], vectors[y]) for y in some))
         out.append(home)
     return pd.DataFrame({"grid": grid["grid"], "cell": grid["cell"], "cluster": out})
 

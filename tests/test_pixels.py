@@ -63,3 +63,19 @@ def test_stream_ingest(spark, tmp_path):
     (src / "b.csv").write_text("Stat,List Price\nACTV,200000\n")
     ingest.ingest(spark, str(src), str(out), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.list_price for r in spark.read.parquet(str(out)).collect()) == [100000, 200000]
+
+
+def test_status_clusters_keep_their_first_cell(spark):
+    # Shapes that turn a little from cell to cell: each is near its neighbours, the last is far from the first.
+    turn = lambda d: [1.0, float(np.cos(np.radians(d))), float(np.sin(np.radians(d))), -1.0 - float(np.cos(np.radians(d)) + np.sin(np.radians(d)))]
+    vectors = [turn(d) for d in range(0, 91, 5)]
+    cells = spark.createDataFrame([("g", i, 10.0, [0.0, 0.0, 0.0], v) for i, v in enumerate(vectors)], "grid string, cell int, width double, colour array<double>, vector array<double>")
+    want, first = [], []
+    for v in vectors:
+        home = next((c for c, m in enumerate(first) if pixels.ncc(np.array(v), np.array(m)) >= pixels.SHAPE_NEVER), -1)
+        if home < 0:
+            first.append(v)
+            home = len(first) - 1
+        want.append(home)
+    assert len(first) > 1
+    assert [r.cluster for r in pixels.status_clusters(cells).orderBy("cell").collect()] == want
