@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import small_batches
+from marketlens.llm.common import slices
 
 SHORT = 128
 #: Words whose merges a task keeps; beyond it the memo starts anew before the next text.
@@ -169,7 +169,7 @@ class _Memo(dict):
 def _udf(path: str, digest: bool):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = WordBpe(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, first, second = [], [], []
             for text in batch:
                 ids, shown = bpe.encode(text.as_py() or "")
@@ -185,9 +185,9 @@ def _udf(path: str, digest: bool):
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "bpe") -> DataFrame:
     """``docs`` with a struct column ``out``: n_tokens, ids (little-endian u32) and the decoded text."""
-    return small_batches(docs).withColumn(out, _udf(path, False)(F.col(f"`{text}`")))
+    return docs.withColumn(out, _udf(path, False)(F.col(f"`{text}`")))
 
 
 def encode_digest(docs: DataFrame, path: str, text: str = "text", out: str = "bpe") -> DataFrame:
     """As :func:`encode`, but the task keeps only the count and the SHA-256 of ids and of the decoded text."""
-    return small_batches(docs).withColumn(out, _udf(path, True)(F.col(f"`{text}`")))
+    return docs.withColumn(out, _udf(path, True)(F.col(f"`{text}`")))

@@ -3,13 +3,15 @@
 Calls and results meet in a hash join on the identifier (results are first reduced to one row per identifier,
 so repeated identifiers never multiply).  Dependencies between calls give topological levels by pointer
 doubling: each round replaces a call's ancestor by that ancestor's ancestor, so a chain of n calls takes log n
-joins.  Arguments are validated against a schema as column expressions on a parsed variant, and every link is
+joins; calls without an ancestor left take no part in further rounds.  Arguments are validated against a schema as column expressions on a parsed variant, and every link is
 serialised as one line of canonical JSON: keys in order, no blanks.
 
 Defined results: a call without a result has none and null in its line; several results of one identifier
 count, the first by sequence and content is used; results without a call come as rows of kind "orphan"; a call
 that depends on an unknown call is a root with an error; calls on a cycle, or behind one, have a null level and
-an error; arguments that are no JSON object are invalid; null identifiers link with nothing.
+an error; arguments that are no JSON object are invalid; null identifiers link with nothing; messages of other roles,
+null ones too, are rows of kind "message"; columns beside those named are dropped, whatever their names; repeated calls
+each have a row; very long texts are kept whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -58,32 +60,40 @@ def errors(arguments: Column, schema: list[Field]) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(id, level, dangling) of each distinct identifier of ``calls`` (id, after); level is null on a cycle."""
+    """(id, level, dangling) of each distinct identifier of ``calls`` (id, after); level is null on a cycle.
+
+    Only calls that still have an ancestor go on to the next round; the others are set aside.
+    """
     nodes = stored(calls.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("after").alias("after")), "nodes")
     known = nodes.select(F.col("id").alias("after"), F.lit(True).alias("known"))
-    joined = nodes.join(known, "after", "left")
-    dangling = F.col("after").isNotNull() & F.col("known").isNull()
-    now = stored(joined.select("id", F.when(F.col("known"), F.col("after")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level"), dangling.alias("dangling")), "levels")
-    n = max(1, nodes.count())
-    for _ in range(n.bit_length() + 1):
-        if not now.where(F.col("up").isNotNull()).head(1):
+    roots = nodes.where(F.col("after").isNull()).select("id", F.lit(None).cast("string").alias("up"), F.lit(0).cast("long").alias("level"), F.lit(False).alias("dangling"))
+    rest = nodes.where(F.col("after").isNotNull()).join(known, "after", "left")
+    up, level = F.when(F.col("known"), F.col("after")), F.when(F.col("known"), 1).otherwise(0).cast("long")
+    rest = stored(rest.select("id", up.alias("up"), level.alias("level"), F.col("known").isNull().alias("dangling")), "levels")
+    done, open_ = roots.unionByName(rest.where(F.col("up").isNull())), rest.where(F.col("up").isNotNull())
+    for _ in range(max(1, nodes.count()).bit_length() + 1):
+        if not open_.head(1):
             break
-        above = now.select(F.col("id").alias("up"), F.col("up").alias("up_"), F.col("level").alias("level_"))
-        now = stored(now.join(above, "up", "left").select("id", F.col("up_").alias("up"), (F.col("level") + F.coalesce("level_", F.lit(0))).alias("level"), "dangling"), "levels")
-    return now.select("id", F.when(F.col("up").isNull(), F.col("level")).alias("level"), "dangling")
+        above = done.unionByName(open_).select(F.col("id").alias("up"), F.col("up").alias("up_"), F.col("level").alias("level_"))
+        step = open_.join(above, "up", "left").select("id", F.col("up_").alias("up"), (F.col("level") + F.coalesce("level_", F.lit(0))).alias("level"), "dangling")
+        step = stored(step, "levels")
+        done, open_ = done.unionByName(step.where(F.col("up").isNull())), step.where(F.col("up").isNotNull())
+    return done.unionByName(open_).select("id", F.when(F.col("up").isNull(), F.col("level")).alias("level"), "dangling")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Field]]) -> DataFrame:
-    """Calls (id, seq, name, arguments, after) with results (id, seq, content) as lines of canonical JSON.
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Field]], messages: DataFrame | None = None) -> DataFrame:
+    """Calls (id, seq, name, arguments, after) with results (id, seq, content) as lines of canonical JSON, and other
+    messages (id, seq, role, content) as lines of their own.
 
-    Gives kind, id, seq, level, n_results, errors, line.
+    Gives kind, id, seq, level, n_results, errors, line: one row per call, result without a call, and message.
     """
+    calls = calls.select("id", "seq", "name", "arguments", "after")
+    results = results.select("id", "seq", "content")
     known = F.lit(None).cast("array<string>")
     for name, schema in schemas.items():
         known = F.when(F.col("name") == name, errors(F.col("arguments"), schema)).otherwise(known)
-    first = results.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n_results"), F.min(F.struct("seq", "content")).alias("r"))
-    order = levels(calls)
-    joined = calls.join(first, "id", "left").join(order, "id", "left")
+    first = results.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n_results"), F.min(F.struct("seq", "content")).alias("first"))
+    joined = calls.join(first, "id", "left").join(levels(calls), "id", "left")
     wrong = F.concat(
         F.coalesce(known, F.array(F.lit("unknown tool"))),
         F.array_compact(F.array(F.when(F.col("dangling"), F.lit("depends on an unknown call")), F.when(F.col("id").isNotNull() & F.col("level").isNull(), F.lit("depends on itself")))),
@@ -94,13 +104,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Field]])
         F.lit(',"id":'), _text(F.col("id")),
         F.lit(',"level":'), F.coalesce(F.col("level").cast("string"), F.lit("null")),
         F.lit(',"name":'), _text(F.col("name")),
-        F.lit(',"result":'), _text(F.col("r.content")),
+        F.lit(',"result":'), _text(F.col("first.content")),
         F.lit("}"),
     )
     done = joined.select(F.lit("call").alias("kind"), "id", "seq", "level", F.coalesce("n_results", F.lit(0)).alias("n_results"), F.array_join(wrong, "; ").alias("errors"), line.alias("line"))
     alone = results.join(calls.select("id").where(F.col("id").isNotNull()).distinct(), "id", "left_anti")
     orphan = F.concat(F.lit('{"id":'), _text(F.col("id")), F.lit(',"result":'), _text(F.col("content")), F.lit("}"))
-    return done.unionByName(alone.select(F.lit("orphan").alias("kind"), "id", "seq", F.lit(None).cast("long").alias("level"), F.lit(1).cast("long").alias("n_results"), F.lit("no call").alias("errors"), orphan.alias("line")))
+    none = F.lit(None).cast("long")
+    out = done.unionByName(alone.select(F.lit("orphan").alias("kind"), "id", "seq", none.alias("level"), F.lit(1).cast("long").alias("n_results"), F.lit("no call").alias("errors"), orphan.alias("line")))
+    if messages is None:
+        return out
+    said = F.concat(F.lit('{"content":'), _text(F.col("content")), F.lit(',"id":'), _text(F.col("id")), F.lit(',"role":'), _text(F.col("role")), F.lit("}"))
+    return out.unionByName(messages.select(F.lit("message").alias("kind"), "id", "seq", none.alias("level"), F.lit(0).cast("long").alias("n_results"), F.lit("").alias("errors"), said.alias("line")))
 
 
 def _text(c: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import byte_values, small_batches
+from marketlens.llm.common import byte_values, slices
 
 #: Words of a window.
 WIDTH = 13
@@ -96,7 +96,7 @@ class Scanner:
 def _scan_udf(patterns):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(patterns.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [scanner.scan(t) for t in byte_values(batch)]
             yield pa.StructArray.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.string()))],
@@ -109,7 +109,7 @@ def _scan_udf(patterns):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "hits", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, hit_words (word numbers from 0) and items (ids found)."""
-    spark = small_batches(docs).sparkSession
+    spark = docs.sparkSession
     rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).dropna()
     patterns = windows([(r.i, r.t.encode()) for r in rows.toLocalIterator()], width)
     scans = [_scan_udf(spark.sparkContext.broadcast(b))(F.col(f"`{text}`")) for b in blocks(patterns, block_bytes)]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import byte_values, small_batches
+from marketlens.llm.common import byte_values, slices
 
 PACKET, SYNC = 188, 0x47
 ROW = 192
@@ -213,7 +213,7 @@ def feature(x: Parsed) -> str:
 
 def _digest_udf():
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for raw in byte_values(batch):
                 media = mux(padded(raw))
@@ -230,7 +230,7 @@ def _digest_udf():
 def _stream_udf():
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("payload", pa.binary()), ("media", pa.binary()), ("programs", pa.int32()), ("packets", pa.int64()), ("continuity_errors", pa.int64()), ("units", pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64()), ("bytes", pa.int64()), ("random_access", pa.bool_())])))])
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for raw in byte_values(batch):
                 media = mux(padded(raw))
@@ -246,9 +246,9 @@ def _stream_udf():
 def to_stream(docs: DataFrame, text: str = "text", out: str = "stream") -> DataFrame:
     """``docs`` with a struct column ``out``: the stored stream, the payload read back from it, and the
     timestamps and packet numbers of its random-access points."""
-    return small_batches(docs).withColumn(out, _stream_udf()(F.col(f"`{text}`")))
+    return docs.withColumn(out, _stream_udf()(F.col(f"`{text}`")))
 
 
 def stream_digest(docs: DataFrame, text: str = "text", out: str = "stream") -> DataFrame:
     """As :func:`to_stream`, but the task keeps only lengths, hashes and the feature string."""
-    return small_batches(docs).withColumn(out, _digest_udf()(F.col(f"`{text}`")))
+    return docs.withColumn(out, _digest_udf()(F.col(f"`{text}`")))

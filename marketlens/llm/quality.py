@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import residue, small_batches
+from marketlens.llm.common import residue, slices
 
 BITS = 18
 MASK = (1 << BITS) - 1
@@ -95,7 +95,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS)
 def _vector_udf():
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [hasher.vector(t.as_py() or "") for t in batch]
             yield pa.StructArray.from_arrays([pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())], names=["i", "x"])
 
@@ -114,11 +114,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("double").alias("y")).dropna().where(residue(F.col("k"), folds) != 0)
     known = known.groupBy("k").agg((F.avg("y") >= 0.5).cast("double").alias("label"))
     n = known.count()
-    share = min(1.0, max_rows / max(1, n))
     shards = max(1, min(n, max_rows) // SHARD_ROWS)
-    # At most about max_rows ids of a few bytes each: small enough to broadcast at any corpus size.
-    some = F.broadcast(known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    vectors = small_batches(docs).select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(some, "k").select("k", "label", _vector_udf()("t").alias("v"))
+    # The ids of smallest hash, max_rows at most and a few bytes each: small enough to broadcast at any corpus size.
+    some = F.broadcast(known.orderBy(F.xxhash64("k"), "k").limit(max_rows))
+    vectors = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(some, "k").select("k", "label", _vector_udf()("t").alias("v"))
     each = vectors.groupBy("k").agg(F.min(F.struct("label", "v")).alias("r"))
     dealt = each.select(F.pmod(F.xxhash64("k"), F.lit(shards)).alias("shard"), F.xxhash64(F.col("k"), F.lit(1)).alias("order"), "r.label", "r.v.i", "r.v.x")
     parts = dealt.groupBy("shard").applyInArrow(_fit_shard, "w binary, n bigint").collect()
@@ -130,11 +129,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with a double column ``out``: the probability of label 1 of each whole text."""
-    shared = small_batches(docs).sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, hasher = shared.value, Hasher()
-        for batch in batches:
+        for batch in slices(batches):
             dots = np.array([w[i] @ x for i, x in (hasher.vector(t.as_py() or "") for t in batch)], np.float64)
             yield pa.array(1 / (1 + np.exp(-(dots + float(w[-1])))), pa.float64())
 

@@ -64,14 +64,16 @@ REPLY = [chat.Field("prompt", "string", least=1, most=600), chat.Field("turn", "
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as calls of one tool, assistant turns as results of the turn before; a call follows the user turn two before."""
+    """User turns as calls of one tool, assistant turns as results of the turn before; a call follows the user turn two
+    before.  Turns of any other role, or of none, are messages."""
     rows = table(spark, sf_dir, "conversations")
     name = lambda back: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), (F.col("turn") - back).cast("string"))
     calls = rows.where(F.col("role") == "user").select(
         name(0).alias("id"), F.col("turn").alias("seq"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"), F.when(F.col("turn") >= 2, name(2)).alias("after")
     )
     results = rows.where(F.col("role") == "assistant").select(name(1).alias("id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
-    return chat.link(calls, results, {"reply": REPLY})
+    others = rows.where(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))).select(name(0).alias("id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+    return chat.link(calls, results, {"reply": REPLY}, others)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,10 +81,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of all pages against a replica in which the first byte of each 97th page's body is damaged."""
+    """Audit of all pages against a replica that lacks pages, has others, and has bodies damaged at equal and at other length."""
     pages = table(spark, sf_dir, "pages")
-    damaged = F.when((F.col("page_id") % 97 == 13) & (F.length("html") > 0), F.concat(F.lit("~"), F.substring("html", 2, 2147483647))).otherwise(F.col("html"))
-    return warc.audit(pages, pages.withColumn("html", damaged))
+    k, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    body = F.when((k % 97 == 13) & (F.length(html) > 0), F.concat(F.lit("~"), F.substring(html, 2, 2147483647))).when(k % 101 == 7, F.concat(html, F.lit("!"))).otherwise(html)
+    kept = pages.where(F.coalesce(k % 89 != 7, F.lit(True))).withColumn("html", body)
+    added = pages.where(k % 103 == 5).withColumn("page_id", -k - 1)
+    return warc.audit(pages, kept.unionByName(added))
 
 
 QUERIES = {
@@ -117,7 +122,9 @@ SELECT 'call' kind, K.id, turn seq, level, coalesce(n_results, 0) n_results,
  concat_ws('; ', CASE WHEN length(text) < 1 THEN 'prompt: below 1' WHEN length(text) > 600 THEN 'prompt: above 600' END, CASE WHEN after IS NOT NULL AND after NOT IN (SELECT id FROM K) THEN 'depends on an unknown call' END) errors,
  '{"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(K.id) || ',"level":' || level || ',"name":"reply","result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' line
 FROM K JOIN V ON K.id = V.id LEFT JOIN F ON K.id = F.id
-UNION ALL SELECT 'orphan', id, turn, NULL, 1, 'no call', '{"id":' || to_json(id) || ',"result":' || to_json(text) || '}' FROM R WHERE id NOT IN (SELECT id FROM K)"""
+UNION ALL SELECT 'orphan', id, turn, NULL, 1, 'no call', '{"id":' || to_json(id) || ',"result":' || to_json(text) || '}' FROM R WHERE id NOT IN (SELECT id FROM K)
+UNION ALL SELECT 'message', 'c' || conv_id || '-' || turn, turn, NULL, 0, '', '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"id":' || to_json('c' || conv_id || '-' || turn) || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""
 
 _OP9 = """WITH D AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) h, strlen(coalesce(text, '')) n FROM documents),
 C AS (SELECT doc_id, n, c, h[1024 * c + 1:1024 * c + 1422] x FROM (SELECT doc_id, h, n, unnest(range(0, (n + 511) // 512)) c FROM D WHERE n >= 200)),
@@ -129,11 +136,21 @@ K AS (SELECT doc_id, string_agg(h[2 * f + 1:2 * coalesce(t, n)], '' ORDER BY f)
 N AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) n_removed, count(*) n_spans FROM S GROUP BY 1)
 SELECT doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256 FROM D LEFT JOIN K USING (doc_id) LEFT JOIN N USING (doc_id)"""
 
-_OP10 = f"""WITH R AS (SELECT page_id, html, 'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || e ||
- 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e record FROM pages, (SELECT chr(13) || chr(10) e)),
-Q AS (SELECT *, strlen(record) length, sha256(record) digest, row_number() OVER (ORDER BY page_id NULLS FIRST, sha256(record)) - 1 place FROM R)
-SELECT page_id, place // {warc.RECORDS} file_no, place % {warc.RECORDS} record_no, CAST(coalesce(sum(length) OVER (PARTITION BY place // {warc.RECORDS} ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, length, digest,
- NOT coalesce(page_id % 97 = 13 AND length(html) > 0, false) intact FROM Q"""
+_OP10 = f"""WITH A AS (SELECT page_id, url, coalesce(html, '') body FROM pages),
+B AS (SELECT page_id, url, CASE WHEN page_id % 97 = 13 AND length(body) > 0 THEN '~' || body[2:] WHEN page_id % 101 = 7 THEN body || '!' ELSE body END body FROM A WHERE coalesce(page_id % 89 <> 7, true)
+ UNION ALL SELECT -page_id - 1, url, body FROM A WHERE page_id % 103 = 5),
+X AS (SELECT 'a' side, * FROM A UNION ALL SELECT 'b', * FROM B),
+R AS (SELECT side, page_id, 'WARC/1.1' || e || 'WARC-Type: response' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || e ||
+ 'Content-Length: ' || strlen(body) || e || e || body || e || e record FROM X, (SELECT chr(13) || chr(10) e)),
+D AS (SELECT side, page_id, sha256(record) digest, strlen(record) length, count(*) copies FROM R GROUP BY ALL),
+P AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, digest) - 1 place FROM D WHERE side = 'a'),
+L AS (SELECT *, place // {warc.RECORDS} file_no, place % {warc.RECORDS} record_no, CAST(coalesce(sum(length * copies) OVER (PARTITION BY place // {warc.RECORDS} ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM P),
+Q AS (SELECT * FROM D WHERE side = 'b')
+SELECT L.page_id, L.file_no, L.record_no, L.offset, L.length, L.digest, L.copies, CASE WHEN L.copies = Q.copies THEN 'intact' WHEN Q.copies IS NOT NULL THEN 'copies'
+ WHEN EXISTS (SELECT 1 FROM Q x WHERE x.page_id IS NOT DISTINCT FROM L.page_id AND NOT EXISTS (SELECT 1 FROM L y WHERE y.page_id IS NOT DISTINCT FROM x.page_id AND y.digest = x.digest)) THEN 'damaged' ELSE 'missing' END status
+FROM L LEFT JOIN Q ON L.page_id IS NOT DISTINCT FROM Q.page_id AND L.digest = Q.digest
+UNION ALL SELECT Q.page_id, coalesce((SELECT max(file_no) FROM L WHERE record_no = 0 AND (L.page_id, L.digest) <= (Q.page_id, Q.digest)), 0), NULL, NULL, Q.length, Q.digest, Q.copies, 'extra' FROM Q
+WHERE NOT EXISTS (SELECT 1 FROM L WHERE L.page_id IS NOT DISTINCT FROM Q.page_id)"""
 
 #: SQL for the queries that SQL can express; the others are tested against plain versions in tests/llm.
 SQL: dict[str, str] = {"op6_decontaminate": _OP6, "op8_chat": _OP8, "op9_suffix_dedup": _OP9, "op10_warc": _OP10}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import ASCII_LOWER, byte_values, small_batches, stored
+from marketlens.llm.common import ASCII_LOWER, byte_values, slices, stored
 from marketlens.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -60,11 +60,11 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", shingle:
     """``docs`` with a bigint column ``out``: the fingerprint's 64 bits as a signed integer."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array(np.array([fingerprint(t, shingle) for t in byte_values(batch)], np.uint64).view(np.int64), pa.int64())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return small_batches(docs).withColumn(out, F.arrow_udf(run, "bigint")(F.col(f"`{text}`")))
+    return docs.withColumn(out, F.arrow_udf(run, "bigint")(F.col(f"`{text}`")))
 
 
 def _near(a: np.ndarray, ta: np.ndarray, b: np.ndarray, tb: np.ndarray, radius: int) -> np.ndarray:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import byte_values, discard, release, small_batches, stored
+from marketlens.llm.common import byte_values, discard, slices, stored
 from marketlens.llm.segments import LENGTH, segments
 
 #: Batches that a whole table is added in.
@@ -50,18 +50,18 @@ def suffix_arrays(texts: DataFrame, length: int = LENGTH, batches: int = BATCHES
     """(batch, key, seg, t1, t2, lo, hi) rows, each task's batch of texts sorted by key."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in arrow:
-            for at in range(0, whole.num_rows, PIECE):
-                part = whole.slice(at, PIECE)
-                found = [segments(t, length) for t in byte_values(part["t"])]
-                n = np.array([len(f[0]) for f in found], np.int64)
-                key, seg, lo, hi = (np.concatenate([f[i] for f in found]) for i in range(4))
-                t1, t2 = (np.repeat(part[c].to_numpy(), n) for c in TEXT)
-                order = np.lexsort((seg, key))
-                columns = [(t1 % batches).astype(np.int32), key, seg, t1, t2, lo.astype(np.int32), hi.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], names=["batch", "key", "seg", "t1", "t2", "lo", "hi"])
+        for part in slices(arrow, "t"):
+            if not part.num_rows:
+                continue
+            found = [segments(t, length) for t in byte_values(part["t"])]
+            n = np.array([len(f[0]) for f in found], np.int64)
+            key, seg, lo, hi = (np.concatenate([f[i] for f in found]) for i in range(4))
+            t1, t2 = (np.repeat(part[c].to_numpy(), n) for c in TEXT)
+            order = np.lexsort((seg, key))
+            columns = [(t1 % batches).astype(np.int32), key, seg, t1, t2, lo.astype(np.int32), hi.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], names=["batch", "key", "seg", "t1", "t2", "lo", "hi"])
 
-    return small_batches(texts).select("t", "t1", "t2").mapInArrow(run, "batch int, key bigint, seg bigint, t1 bigint, t2 int, lo int, hi int")
+    return texts.select("t", "t1", "t2").mapInArrow(run, "batch int, key bigint, seg bigint, t1 bigint, t2 int, lo int, hi int")
 
 
 class LevelFamily:
@@ -97,14 +97,12 @@ def _cut(length: int):
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "hot", "full", "t1", "t2", "lo", "bytes"]
         kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for whole in arrow:
-            for at in range(0, whole.num_rows, PIECE):
-                batch = whole.slice(at, PIECE)
-                out: list[tuple] = []
-                for text, t1, t2, rows in zip(byte_values(batch["t"]), batch["t1"].to_pylist(), batch["t2"].to_pylist(), batch["rows"].to_pylist()):
-                    out += [(r["key"], r["hot"], r["full"], t1, t2, r["lo"], text[r["lo"] : r["hi"] + length]) for r in rows]
-                columns = list(zip(*out)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+        for batch in slices(arrow, "t"):
+            out: list[tuple] = []
+            for text, t1, t2, rows in zip(byte_values(batch["t"]), batch["t1"].to_pylist(), batch["t2"].to_pylist(), batch["rows"].to_pylist()):
+                out += [(r["key"], r["hot"], r["full"], t1, t2, r["lo"], text[r["lo"] : r["hi"] + length]) for r in rows]
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     return run
 
@@ -190,11 +188,9 @@ def repeats(texts: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> D
     for more in found[1:]:
         matched = matched.unionAll(more)
     family.drop()
-    release(spark)
     met = rows.drop("batch").join(matched.distinct(), "key").groupBy("key", "seg", *TEXT, "lo", "hi").agg(F.count("*").alias("n"))
     met = stored(met, "met")
     discard(rows, *found)
-    release(spark)
 
     place = F.struct("t1", "t2", "lo", "hi")
     kinds = stored(met.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(place).alias("at")), "kinds")
@@ -204,14 +200,12 @@ def repeats(texts: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> D
     asked = open_.groupBy(*TEXT).agg(F.collect_list(F.struct("key", "hot", "full", "lo", "hi")).alias("rows"))
     one = texts.select("t", *TEXT).dropDuplicates(TEXT)
     cut = stored(one.join(asked, TEXT).select("t", *TEXT, "rows").mapInArrow(_cut(length), CUT), "cut")
-    release(spark)
     part = cut.where(~F.col("hot")).repartition("key").sortWithinPartitions("key").mapInArrow(_compare(length), "t1 bigint, t2 int, a int, b int")
     spread = cut.where("hot").mapInArrow(_spread(length), "key bigint, h bigint, full boolean, t1 bigint, t2 int, p int")
     twice = spread.groupBy("key", "h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key", "h")
     hot = spread.where(~F.col("full")).join(twice, ["key", "h"]).select(*TEXT, F.col("p").alias("a"), (F.col("p") + length).alias("b"))
     marks = stored(whole.unionAll(part).unionAll(hot), "marks")
     discard(met, kinds, cut)
-    release(spark)
     return marks
 
 
