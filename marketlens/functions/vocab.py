@@ -9,6 +9,24 @@ BUCKETS = ["active", "pending", "closed", "excluded", "unclassified"]
 REPORTED = ["active", "pending", "closed"]
 BUCKET_LABEL = {"active": "Active listings", "pending": "Pending sales", "closed": "Closed sales"}
 
+# Why a summary is provisional, and the lines of its text.
+REASON = {
+    "unresolved": " row(s) have no readable status",
+    "unclassified": " row(s) carry an unrecognized status code",
+    "unbalanced": "the row accounting does not balance",
+    "errors": " unresolved problem(s) reported above",
+    "dropped": " row band(s) could not be read",
+    "role": "a money column could not be identified",
+    "no_status": "no status column was found",
+    "inferred": "the money columns were inferred, not read from a header",
+    "unpriced": " row(s) have no readable price",
+    "no_days": " row(s) have no market time",
+}
+BANNER, BANNER_ITEM = "*** PROVISIONAL — do not use without checking: ***", "***   • "
+REPORT_FOOTER = "Prices: list price for active and pending, sold price for closed. Median of an even count is the mean of the two middle values. Ratio = (sold − concessions) ÷ original list price."
+FORM_TITLE, FORM_GROUP = "Search Result Metrics", {"active": "Active Listings", "sales": "Sales Within Lookback Period", "pending": "Pending Sales"}
+FORM_FOOTER = "Prices are bare numbers — the form supplies the $ and the commas. Days on market is the median MT of the active listings."
+
 # Code, default bucket.
 STATUS_BUCKET = {
     "ACTV": "active",
@@ -65,6 +83,37 @@ ROLE_LABELS = {
 }
 ANCHORS = ["status", "mls", "list", "orig", "sold"]
 
+# Labels of an image's header row and their roles; date, text and num only keep other columns apart.
+HEADER_VOCABULARY = {
+    "Stat": "status",
+    "Status": "status",
+    "List Price": "list",
+    "Current Price": "list",
+    "Sold Pr": "sold",
+    "Sold Price": "sold",
+    "Closed Pr": "sold",
+    "Orig List Pr": "orig",
+    "Orig List Price": "orig",
+    "CONC": "conc",
+    "Conc": "conc",
+    "MLS #": "mls",
+    "Closed Date": "date",
+    "City": "text",
+    "Street #": "text",
+    "Str Name": "text",
+    "Sfx": "text",
+    "MT": "mt",
+    "Market Time": "mt",
+    "# Rms": "num",
+    "ASF": "num",
+    "Yr Blt": "num",
+    "All Beds": "num",
+    "# Full Baths": "num",
+    "# Half Baths": "num",
+    "Type": "text",
+    "# Garage": "num",
+}
+
 # Bounds of accepted figures.
 PRICE_MIN, PRICE_MAX, DAYS_MAX, COMP_LIST_MAX = 1_000, 30_000_000, 3_650, 10
 

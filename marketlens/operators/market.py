@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlens.functions import cells
-from marketlens.functions.vocab import BUCKETS, REPORTED
+from marketlens.functions.vocab import BUCKETS, REASON, REPORTED
+from marketlens.operators.ranks import medians
 
 EDITABLE = ["status", "orig_price", "list_price", "sold_price", "concessions", "market_time"]
 
@@ -42,10 +43,15 @@ def bucket_summary(rows: DataFrame, by: list[str] | None = None, spine: bool = T
     days = F.when(F.col("market_time") >= 0, F.col("market_time"))
     out = counted.groupBy(*by, F.col("placement").alias("bucket")).agg(
         F.count("*").alias("n_rows"), F.count("price").alias("priced"), (F.count("*") - F.count("price")).alias("missing"),
-        F.min("price").alias("low"), F.max("price").alias("high"), _whole(F.median("price")).alias("median_price"),
-        F.count("ratio").alias("ratio_rows"), F.min("ratio").alias("ratio_low"), F.max("ratio").alias("ratio_high"), F.median("ratio").alias("ratio_median"), F.avg("ratio").alias("ratio_mean"),
-        F.count(days).alias("dom_rows"), F.min(days).alias("dom_low"), F.max(days).alias("dom_high"), _whole(F.median(days)).alias("dom_median"),
+        F.min("price").alias("low"), F.max("price").alias("high"),
+        F.count("ratio").alias("ratio_rows"), F.min("ratio").alias("ratio_low"), F.max("ratio").alias("ratio_high"), F.avg("ratio").alias("ratio_mean"),
+        F.count(days).alias("dom_rows"), F.min(days).alias("dom_low"), F.max(days).alias("dom_high"),
     )
+    measures = [("price", F.col("price")), ("ratio", F.col("ratio")), ("days", days)]
+    long = counted.select(*by, F.col("placement").alias("bucket"), F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), c.cast("double").alias("x")) for k, c in measures])))
+    of = lambda k: F.max(F.when(F.col("measure") == k, F.col("median")))
+    middle = medians(long, [*by, "bucket", "measure"], "x").groupBy(*by, "bucket").agg(_whole(of("price")).alias("median_price"), of("ratio").alias("ratio_median"), _whole(of("days")).alias("dom_median"))
+    out = out.join(middle, [*by, "bucket"], "left")
     if not spine:
         return out
     groups = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
@@ -84,19 +90,19 @@ def gate(rows: DataFrame, by: list[str] | None = None, review: DataFrame | None
     n = lambda c: F.col(c).cast("string")
     when = lambda cond, *text: F.when(cond, F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]))
     reasons = [
-        when(F.col("unresolved") > 0, n("unresolved"), " of ", n("total_rows"), " rows without a readable status"),
-        when(F.col("unclassified") > 0, n("unclassified"), " rows with an unknown status code"),
-        when(~F.col("balanced"), "rows do not add up"),
-        when(F.col("errors") > 0, n("errors"), " problems reported by the source"),
-        when(F.col("dropped") > 0, n("dropped"), " records dropped"),
-        when(F.col("role_problems") > 0, "a column could not be told apart"),
-        when(F.col("no_status_column"), "no status column"),
-        when(F.col("confidence") < 0.8, "columns were inferred"),
-        *[when(F.col(f"unpriced_{b}") > 0, n(f"unpriced_{b}"), f" {b} rows without a price") for b in REPORTED],
-        *[when(F.col("has_market_time") & (F.col(f"no_days_{b}") > 0) & ((F.col("source") != "file") | F.lit(b == "active")), n(f"no_days_{b}"), f" {b} rows without days on market") for b in REPORTED],
+        when(F.col("unresolved") > 0, n("unresolved"), " of ", n("total_rows"), REASON["unresolved"]),
+        when(F.col("unclassified") > 0, n("unclassified"), REASON["unclassified"]),
+        when(~F.col("balanced"), REASON["unbalanced"]),
+        when(F.col("errors") > 0, n("errors"), REASON["errors"]),
+        when(F.col("dropped") > 0, n("dropped"), REASON["dropped"]),
+        when(F.col("role_problems") > 0, REASON["role"]),
+        when(F.col("no_status_column"), REASON["no_status"]),
+        when(F.col("confidence") < 0.8, REASON["inferred"]),
+        *[when(F.col(f"unpriced_{b}") > 0, n(f"unpriced_{b}"), f" {b}", REASON["unpriced"]) for b in REPORTED],
+        *[when(F.col("has_market_time") & (F.col(f"no_days_{b}") > 0) & ((F.col("source") != "file") | F.lit(b == "active")), n(f"no_days_{b}"), f" {b}", REASON["no_days"]) for b in REPORTED],
     ]
     out = joined.withColumn("reasons", F.array_compact(F.array(*reasons)))
-    return out.select(*by, "total_rows", "accounted", "balanced", (F.size("reasons") > 0).alias("provisional"), F.array_join("reasons", "; ").alias("reasons"))
+    return out.select(*by, "total_rows", "accounted", "balanced", (F.size("reasons") > 0).alias("provisional"), F.array_join("reasons", "; ").alias("reasons"), F.col("reasons").alias("reason_list"))
 
 
 def comp_list(rows: DataFrame, by: list[str], most: int = 10) -> DataFrame:
@@ -121,6 +127,39 @@ def number_gaps(rows: DataFrame, by: str, number: str) -> DataFrame:
     ).withColumn("absent", F.col("last_no") - F.col("first_no") + 1 - F.col("n_distinct"))
 
 
+def number_check(rows: DataFrame, numbers: DataFrame, by: str, number: str = "number", shown: int = 12) -> DataFrame:
+    """Whether numbered rows all arrived, per group: first and last number, gaps, absent rows, level, and a gap sample.
+
+    ``numbers`` (by, number) are the numbers that a group's index column holds, ``rows`` (by, number) the rows that
+    reached the report, null where a row's own number was not read.  Rows without a number may be any of the gaps, so
+    only the gaps beyond them are absent.  Gaps come from the neighbours of what is there, as ranges, and are never
+    written out one by one but for the sample.
+    """
+    ends = numbers.groupBy(by).agg(F.min(number).cast("bigint").alias("first_no"), F.max(number).cast("bigint").alias("last_no"))
+    got = rows.groupBy(by, number).agg(F.count("*").alias("n"))
+    fences = ends.select(by, F.inline(F.array(F.struct((F.col("first_no") - 1).alias(number)), F.struct((F.col("last_no") + 1).alias(number)))))
+    order = W.partitionBy(by).orderBy(number)
+    known = got.where(F.col(number).isNotNull()).join(ends, by).where(F.col(number).between(F.col("first_no"), F.col("last_no"))).select(by, F.col(number).cast("bigint").alias(number))
+    holes = known.unionByName(fences).withColumn("next", F.lead(number).over(order)).where(F.col("next") - F.col(number) > 1)
+    run = F.struct((F.col(number) + 1).alias("a"), (F.col("next") - 1).alias("b"))
+    upto = F.sum(F.col("next") - F.col(number) - 1).over(order.rowsBetween(W.unboundedPreceding, -1))
+    spans = holes.withColumn("run", run).withColumn("before", F.coalesce(upto, F.lit(0)))
+    # Ranges that start among the first ``shown`` gaps are the only ones listed.
+    gaps = spans.groupBy(by).agg(F.sum(F.col("run.b") - F.col("run.a") + 1).alias("gaps"), F.array_sort(F.collect_list(F.when(F.col("before") < shown, F.col("run")))).alias("runs"))
+    unnumbered = got.groupBy(by).agg(F.coalesce(F.sum(F.when(F.col(number).isNull(), F.col("n"))), F.lit(0)).alias("unnumbered"))
+    out = ends.join(gaps, by, "left").join(unnumbered, by, "left").fillna(0, ["gaps", "unnumbered"])
+    absent = F.greatest(F.lit(0), F.col("gaps") - F.col("unnumbered"))
+    each = F.flatten(F.transform(F.col("runs"), lambda r: F.sequence(r["a"], F.least(r["b"], r["a"] + shown))))
+    sample = F.when((absent > 0) & (F.col("gaps") == absent), F.concat(F.array_join(F.slice(each, 1, shown), ", "), F.when(F.col("gaps") > shown, "…").otherwise("")))
+    level = F.when(absent > 0, "error").when(F.col("gaps") > 0, "info").when(F.col("first_no") > 1, "warn").otherwise("ok")
+    return out.select(by, "first_no", "last_no", "gaps", "unnumbered", absent.alias("absent"), level.alias("level"), sample.alias("sample"))
+
+
+def with_review(rows: DataFrame, entries: DataFrame, key: str = "n") -> DataFrame:
+    """Each listing row with its placement, price and ratio in the report (null where it has no entry)."""
+    return rows.join(entries.select(key, "placement", "price", "ratio"), key, "left")
+
+
 def with_edits(rows: DataFrame, edits: DataFrame, key: str = "n") -> DataFrame:
     """Rows with patches (key, patch map<string,string>, omit) applied; a null in a patch is a value of its own."""
     joined = rows.join(edits.select(key, "patch", F.col("omit").alias("omit_")), key, "left")

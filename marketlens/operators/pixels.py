@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from marketlens.operators.ranks import middles
+
 # Template size, weights of the structural comparison, clustering bars.
 GLYPH_W, GLYPH_H = 24, 32
 HOLES, DENSITY, BALANCE, ASPECT = 0.4, 0.2, 0.2, 0.2
@@ -228,8 +230,14 @@ def bind_labels(pairs: DataFrame) -> DataFrame:
 
 
 def clipped_rows(bands: DataFrame) -> DataFrame:
-    """Bands (grid, top, bottom, height) that touch an edge and differ from the typical height by over 15 %."""
-    typical = bands.groupBy("grid").agg(F.median(F.col("bottom") - F.col("top")).alias("typical"))
+    """Bands (grid, top, bottom, height) of grids with three or more that come within a pixel of an edge and differ from
+    the upper median height by over 15 %."""
     h = F.col("bottom") - F.col("top")
-    edge = (F.col("top") <= 0) | (F.col("bottom") >= F.col("height"))
-    return bands.join(typical, "grid").withColumn("clipped", edge & (F.abs(h - F.col("typical")) > 0.15 * F.col("typical"))).drop("typical")
+    typical = middles(bands.withColumn("h", h), ["grid"], "h").where("n_values >= 3").select("grid", F.col("upper").alias("typical"))
+    edge = (F.col("top") <= 1) | (F.col("bottom") >= F.col("height") - 1)
+    return bands.join(typical, "grid", "left").withColumn("clipped", F.coalesce(edge & (F.abs(h - F.col("typical")) / F.col("typical") > 0.15), F.lit(False))).drop("typical")
+
+
+def bands_in_range(bands: DataFrame, scale: float) -> DataFrame:
+    """Bands (grid, top, bottom) with whether their height is one of a text row at this scale (5 to 30 pixels of source)."""
+    return bands.withColumn("in_range", (F.col("bottom") - F.col("top")).between(5 * scale, 30 * scale))

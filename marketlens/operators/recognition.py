@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketlens.functions import cells as cells_
+from marketlens.functions.vocab import HEADER_VOCABULARY, label_key
+from marketlens.operators.ranks import medians, middles
+
 # Score floors, margins and the label pairs that need a wider one.
 MIN_SCORE, MIN_MARGIN, PAIR_MARGIN = 0.35, 0.02, 0.05
 CONFUSABLE = [(0, 9), (0, 8), (3, 5), (3, 8), (5, 6), (6, 9), (1, 7), (8, 9)]
@@ -51,6 +55,12 @@ def rank(vectors: DataFrame, bank: DataFrame, key: str = "vec_id", vector: str =
     )
 
 
+def scores(vectors: DataFrame, bank: DataFrame, vector: str = "embedding", label: str = "label") -> DataFrame:
+    """``vectors`` with an array ``scores`` (label, shape): each scored in place against the bank, folded in one row."""
+    whole = bank.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "template"))).alias("bank"))
+    return vectors.crossJoin(F.broadcast(whole)).withColumn("scores", F.transform("bank", lambda t: F.struct(t["label"].alias("label"), F.round(ncc(F.col(vector), t["template"]), 9).alias("shape")))).drop("bank")
+
+
 def ambiguity(top: Column, second: Column, score: Column, margin: Column) -> Column:
     """Why a reading is refused, or null: too low, too close, or too close for a confusable pair."""
     pair = F.lit(False)
@@ -79,10 +89,9 @@ def islands(rows: DataFrame, by: str, at: str, gap: float, order: list[str]) ->
     return rows.withColumn("opens", opens).withColumn("island", F.sum("opens").over(w))
 
 
-def upper_median(c: Column) -> Column:
-    """The upper of the two middle values (the lower-rank median is not it)."""
-    values = F.array_sort(F.collect_list(c))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def upper_medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., n_values, lower, upper): the upper of the two middle values (the lower-rank median is not it)."""
+    return middles(rows, by, value)
 
 
 def otsu(values: DataFrame, value: str) -> DataFrame:
@@ -147,7 +156,8 @@ def fill_pattern(cells: DataFrame, by: str = "col", filled: str = "filled", clos
 def money_columns(cells: DataFrame, by: str = "col", value: str = "value") -> DataFrame:
     """Columns accepted as money (enough parsed cells, plausible median), with how full they are."""
     v = F.col(value)
-    g = cells.groupBy(by).agg(F.count("*").alias("n_rows"), F.count(v).alias("parsed"), F.round(F.median(v)).cast("bigint").alias("median"))
+    middle = medians(cells, [by], value).select(by, F.round("median").cast("bigint").alias("median"))
+    g = cells.groupBy(by).agg(F.count("*").alias("n_rows"), F.count(v).alias("parsed")).join(middle, by, "left")
     ok = (F.col("parsed") >= COL_ROWS) & (F.col("parsed") / F.col("n_rows") >= COL_SHARE) & F.col("median").between(COL_LOW, COL_HIGH)
     return g.withColumn("is_money", F.coalesce(ok, F.lit(False))).withColumn("is_dense", F.col("parsed") / F.col("n_rows") >= DENSE)
 
@@ -166,13 +176,18 @@ def confidence(methods: list[Column], problems: Column) -> Column:
     return F.greatest(F.lit(0.2), F.least(F.lit(0.95), *each) - problems * 0.2)
 
 
+SALTS = 16
+
+
 def nearest_overlap(labels: DataFrame, columns: DataFrame, width: float) -> DataFrame:
     """For each label interval (label_id, x0, x1) the overlapping column (col_id, c0, c1) of nearest centre.
 
     Both sides are cut in bins of ``width``, so only intervals that share a bin meet: an equi-join, no cross join.
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    met = labels.withColumn("bin", bins("x0", "x1")).join(columns.withColumn("bin", bins("c0", "c1")), "bin")
+    # Labels of a bin are dealt to SALTS keys and its columns are there for each, so a crowded bin is many keys.
+    salted = labels.withColumn("bin", bins("x0", "x1")).withColumn("salt", F.pmod(F.xxhash64("label_id"), F.lit(SALTS)).cast("int"))
+    met = salted.join(columns.withColumn("bin", bins("c0", "c1")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["bin", "salt"])
     real = met.where((F.least("x1", "c1") > F.greatest("x0", "c0")) & (F.floor(F.greatest("x0", "c0") / width) == F.col("bin")))
     far = F.abs((F.col("c0") + F.col("c1")) / 2 - (F.col("x0") + F.col("x1")) / 2)
     return real.groupBy("label_id").agg(F.min(F.struct(far.alias("distance"), "col_id")).alias("m")).select("label_id", "m.col_id", F.col("m.distance").alias("distance"))
@@ -262,6 +277,12 @@ def index_percentile(hist: DataFrame, value: str, count: str, share: float) -> D
     return run.crossJoin(F.broadcast(n)).where(F.col("upto") > F.floor(F.col("n_all") * share)).agg(F.min(value).alias("value"), F.first("n_all").alias("n_all"))
 
 
+def header_roles(tokens: DataFrame, text: str) -> DataFrame:
+    """``tokens`` with the role that their text names in an image's header, if any."""
+    table = F.create_map(*[F.lit(x) for key, role in {label_key(t): r for t, r in HEADER_VOCABULARY.items()}.items() for x in (key, role)])
+    return tokens.withColumn("role", F.element_at(table, cells_.label_key(F.col(text))))
+
+
 def header_row(labels: DataFrame) -> DataFrame:
     """Per grid the topmost early row with enough labels and anchors (grid, row, label, role)."""
     g = labels.where(F.col("row") < HEADER_ROWS).groupBy("grid", "row").agg(F.count("*").alias("n_labels"), F.countDistinct(F.when(F.col("role").isin(*HEADER_ANCHORS), F.col("role"))).alias("n_anchors"))
@@ -295,3 +316,165 @@ def kickout_read(votes: DataFrame, codes: list[str]) -> DataFrame:
     near = code.join(rivals, "code").join(votes.withColumnRenamed("letter", "rival"), ["cluster", "place", "rival"]).join(best, ["cluster", "place"])
     beaten = near.where(F.col("b.mean") - F.col("mean") < CLOSE_MARGIN).select("cluster").distinct()
     return code.join(beaten, "cluster", "left_anti")
+
+
+# Shares of a status column's score, its bars, and how many cells are looked at.
+STATUS_RESOLVED, STATUS_MEAN, STATUS_COVERAGE, STATUS_HEADER, STATUS_BAR = 0.5, 0.3, 0.2, 0.5, 0.55
+STATUS_CELLS, NUMERIC_CELLS, NUMERIC_SHARE, FONT_CELLS = 12, 8, 0.75, 20
+# Weights of a glyph's score, biases by holes and by the balance of 8 and 9.
+GLYPH_SHAPE, GLYPH_STRUCTURE, HOLES_AGREE, HOLES_DIFFER, BALANCE_BIAS, TOP_HEAVY = 0.8, 0.2, 0.04, 0.02, 0.01, 1.2
+# Fixed value: colours further apart than this contradict each other.
+COLOURS_APART = 42
+
+
+def _sampled(cells: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
+    """Evenly spread rows of each group, ``most`` at most (each step-th, as the reference samples)."""
+    w = W.partitionBy(*by)  # cells of one column of a grid
+    placed = cells.withColumn("at_", F.row_number().over(w.orderBy(order)) - 1).withColumn("step_", F.greatest(F.lit(1), F.floor(F.count("*").over(w) / most)))
+    return placed.where((F.col("at_") % F.col("step_") == 0) & (F.col("at_") / F.col("step_") < most)).drop("at_", "step_")
+
+
+def numeric_columns(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., numeric): whether most of a few sampled cells (cell, digits: all glyphs are digits) are numbers."""
+    g = _sampled(cells, by, "cell", NUMERIC_CELLS).groupBy(*by).agg(F.count("*").alias("looked"), F.avg(F.col("digits").cast("int")).alias("share"))
+    return g.select(*by, ((F.col("looked") >= 2) & (F.col("share") >= NUMERIC_SHARE)).alias("numeric"))
+
+
+def status_columns(cells: DataFrame, rows: DataFrame, header: DataFrame | None = None) -> DataFrame:
+    """(grid, col, resolved, mean, coverage, score, chosen): candidates for the status column, and the one taken.
+
+    ``cells`` are (grid, col, cell, digits, top, second, score, shape, margin), ``rows`` (grid, n_rows), ``header``
+    (grid, col) what a header names as status.  A named column is taken whatever the scores; otherwise the best; in
+    both cases only if enough of its cells resolve.
+    """
+    by = ["grid", "col"]
+    named = (header if header is not None else cells.select(*by).where("false")).select(*by).distinct().withColumn("named", F.lit(True))
+    enough = cells.groupBy(*by).agg(F.count("*").alias("n_cells")).where("n_cells >= 2").join(named, by, "left").join(numeric_columns(cells, by), by)
+    able = enough.where(F.col("named").isNotNull() | ~F.col("numeric"))
+    good = (F.col("score") >= VOTE_SCORE) & (F.col("shape") >= VOTE_SHAPE) & (F.col("margin") >= required_margin(F.col("top"), F.col("second")))
+    g = _sampled(cells, by, "cell", STATUS_CELLS).groupBy(*by).agg(F.avg(good.cast("int")).alias("resolved"), F.coalesce(F.avg(F.when(good, F.col("score"))), F.lit(0.0)).alias("mean"))
+    full = able.join(g, by).join(rows, "grid").withColumn("coverage", F.least(F.lit(1.0), F.col("n_cells") / F.col("n_rows")))
+    total = STATUS_RESOLVED * F.col("resolved") + STATUS_MEAN * F.col("mean") + STATUS_COVERAGE * F.col("coverage") + F.when(F.col("named"), STATUS_HEADER).otherwise(0.0)
+    full = full.withColumn("total", F.round(total, 9))
+    best = full.groupBy("grid").agg(F.min_by("col", F.struct(F.col("named").isNull(), -F.col("total"), "col")).alias("best"))  # columns of a grid
+    out = full.join(best, "grid")
+    return out.select(*by, "resolved", "mean", "coverage", F.col("total").alias("score"), ((F.col("col") == F.col("best")) & (F.col("resolved") >= STATUS_BAR)).alias("chosen"))
+
+
+def pick_font(scores_: DataFrame, by: str) -> DataFrame:
+    """(by, font, mean): the font of best mean score over a few sampled cells (cell, font, score)."""
+    g = _sampled(scores_, [by, "font"], "cell", FONT_CELLS).groupBy(by, "font").agg(F.round(F.avg("score"), 9).alias("mean"))
+    return g.groupBy(by).agg(F.min(F.struct((-F.col("mean")).alias("minus"), "font")).alias("m")).select(by, "m.font", (-F.col("m.minus")).alias("mean"))
+
+
+def ink_colour(pixels: DataFrame, by: str) -> DataFrame:
+    """(by, r, g, b): the mean colour of the darkest quarter of each box's pixels (r, g, b)."""
+    lum = pixels.withColumn("lum", F.round(0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b"), 6))
+    hist = lum.groupBy(by, "lum", "r", "g", "b").agg(F.count("*").alias("n"))  # colours of a box
+    w = W.partitionBy(by)
+    run = hist.withColumns({"upto": F.sum("n").over(w.orderBy("lum")), "total": F.sum("n").over(w), "own": F.sum("n").over(W.partitionBy(by, "lum"))})
+    # All pixels as dark as the one that ends the quarter, or darker.
+    dark = run.where(F.col("upto") - F.col("own") < F.greatest(F.lit(1), F.floor(F.col("total") * 0.25)))
+    mean = lambda c: F.floor(F.sum(F.col(c) * F.col("n")) / F.sum("n") + 0.5).cast("int").alias(c)
+    return dark.groupBy(by).agg(mean("r"), mean("g"), mean("b"))
+
+
+def merge_codes(clusters: DataFrame) -> DataFrame:
+    """(grid, code, n_clusters, members, score, contradictions): clusters of one code as one, with how many of them are
+    far in colour from the first (clusters: grid, cluster, code, members, score, colour)."""
+    first = clusters.where("code is not null").groupBy("grid", "code").agg(F.min_by("colour", "cluster").alias("own"))
+    met = clusters.join(first, ["grid", "code"])
+    far = F.count_if(colour_distance(F.col("colour"), F.col("own")) > COLOURS_APART)
+    return met.groupBy("grid", "code").agg(F.count("*").alias("n_clusters"), F.sum("members").alias("members"), F.max("score").alias("score"), far.alias("contradictions"))
+
+
+def glyph_score(digit: Column, shape: Column, structure: Column, holes: Column, own_holes: Column, upper: Column, lower: Column) -> Column:
+    """A glyph's score against one digit: shape and structure, agreement in holes, and the balance of 8 and 9."""
+    balance = F.when(lower > 0.001, upper / lower).otherwise(10.0)
+    heavy = balance > TOP_HEAVY
+    bias = F.when(digit == 8, F.when(heavy, -BALANCE_BIAS).otherwise(BALANCE_BIAS)).when(digit == 9, F.when(heavy, BALANCE_BIAS).otherwise(-BALANCE_BIAS)).otherwise(0.0)
+    return GLYPH_SHAPE * shape + GLYPH_STRUCTURE * structure + F.when(holes == own_holes, HOLES_AGREE).otherwise(-HOLES_DIFFER) + bias
+
+
+def classify_glyphs(pairs: DataFrame, key: str) -> DataFrame:
+    """(key, digit, score, margin) from scored pairs (key, digit, score), several templates to a digit."""
+    each = pairs.groupBy(key, "digit").agg(F.max("score").alias("score"))
+    order = each.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "digit"))), 1, 2).alias("m"))  # ten digits
+    return order.select(key, F.col("m")[0]["digit"].alias("digit"), (-F.col("m")[0]["minus"]).alias("score"), (F.get("m", F.lit(1))["minus"] - F.col("m")[0]["minus"]).alias("margin"))
+
+
+def market_time_level(has_header: Column, has_column: Column, read: Column, blank: Column, unreadable: Column) -> Column:
+    """Level of the notice about an image's days column, or null: no column, none read, some unreadable."""
+    return (
+        F.when(~has_column, F.when(has_header, "info").otherwise("warn"))
+        .when(read == 0, F.when((blank > 0) & (unreadable == 0), "info").otherwise("warn"))
+        .when(unreadable > 0, "warn")
+    )
+
+
+def kept_bands(bands: DataFrame) -> DataFrame:
+    """Bands (grid, row, has_status, money, mls, number) with what becomes of each: "row", "row without status" where
+    something else says that it is a listing, or "not a listing"."""
+    evidence = (F.col("money") > 0) | F.col("mls").isNotNull() | F.col("number").isNotNull()
+    return bands.withColumn("kept", F.when(F.col("has_status"), "row").when(evidence, "row without status").otherwise("not a listing"))
+
+
+def assign_roles(cells: DataFrame, header: DataFrame | None = None) -> DataFrame:
+    """Which columns of each grid hold list, original and sold price and concessions.
+
+    ``cells`` are (grid, col, x0, kind "money" or "integer", row, value, closed), a row per column and row of the grid;
+    ``header`` (grid, role, col) is what a header names.  In order: header labels of the right kind; the sold column by
+    its fill pattern against the closed rows; list and original as the rightmost full columns; concessions as the small
+    integer column that is filled on closed rows only; then the checks that can overturn this: list and original the
+    wrong way round, sold prices in another market than list prices, concessions too large.
+    Gives grid, list, orig, sold, conc, sold_method, list_method, problems, confidence.
+    """
+    filled, closed = F.col("value").isNotNull(), F.col("closed")
+    middle = medians(cells, ["grid", "col"], "value").select("grid", "col", "median")
+    stats = cells.groupBy("grid", "col").agg(
+        F.min("x0").alias("x0"), F.min("kind").alias("kind"), F.count("*").alias("n"), F.count("value").alias("filled"), F.count_if(filled == closed).alias("agree"), F.count_if(~filled & ~closed).alias("blank"),
+        F.sum(F.when(filled & ~closed, -2).when(filled, 1).otherwise(0)).alias("weighted"), F.count_if(closed).alias("n_closed"),
+    ).join(middle, ["grid", "col"], "left")
+    entry = F.struct("x0", "col", "kind", "n", "filled", "agree", "blank", "weighted", "n_closed", "median")
+    grids = stats.groupBy("grid").agg(F.array_sort(F.collect_list(entry)).alias("cols"))  # columns of a grid
+    roles = ["list", "orig", "sold", "conc"]
+    if header is not None:
+        grids = grids.join(header.groupBy("grid").agg(*[F.min(F.when(F.col("role") == r, F.col("col"))).alias(f"h_{r}") for r in roles]), "grid", "left")
+    else:
+        grids = grids.withColumns({f"h_{r}": F.lit(None).cast("string") for r in roles})
+    of = lambda c: F.try_element_at(F.filter("cols", lambda x: x["col"] == c), F.lit(1))
+    kind = {"conc": "integer"}
+    g = grids.withColumns({r: F.when(of(F.col(f"h_{r}"))["kind"] == kind.get(r, "money"), F.col(f"h_{r}")) for r in roles}).withColumns({"by_sold": F.col("sold").isNotNull(), "by_list": F.col("list").isNotNull()})
+    money = lambda x: x["kind"] == "money"
+    dense = lambda x: x["filled"] / x["n"] >= DENSE
+    other = lambda x, *names: F.lit(True) if not names else ~F.coalesce(x["col"] == F.col(names[0]), F.lit(False)) & other(x, *names[1:])
+    n_closed = F.col("cols")[0]["n_closed"]
+    mixed = (n_closed > 0) & (n_closed < F.col("cols")[0]["n"])
+    able = F.filter("cols", lambda x: money(x) & ~dense(x) & (x["blank"] >= FILL_BLANKS) & other(x, "list", "orig"))
+    best = F.array_min(F.transform(able, lambda x: F.struct((-x["agree"] / x["n"]).alias("minus"), x["x0"].alias("x0"), x["col"].alias("col"))))
+    g = g.withColumn("best", F.when(mixed, best)).withColumn("fits", F.coalesce(-F.col("best.minus") >= FILL_AGREES, F.lit(False)))
+    g = g.withColumn("none_sold", F.col("sold").isNull() & mixed & ~F.col("fits") & (n_closed >= 3)).withColumn("sold", F.coalesce("sold", F.when(F.col("fits"), F.col("best.col"))))
+    last = lambda cond: F.element_at(F.filter("cols", cond), -1)["col"]
+    some = lambda cond: F.size(F.filter("cols", cond)) > 0
+    full = lambda *names: (lambda x: money(x) & dense(x) & other(x, *names))
+    any_ = lambda x: money(x) & other(x, "sold")
+    g = g.withColumn("list", F.coalesce("list", F.when(some(full("sold", "orig")), last(full("sold", "orig"))).when(some(any_), last(any_))))
+    g = g.withColumn("orig", F.coalesce("orig", F.when(some(full("sold", "list")), last(full("sold", "list")))))
+    price = F.coalesce(of(F.col("sold"))["median"], of(F.col("list"))["median"])
+    g = g.withColumn("price", price)
+    small = F.filter("cols", lambda x: (x["kind"] == "integer") & (x["filled"] >= 2) & ~dense(x) & (x["blank"] >= FILL_BLANKS) & (x["weighted"] > 0) & other(x, "list", "orig", "sold") & F.coalesce(x["median"].between(F.col("price") * CONC_LOW, F.col("price") * CONC_HIGH), F.lit(True)))
+    g = g.withColumn("conc", F.coalesce("conc", F.array_min(F.transform(small, lambda x: F.struct((-x["weighted"]).alias("minus"), x["x0"].alias("x0"), x["col"].alias("col"))))["col"]))
+    pair = cells.join(g.select("grid", "list", "orig"), "grid").where(F.col("col").isin(F.col("list"), F.col("orig")))
+    met = pair.groupBy("grid", "row").agg(F.max(F.when(F.col("col") == F.col("list"), F.col("value"))).alias("a"), F.max(F.when(F.col("col") == F.col("orig"), F.col("value"))).alias("b"))
+    swap = met.groupBy("grid").agg(((F.count_if(F.col("a") != F.col("b")) >= 3) & (F.count_if(F.col("a") > F.col("b")) > SWAP_SHARE * F.count_if(F.col("a") != F.col("b")))).alias("swap"))
+    g = g.join(swap, "grid", "left").withColumns({"l_": F.when(F.col("swap"), F.col("orig")).otherwise(F.col("list")), "o_": F.when(F.col("swap"), F.col("list")).otherwise(F.col("orig"))})
+    sold_median, ratio = of(F.col("sold"))["median"], of(F.col("sold"))["median"] / of(F.col("l_"))["median"]
+    g = g.withColumn("apart", F.coalesce(~ratio.between(SOLD_LOW, SOLD_HIGH), F.lit(False))).withColumn("large", F.coalesce(of(F.col("conc"))["median"] > sold_median * CONC_HIGH, F.lit(False)))
+    problems = F.col("none_sold").cast("int") + F.col("apart").cast("int") + F.col("large").cast("int")
+    sold_method = F.when(F.col("apart") | F.col("sold").isNull(), None).when(F.col("by_sold"), "header").otherwise("fill-pattern")
+    list_method = F.when(F.col("l_").isNull(), None).when(F.col("by_list"), "header").otherwise("position")
+    out = g.withColumns({"sold_method": sold_method, "list_method": list_method, "problems": problems})
+    return out.select(
+        "grid", F.col("l_").alias("list"), F.col("o_").alias("orig"), F.when(~F.col("apart"), F.col("sold")).alias("sold"), F.when(~F.col("large"), F.col("conc")).alias("conc"), "sold_method", "list_method", "problems",
+        F.round(confidence([F.col("list_method"), F.col("sold_method")], F.col("problems")), 6).alias("confidence"),
+    )

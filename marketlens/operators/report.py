@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import cells
-from marketlens.functions.vocab import BUCKET_LABEL, REPORTED
+from marketlens.functions.vocab import BANNER, BANNER_ITEM, BUCKET_LABEL, COMP_LIST_MAX, FORM_FOOTER, FORM_GROUP, FORM_TITLE, REPORT_FOOTER, REPORTED
 
 # The form's fields in order (group, label, bucket, figure, unit).
 FORM = [
@@ -82,41 +82,94 @@ def write_tsv(table: DataFrame, path: str) -> None:
 
 def comp_lines(comps: DataFrame) -> DataFrame:
     """Text of each comparable: its number padded, then its ratio or why it has none."""
+    # The words of a comparable's line.
     label = F.concat(F.lit("   Comp "), F.col("comp").cast("string"), F.lit(":"))
     padded = F.when(F.length(label) >= 12, label).otherwise(F.rpad(label, 12, " "))
     why = F.concat(F.lit(f" {cells.DASH}   (no original list price"), F.when(F.col("price").isNull(), " or sold price").otherwise(""), F.lit(")"))
     return comps.withColumn("line", F.concat(padded, F.when(F.col("ratio").isNull(), why).otherwise(F.concat(F.lit(" "), cells.percent(F.col("ratio"))))))
 
 
-def report_lines(summary: DataFrame, counts: DataFrame) -> DataFrame:
-    """The narrative, a line per row (seq, line): figures of each bucket, then what was left out.
+def _banner(gate: DataFrame, by: list[str]) -> DataFrame:
+    """The warning that a provisional summary carries: a title, its reasons, an empty line."""
+    lines = F.concat(F.array(F.lit(BANNER)), F.transform("reason_list", lambda r: F.concat(F.lit(BANNER_ITEM), r)), F.array(F.lit("")))
+    return gate.where("provisional").select(*by, F.posexplode(lines).alias("seq", "line")).withColumn("seq", F.col("seq") - 1000)
 
-    ``counts`` is one row of :func:`marketlens.operators.market.accounting`.
+
+def report_lines(summary: DataFrame, counts: DataFrame, gate: DataFrame, comps: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """The narrative, a line per row (by..., seq, line): a banner if provisional, figures of each bucket with the
+    comparables of a small closed set, what was left out, and a footer.
+
+    ``counts`` is :func:`marketlens.operators.market.accounting`, ``gate`` and ``comps`` the operators of those names.
     """
+    by = by or []
     label = F.element_at(F.create_map(*[F.lit(x) for kv in BUCKET_LABEL.items() for x in kv]), F.col("bucket"))
-    base = (F.array_position(F.array(*[F.lit(b) for b in REPORTED]), F.col("bucket")) * 10).cast("int")
+    base = (F.array_position(F.array(*[F.lit(b) for b in REPORTED]), F.col("bucket")) * 100).cast("int")
     n = lambda c: F.col(c).cast("string")
+    # The words of the lines.
     head = F.when(F.col("n_rows") == 0, F.concat(label, F.lit(": 0"))).otherwise(
         F.concat(
             label, F.lit(": "), n("n_rows"), F.lit("   Low "), cells.dollars(F.col("low")), F.lit("   High "), cells.dollars(F.col("high")), F.lit("   Median "), cells.dollars(F.col("median_price")),
             F.when(F.col("missing") > 0, F.concat(F.lit("   ("), n("priced"), F.lit(" of "), n("n_rows"), F.lit(" priced)"))).otherwise(""),
         )
     )
-    dom = F.when(
-        F.col("dom_rows") > 0,
-        F.concat(F.lit("   Median days on market: "), cells.day_count(F.col("dom_median")), F.when(F.col("dom_rows") < F.col("n_rows"), F.concat(F.lit("   ("), n("dom_rows"), F.lit(" of "), n("n_rows"), F.lit(" rows)"))).otherwise("")),
-    )
+    part = lambda rows, words: F.when(F.col(rows) < F.col("n_rows"), F.concat(F.lit("   ("), n(rows), F.lit(" of "), n("n_rows"), F.lit(words))).otherwise("")
+    dom = F.when(F.col("dom_rows") > 0, F.concat(F.lit("   Median days on market: "), cells.day_count(F.col("dom_median")), part("dom_rows", " rows carried a market time)")))
     ratio = F.when(
         (F.col("bucket") == "closed") & (F.col("ratio_rows") > 0),
-        F.concat(F.lit("   Net sale/list ratio: Low "), cells.percent(F.col("ratio_low")), F.lit("   High "), cells.percent(F.col("ratio_high")), F.lit("   Median "), cells.percent(F.col("ratio_median"))),
+        F.concat(F.lit("   Sale/list ratio, net of concessions: Low "), cells.percent(F.col("ratio_low")), F.lit("   High "), cells.percent(F.col("ratio_high")), F.lit("   Median "), cells.percent(F.col("ratio_median")), part("ratio_rows", " with an original list price)")),
     )
-    lines = F.filter(F.array(F.struct(base.alias("seq"), head.alias("line")), F.struct((base + 1).alias("seq"), dom.alias("line")), F.struct((base + 2).alias("seq"), ratio.alias("line"))), lambda x: x["line"].isNotNull())
-    body = summary.where(F.col("bucket").isin(*REPORTED)).select(F.inline(lines))
+    lines = F.filter(F.array(*[F.struct((base + i).alias("seq"), c.alias("line")) for i, c in enumerate((head, dom, ratio))]), lambda x: x["line"].isNotNull())
+    body = summary.where(F.col("bucket").isin(*REPORTED)).select(*by, F.inline(lines))
     tail = [("excluded", "Not counted: "), ("unclassified", "Unrecognized status codes: "), ("unresolved", "Unreadable status: "), ("omitted", "Manually excluded: ")]
-    left = F.filter(F.array(*[F.struct(F.lit(100 + i).alias("seq"), F.when(F.col(c) > 0, F.concat(F.lit(t), n(c))).alias("line")) for i, (c, t) in enumerate(tail)]), lambda x: x["line"].isNotNull())
-    return body.unionByName(counts.select(F.inline(left)))
-
-
-def report_text(lines: DataFrame) -> DataFrame:
-    """The lines as one text (a report has a few dozen lines at most)."""
-    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("report"))
+    left = [F.struct(F.lit(900 + i).alias("seq"), F.when(F.col(c) > 0, F.concat(F.lit(t), n(c))).alias("line")) for i, (c, t) in enumerate(tail)]
+    footer = [F.struct(F.lit(910 + i).alias("seq"), F.lit(t).alias("line")) for i, t in enumerate(("", REPORT_FOOTER))]
+    out = body.unionByName(counts.select(*by, F.inline(F.filter(F.array(*left, *footer), lambda x: x["line"].isNotNull())))).unionByName(_banner(gate, by))
+    if comps is not None:
+        out = out.unionByName(comp_lines(comps.where(F.col("comp") <= COMP_LIST_MAX)).select(*by, (F.lit(310) + F.col("comp")).cast("int").alias("seq"), "line"))
+    return out
+
+
+def form_lines(fields: DataFrame, gate: DataFrame) -> DataFrame:
+    """The form as text, a line per row (seq, line): banner, title, the groups with their fields, footer."""
+    group = F.array_position(F.array(*[F.lit(g) for g in FORM_GROUP]), F.col("grp"))
+    own = form_text(fields.withColumn("place", (group * 100 + F.col("seq")).cast("int")).drop("seq").withColumnRenamed("place", "seq"))
+    fixed = [(0, FORM_TITLE), (900, ""), (901, FORM_FOOTER)] + [row for i, title in enumerate(FORM_GROUP.values(), 1) for row in ((i * 100 - 2, ""), (i * 100 - 1, title))]
+    frame = fields.sparkSession.createDataFrame(fixed, "seq int, line string")
+    return own.unionByName(frame).unionByName(_banner(gate, []))
+
+
+def report_text(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The lines of each report as one text (a report has a few dozen lines at most)."""
+    return lines.groupBy(*(by or [])).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("report"))
+
+
+def render(form: str, summary: DataFrame, counts: DataFrame, gate: DataFrame, comps: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """The output of a format: "text", "form", "tsv" (bucket table) or "rows" (row table)."""
+    if form == "text":
+        return report_text(report_lines(summary, counts, gate, comps))
+    if form == "form":
+        return report_text(form_lines(form_fields(summary), gate))
+    if form == "tsv":
+        return bucket_table(summary, counts.select("unresolved"))
+    if form == "rows":
+        return row_table(rows)
+    raise ValueError(f"unknown format: {form}")
+
+
+def days_note(summary: DataFrame) -> DataFrame:
+    """What the form says about its days field, from the active and closed rows of a summary."""
+    of = lambda b, c: F.max(F.when(F.col("bucket") == b, F.col(c)))
+    named = [of(b, c).alias(f"{b}_{c}") for b in ("active", "closed") for c in ("n_rows", "dom_rows", "dom_median")]
+    text = lambda *parts: F.concat(*[F.lit(p) if p.startswith((" ", ".", "(")) or not p.startswith("@") else F.col(p[1:]).cast("string") for p in parts])
+    # The words of the note.
+    closed = F.when(
+        F.col("closed_dom_rows") > 0,
+        F.concat(F.lit(" Closed sales: "), cells.day_count(F.col("closed_dom_median")), F.lit(" days"), F.when(F.col("closed_dom_rows") < F.col("closed_n_rows"), text(" (", "@closed_dom_rows", " of ", "@closed_n_rows", " sales)")).otherwise(""), F.lit(".")),
+    ).otherwise("")
+    note = (
+        F.when(F.col("active_n_rows") == 0, "No active listings in this search.")
+        .when(F.col("active_dom_rows") == 0, "No market time was read for the active listings.")
+        .when(F.col("active_dom_rows") < F.col("active_n_rows"), text("Rests on ", "@active_dom_rows", " of ", "@active_n_rows", " active listings."))
+        .otherwise(F.concat(text("Median MT of all ", "@active_n_rows", " active listings."), closed))
+    )
+    return summary.agg(*named).select(note.alias("note"))

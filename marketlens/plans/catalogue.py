@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import cells
 from marketlens.functions.vocab import STATUS_BUCKET, status_table
 from marketlens.operators import market, recognition, report
+from marketlens.operators.ranks import medians
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,12 +147,15 @@ def sale_to_list_ratio(spark, sf_dir):
 @query(f"{L} SELECT count(ratio) n_ratio, round(min(ratio), 9) low, round(max(ratio), 9) high, round(median(ratio), 9) median_ratio, round(avg(ratio), 9) mean_ratio FROM P")
 def ratio_stats(spark, sf_dir):
     r = F.col("ratio")
-    return _placed(spark, sf_dir).agg(F.count(r).alias("n_ratio"), F.round(F.min(r), 9).alias("low"), F.round(F.max(r), 9).alias("high"), F.round(F.median(r), 9).alias("median_ratio"), F.round(F.avg(r), 9).alias("mean_ratio"))
+    rows = _placed(spark, sf_dir)
+    plain = rows.agg(F.count(r).alias("n_ratio"), F.round(F.min(r), 9).alias("low"), F.round(F.max(r), 9).alias("high"), F.round(F.avg(r), 9).alias("mean_ratio"))
+    return plain.crossJoin(F.broadcast(medians(rows, [], "ratio").select(F.round("median", 9).alias("median_ratio"))))  # one row each
 
 
 @query(f"{L} SELECT placement, count(*) dom_rows, CAST(round(median(market_time)) AS BIGINT) dom_median FROM P WHERE market_time >= 0 GROUP BY 1")
 def median_dom(spark, sf_dir):
-    return _placed(spark, sf_dir).where("market_time >= 0").groupBy("placement").agg(F.count("*").alias("dom_rows"), F.round(F.median("market_time")).cast("bigint").alias("dom_median"))
+    found = medians(_placed(spark, sf_dir).where("market_time >= 0"), ["placement"], "market_time")
+    return found.select("placement", F.col("n_values").alias("dom_rows"), F.round("median").cast("bigint").alias("dom_median"))
 
 
 @query(f"{L} SELECT placement, count(*) n_rows, count(price) priced, count(*) - count(price) missing FROM P GROUP BY 1")
@@ -195,13 +199,13 @@ def accounting_balance(spark, sf_dir):
 G AS (SELECT segment, count(*) total_rows, count(*) FILTER (WHERE placement = 'unresolved') u, count(*) FILTER (WHERE placement = 'unclassified') x,
  count(*) FILTER (WHERE placement = 'active' AND price IS NULL) pa, count(*) FILTER (WHERE placement = 'pending' AND price IS NULL) pp, count(*) FILTER (WHERE placement = 'closed' AND price IS NULL) pc,
  count(*) FILTER (WHERE placement = 'active' AND coalesce(market_time < 0, true)) d FROM R GROUP BY 1)
-SELECT segment, total_rows, total_rows accounted, true balanced, u + x + pa + pp + pc + d > 0 provisional, concat_ws('; ', CASE WHEN u > 0 THEN u || ' of ' || total_rows || ' rows without a readable status' END,
- CASE WHEN x > 0 THEN x || ' rows with an unknown status code' END, CASE WHEN pa > 0 THEN pa || ' active rows without a price' END, CASE WHEN pp > 0 THEN pp || ' pending rows without a price' END,
- CASE WHEN pc > 0 THEN pc || ' closed rows without a price' END, CASE WHEN d > 0 THEN d || ' active rows without days on market' END) reasons FROM G"""
+SELECT segment, total_rows, total_rows accounted, true balanced, u + x + pa + pp + pc + d > 0 provisional, concat_ws('; ', CASE WHEN u > 0 THEN u || ' of ' || total_rows || ' row(s) have no readable status' END,
+ CASE WHEN x > 0 THEN x || ' row(s) carry an unrecognized status code' END, CASE WHEN pa > 0 THEN pa || ' active row(s) have no readable price' END, CASE WHEN pp > 0 THEN pp || ' pending row(s) have no readable price' END,
+ CASE WHEN pc > 0 THEN pc || ' closed row(s) have no readable price' END, CASE WHEN d > 0 THEN d || ' active row(s) have no market time' END) reasons FROM G"""
 )
 def provisional_reasons(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("segment"))
-    return market.gate(_placed(spark, sf_dir).join(c, "custkey"), ["segment"])
+    return market.gate(_placed(spark, sf_dir).join(c, "custkey"), ["segment"]).drop("reason_list")
 
 
 @query(f"{L} SELECT n, mls, status, placement FROM P WHERE placement IN ('unresolved', 'omitted')")
@@ -381,18 +385,44 @@ def _ratio_text(c):
     return f"format('{{:.3f}}', {c} * 100) || '%'"
 
 
+def _lines_sql(by: str = "") -> str:
+    """CTEs that end in T (by, seq, line): the report's lines, from P (rows) per ``by``, with its bucket summary in S."""
+    k, p = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
+    using = f"USING ({by})" if by else "ON true"
+    group = f"GROUP BY {by}" if by else ""
+    miss = lambda b: f"count(*) FILTER (WHERE placement = '{b}' AND price IS NULL) p_{b}"
+    return f"""A AS (SELECT {k}count(*) n_all, count(*) FILTER (WHERE placement = 'unresolved') u, count(*) FILTER (WHERE placement = 'omitted') o, count(*) FILTER (WHERE placement = 'excluded') e, count(*) FILTER (WHERE placement = 'unclassified') x,
+ {miss('active')}, {miss('pending')}, {miss('closed')}, count(*) FILTER (WHERE placement = 'active' AND coalesce(market_time < 0, true)) d FROM P {group}),
+B AS (SELECT {k}list_filter([CASE WHEN u > 0 THEN u || ' of ' || n_all || ' row(s) have no readable status' END, CASE WHEN x > 0 THEN x || ' row(s) carry an unrecognized status code' END,
+ CASE WHEN p_active > 0 THEN p_active || ' active row(s) have no readable price' END, CASE WHEN p_pending > 0 THEN p_pending || ' pending row(s) have no readable price' END, CASE WHEN p_closed > 0 THEN p_closed || ' closed row(s) have no readable price' END,
+ CASE WHEN d > 0 THEN d || ' active row(s) have no market time' END], lambda r: r IS NOT NULL) r FROM A),
+B2 AS (SELECT {k}['*** PROVISIONAL — do not use without checking: ***'] || list_transform(r, lambda y: '***   • ' || y) || [''] r FROM B WHERE len(r) > 0),
+Q AS (SELECT *, CASE bucket WHEN 'active' THEN 100 WHEN 'pending' THEN 200 ELSE 300 END base, CASE bucket WHEN 'active' THEN 'Active listings' WHEN 'pending' THEN 'Pending sales' ELSE 'Closed sales' END lab FROM S WHERE bucket IN ('active', 'pending', 'closed')),
+M AS (SELECT {k}price, ratio, row_number() OVER ({p}ORDER BY n) c, count(*) OVER ({p.strip()}) n_c, count(ratio) OVER ({p.strip()}) n_r FROM P WHERE placement = 'closed'),
+T AS (SELECT {k}base seq, CASE WHEN n_rows = 0 THEN lab || ': 0' ELSE lab || ': ' || n_rows || '   Low ' || {_MONEY.format('low')} || '   High ' || {_MONEY.format('high')} || '   Median ' || {_MONEY.format('median_price')} || CASE WHEN missing > 0 THEN '   (' || priced || ' of ' || n_rows || ' priced)' ELSE '' END END AS line FROM Q
+UNION ALL SELECT {k}base + 1, '   Median days on market: ' || format('{{:,}}', dom_median) || CASE WHEN dom_rows < n_rows THEN '   (' || dom_rows || ' of ' || n_rows || ' rows carried a market time)' ELSE '' END FROM Q WHERE dom_rows > 0
+UNION ALL SELECT {k}base + 2, '   Sale/list ratio, net of concessions: Low ' || {_ratio_text('ratio_low')} || '   High ' || {_ratio_text('ratio_high')} || '   Median ' || {_ratio_text('ratio_median')} || CASE WHEN ratio_rows < n_rows THEN '   (' || ratio_rows || ' of ' || n_rows || ' with an original list price)' ELSE '' END FROM Q WHERE bucket = 'closed' AND ratio_rows > 0
+UNION ALL SELECT {k}310 + c, rpad('   Comp ' || c || ':', CAST(greatest(12, length('   Comp ' || c || ':')) AS INTEGER), ' ') || coalesce(' ' || {_ratio_text('ratio')}, ' —   (no original list price' || CASE WHEN price IS NULL THEN ' or sold price' ELSE '' END || ')') FROM M WHERE n_c <= 10 AND n_r > 0
+UNION ALL SELECT {k}900, 'Not counted: ' || e FROM A WHERE e > 0 UNION ALL SELECT {k}901, 'Unrecognized status codes: ' || x FROM A WHERE x > 0 UNION ALL SELECT {k}902, 'Unreadable status: ' || u FROM A WHERE u > 0 UNION ALL SELECT {k}903, 'Manually excluded: ' || o FROM A WHERE o > 0
+UNION ALL SELECT {k}910, '' FROM A UNION ALL SELECT {k}911, 'Prices: list price for active and pending, sold price for closed. Median of an even count is the mean of the two middle values. Ratio = (sold − concessions) ÷ original list price.' FROM A
+UNION ALL SELECT {k}i - 1000, r[i] FROM B2, (SELECT unnest(range(1, 20)) i) WHERE i <= len(r))"""
+
+
+@query(f"{L}, {_SUMMARY}, {_lines_sql()} SELECT string_agg(line, chr(10) ORDER BY seq) report FROM T")
+def report_text(spark, sf_dir):
+    rows = _placed(spark, sf_dir)
+    return report.render("text", market.bucket_summary(rows), market.accounting(rows), market.gate(rows))
+
+
 @query(
-    f"""{L}, {_SUMMARY}, A AS (SELECT count(*) FILTER (WHERE placement = 'unresolved') u, count(*) FILTER (WHERE placement = 'omitted') o, count(*) FILTER (WHERE placement = 'excluded') e, count(*) FILTER (WHERE placement = 'unclassified') x FROM P),
-Q AS (SELECT *, CASE bucket WHEN 'active' THEN 10 WHEN 'pending' THEN 20 ELSE 30 END base, CASE bucket WHEN 'active' THEN 'Active listings' WHEN 'pending' THEN 'Pending sales' ELSE 'Closed sales' END lab FROM S WHERE bucket IN ('active', 'pending', 'closed')),
-T AS (SELECT base seq, CASE WHEN n_rows = 0 THEN lab || ': 0' ELSE lab || ': ' || n_rows || '   Low ' || {_MONEY.format('low')} || '   High ' || {_MONEY.format('high')} || '   Median ' || {_MONEY.format('median_price')} || CASE WHEN missing > 0 THEN '   (' || priced || ' of ' || n_rows || ' priced)' ELSE '' END END AS line FROM Q
-UNION ALL SELECT base + 1, '   Median days on market: ' || format('{{:,}}', dom_median) || CASE WHEN dom_rows < n_rows THEN '   (' || dom_rows || ' of ' || n_rows || ' rows)' ELSE '' END FROM Q WHERE dom_rows > 0
-UNION ALL SELECT base + 2, '   Net sale/list ratio: Low ' || {_ratio_text('ratio_low')} || '   High ' || {_ratio_text('ratio_high')} || '   Median ' || {_ratio_text('ratio_median')} FROM Q WHERE bucket = 'closed' AND ratio_rows > 0
-UNION ALL SELECT 100, 'Not counted: ' || e FROM A WHERE e > 0 UNION ALL SELECT 101, 'Unrecognized status codes: ' || x FROM A WHERE x > 0 UNION ALL SELECT 102, 'Unreadable status: ' || u FROM A WHERE u > 0 UNION ALL SELECT 103, 'Manually excluded: ' || o FROM A WHERE o > 0)
-SELECT string_agg(line, chr(10) ORDER BY seq) report FROM T"""
+    f"""{L}, S AS (SELECT mls, bucket, {_SPINE} FROM (SELECT DISTINCT mls FROM P) CROSS JOIN {_BUCKETS} LEFT JOIN (SELECT mls, placement bucket, {_STATS} FROM P GROUP BY 1, 2) USING (mls, bucket)),
+{_lines_sql('mls')} SELECT mls, string_agg(line, chr(10) ORDER BY seq) report FROM T GROUP BY 1"""
 )
-def report_text(spark, sf_dir):
+def report_by_key(spark, sf_dir):
+    """A report for each listing number, with the lines of its comparables where it has few closed sales."""
     rows = _placed(spark, sf_dir)
-    return report.report_text(report.report_lines(market.bucket_summary(rows), market.accounting(rows)))
+    by = ["mls"]
+    return report.report_text(report.report_lines(market.bucket_summary(rows, by), market.accounting(rows, by), market.gate(rows, by), market.comp_list(rows, by), by), by)
 
 
 # Columns of a grid, one row per (order, column): list and orig are full, sold is there on closed rows, net tax is small.
@@ -510,10 +540,8 @@ FROM O a JOIN O b ON a.own = b.own AND a.r = 1 AND b.r = 2"""
 )
 def cluster_vote(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
-    bank = recognition.template_bank(e).select(F.col("label").alias("candidate"), "template")
-    each = e.crossJoin(F.broadcast(bank))  # a fixed vocabulary of labels
-    shape = F.round(recognition.ncc(F.col("embedding"), F.col("template")), 9)
-    ranked = each.select(F.col("label").alias("cluster"), "vec_id", "candidate", shape.alias("shape"), (shape * 0.75 + 0.25).alias("combined"))
+    scored = recognition.scores(e, recognition.template_bank(e))
+    ranked = scored.select(F.col("label").alias("cluster"), "vec_id", F.explode("scores").alias("s")).select("cluster", "vec_id", F.col("s.label").alias("candidate"), F.col("s.shape").alias("shape"), (F.col("s.shape") * 0.75 + 0.25).alias("combined"))
     return recognition.votes(ranked, "cluster", "vec_id", "candidate", "combined", "shape")
 
 
@@ -549,16 +577,9 @@ def interval_overlap_nearest(spark, sf_dir):
     """SELECT l_returnflag, l_linestatus, CAST(median(CAST(l_quantity AS BIGINT)) AS DOUBLE) mid_median, list(CAST(l_quantity AS BIGINT) ORDER BY l_quantity)[count(*) // 2 + 1] upper_median FROM lineitem GROUP BY 1, 2"""
 )
 def upper_median(spark, sf_dir):
-    """The upper median of each group from the counts per value (values meet as a histogram, not as rows)."""
-    from pyspark.sql import Window as W
-
-    hist = _table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", F.col("l_quantity").cast("bigint").alias("v")).agg(F.count("*").alias("n"))
-    g = W.partitionBy("l_returnflag", "l_linestatus")
-    run = hist.withColumn("upto", F.sum("n").over(g.orderBy("v").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(g))
-    upper = F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("v")))
-    lower = F.min(F.when(F.col("upto") >= F.ceil(F.col("total") / 2), F.col("v")))
-    even = F.max(F.col("total")) % 2 == 0
-    return run.groupBy("l_returnflag", "l_linestatus").agg(F.when(even, (lower + upper) / 2).otherwise(upper.cast("double")).alias("mid_median"), upper.alias("upper_median"))
+    rows = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("bigint").alias("v"))
+    found = recognition.upper_medians(rows, ["l_returnflag", "l_linestatus"], "v")
+    return found.select("l_returnflag", "l_linestatus", ((F.col("lower") + F.col("upper")) / 2).alias("mid_median"), F.col("upper").alias("upper_median"))
 
 
 @query(

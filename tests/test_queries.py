@@ -4,7 +4,7 @@ import decimal
 
 import pytest
 
-from marketlens.plans import catalogue
+from marketlens.plans import catalogue, layers  # noqa: F401  (layers adds its queries)
 from tests.conftest import DATA
 
 
