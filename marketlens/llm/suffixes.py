@@ -1,20 +1,25 @@
-"""Suffix dedup: a logarithmic family of sampled suffix arrays, and exact removal of long repeats.
+"""Suffix dedup: a logarithmic family of sampled suffix arrays, and removal of long repeats.
 
 A byte goes if a ``length``-byte string that covers it also starts anywhere else, in the same text or another.
 
 Sorting every suffix of a corpus costs more than the corpus is worth here (the README has figures), so the
-arrays hold the suffixes that :mod:`segments` picks: any repeat of ``length`` bytes meets at one of them.  A
-batch of texts gives an array of (key, segment hash, place) rows sorted by key.  :class:`LevelFamily` keeps
-arrays as levels of geometrically growing size: a new batch is merge-scanned against every level for keys met
-before, and two levels of equal rank merge into one of the next rank.
-
-Keys met twice lead to exact marks: a segment whose bytes occur twice is removed whole; segments that share a
-key but not all bytes are compared window by window, by groups of a key, and for keys with more than ``HOT``
-different segments by counting window hashes across tasks, so that no group is gathered anywhere.
-
-Texts are identified by 96 bits of hash, so copies are indexed once per distinct text and place.
+arrays hold the suffixes that :mod:`segments` picks: any repeat of ``length`` bytes meets at one of them.  Equal texts
+are indexed once; a text that is there twice goes whole.  A batch of texts gives an array of (key, segment hash, place)
+rows.  :class:`LevelFamily` keeps the keys of earlier batches, with their counts, as levels of geometrically growing
+size: a new batch is matched against every level for keys met before, and two levels of equal rank merge into one of
+the next rank.  The number of batches follows the size of the texts.
+
+Keys met twice lead to marks: a segment whose bytes occur twice (by a 64-bit hash under a 64-bit key) is removed whole;
+segments that share a key but not all bytes are compared window by window, by groups of a key, and for keys with more
+than ``HOT`` different segments by counting window hashes across tasks, so that no group is gathered anywhere.  Windows
+are compared by 64-bit hashes under their key: with n windows of a key, two different ones agree by chance about once
+in 2^65 / n^2.
+
+Texts are identified by 96 bits of hash.
 Defined results: null and empty texts have no bytes and lose none; texts shorter than ``length`` lose none;
-repeated rows are copies of each other and lose every byte (from ``length`` bytes on).
+repeated rows are copies of each other and lose every byte (from ``length`` bytes on); a very long text is cut in runs
+of 262144 windows, whose segments are shorter at the cuts and compared window by window there; other columns stay as
+they are, and an input column of the result's name is replaced.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import byte_values, discard, slices, stored
 from marketlens.llm.segments import LENGTH, segments
 
-#: Batches that a whole table is added in.
-BATCHES = 4
+#: Bytes of texts in a batch, and batches at least and at most.
+BATCH_SIZE, LEAST_BATCHES, MOST_BATCHES = 256 << 20, 2, 64
 #: Different segments of a key up to which one task compares them (some MB of text, as segments are short).
 HOT = 16384
 #: Rows that a task works on at a time.
@@ -46,7 +51,7 @@ def _named(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("t", t).withColumn("t1", F.xxhash64("t")).withColumn("t2", F.hash("t"))
 
 
-def suffix_arrays(texts: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+def suffix_arrays(texts: DataFrame, length: int, batches: int) -> DataFrame:
     """(batch, key, seg, t1, t2, lo, hi) rows, each task's batch of texts sorted by key."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,29 +70,30 @@ def suffix_arrays(texts: DataFrame, length: int = LENGTH, batches: int = BATCHES
 
 
 class LevelFamily:
-    """Levels of sorted suffix arrays; the rank of a level grows by one when two of a rank merge."""
+    """Levels of keys with their counts; the rank of a level grows by one when two of a rank merge."""
 
     def __init__(self):
-        self.levels: list[tuple[int, DataFrame, bool]] = []
-
-    def merge(self) -> None:
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, b, own_b), (_, a, own_a) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, stored(a.unionByName(b).repartition("key").sortWithinPartitions("key"), "level"), True))
-            discard(*(x for x, own in ((a, own_a), (b, own_b)) if own))
+        self.levels: list[tuple[int, DataFrame]] = []
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Keys of ``batch`` that occur twice in it or in any level; ``batch`` becomes a level of rank 0."""
-        self.merge()
-        own = batch.groupBy("key").agg(F.count("*").alias("n"))
+        """Keys of ``batch`` that occur twice in it or in any level; ``batch`` becomes a level of rank 0.
+
+        A batch is reduced to a row per key before it is dealt out, so a key that is everywhere is one row too.
+        """
+        own = stored(batch.groupBy("key").agg(F.count("*").alias("n")), "level")
         found = own.where(F.col("n") > 1).select("key")
-        for _, level, _ in self.levels:
+        for _, level in self.levels:
             found = found.unionAll(own.select("key").join(level.select("key"), "key", "left_semi"))
-        self.levels.append((0, batch, False))
-        return stored(found.distinct(), "matched")
+        matched = stored(found.distinct(), "matched")
+        self.levels.append((0, own))
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, b), (_, a) = self.levels.pop(), self.levels.pop()
+            self.levels.append((rank + 1, stored(a.unionByName(b).groupBy("key").agg(F.sum("n").alias("n")), "level")))
+            discard(a, b)
+        return matched
 
     def drop(self) -> None:
-        discard(*(level for _, level, own in self.levels if own))
+        discard(*(level for _, level in self.levels))
         self.levels = []
 
 
@@ -178,34 +184,37 @@ def _spread(length: int):
     return run
 
 
-def repeats(texts: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+def repeats(texts: DataFrame, length: int = LENGTH, batches: int | None = None) -> DataFrame:
     """(t1, t2, a, b): byte ranges to remove from each distinct text (they may overlap)."""
-    spark = texts.sparkSession
-    rows = stored(suffix_arrays(texts, length, batches), "suffixes", "batch")
+    one = stored(texts.groupBy(*TEXT).agg(F.first("t").alias("t"), F.count("*").alias("copies")).where(F.octet_length("t") >= length), "texts")
+    if batches is None:
+        size = one.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0)).alias("n")).first().n
+        batches = max(LEAST_BATCHES, min(MOST_BATCHES, -(-size // BATCH_SIZE)))
+    rows = stored(suffix_arrays(one, length, batches), "suffixes", "batch")
     family = LevelFamily()
     found = [family.add(rows.where(F.col("batch") == b).drop("batch")) for b in range(batches)]
     matched = found[0]
     for more in found[1:]:
         matched = matched.unionAll(more)
     family.drop()
-    met = rows.drop("batch").join(matched.distinct(), "key").groupBy("key", "seg", *TEXT, "lo", "hi").agg(F.count("*").alias("n"))
-    met = stored(met, "met")
+    # Each key once on the right; a crowded key's rows on the left can be split among tasks.
+    met = stored(rows.drop("batch").join(stored(matched.distinct(), "matched"), "key"), "met")
     discard(rows, *found)
 
     place = F.struct("t1", "t2", "lo", "hi")
-    kinds = stored(met.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(place).alias("at")), "kinds")
+    kinds = stored(met.groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(place).alias("at")), "kinds")
     whole = met.join(kinds.where(F.col("n") > 1).select("key", "seg"), ["key", "seg"]).select(*TEXT, F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1)
     open_ = kinds.join(several, "key").select("key", (F.col("kinds") > HOT).alias("hot"), (F.col("n") > 1).alias("full"), "at.*")
     asked = open_.groupBy(*TEXT).agg(F.collect_list(F.struct("key", "hot", "full", "lo", "hi")).alias("rows"))
-    one = texts.select("t", *TEXT).dropDuplicates(TEXT)
     cut = stored(one.join(asked, TEXT).select("t", *TEXT, "rows").mapInArrow(_cut(length), CUT), "cut")
     part = cut.where(~F.col("hot")).repartition("key").sortWithinPartitions("key").mapInArrow(_compare(length), "t1 bigint, t2 int, a int, b int")
     spread = cut.where("hot").mapInArrow(_spread(length), "key bigint, h bigint, full boolean, t1 bigint, t2 int, p int")
     twice = spread.groupBy("key", "h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key", "h")
     hot = spread.where(~F.col("full")).join(twice, ["key", "h"]).select(*TEXT, F.col("p").alias("a"), (F.col("p") + length).alias("b"))
-    marks = stored(whole.unionAll(part).unionAll(hot), "marks")
-    discard(met, kinds, cut)
+    copied = one.where(F.col("copies") > 1).select(*TEXT, F.lit(0).alias("a"), F.octet_length("t").alias("b"))
+    marks = stored(whole.unionAll(part).unionAll(hot).unionAll(copied), "marks")
+    discard(met, kinds, cut, one)
     return marks
 
 
@@ -238,7 +247,7 @@ def _keep_udf(digest: bool):
     return F.arrow_udf(run, kind)
 
 
-def dedup(docs: DataFrame, text: str = "text", out: str = "dedup", digest: bool = False, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", out: str = "dedup", digest: bool = False, length: int = LENGTH, batches: int | None = None) -> DataFrame:
     """``docs`` with a struct column ``out``: n_bytes, n_removed, n_spans and the kept bytes (or their SHA-256)."""
     names = docs.columns
     packed = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))

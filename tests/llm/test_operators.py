@@ -247,6 +247,17 @@ def test_suffix_dedup_random(spark):
         assert got == dict(enumerate(plain_dedup(texts, 200)))
 
 
+def test_suffix_dedup_of_very_long_texts(spark):
+    """Texts longer than a run of windows, with a repeat across the cut."""
+    rng = np.random.default_rng(6)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    long, shared = letters(segments.CHUNK + 5000), letters(700)
+    at = segments.CHUNK - 300
+    texts = [long[:at] + shared + long[at:], letters(100) + shared + letters(segments.CHUNK), shared[:150]]
+    got = {r.doc_id: bytes(r.dedup.kept).decode() for r in suffixes.dedup(spark.createDataFrame(list(enumerate(texts)), SCHEMA).withColumn("copies", F.lit(1))).collect()}
+    assert got == {0: long, 1: texts[1].replace(shared, ""), 2: texts[2]}
+
+
 def test_segments_cover_all_windows(monkeypatch):
     monkeypatch.setattr(segments, "CHUNK", 500)
     text = bytes(np.random.default_rng(1).integers(0, 4, 3000).astype(np.uint8))
