@@ -6,17 +6,20 @@ words, but not none, is one window).  Each window enters the automaton once, fra
 items that hold it.  Every document is normalised and scanned once; match ends are turned into word
 numbers, and word numbers into offsets in the original text where a caller asks for spans.
 
-The automaton holds the benchmark, not the corpus.  Its size is checked: patterns of more than
-``block_bytes`` are dealt to several automata, each broadcast and dropped in turn, and the documents are
-scanned once for each such block; a document's blocks meet again in one aggregation.
+The automaton holds the benchmark, not the corpus.  Windows are built by Spark tasks, one row for each different
+one.  Their size is measured: beyond ``block_bytes`` they are dealt to several automata of that size, each broadcast,
+used for one scan of the documents, and dropped before the next; a document's hits of all blocks meet again in one
+aggregation.
 
 Defined results: null and empty texts have no words and are never contaminated; items without words and
-items with a null id or null text match nothing; repeated rows get equal values; repeated items each count.
+items with a null id or null text match nothing; repeated rows get equal values; an item that is there several times
+counts once; other columns stay as they are, and an input column of the result's name is replaced; a very long text is
+scanned whole.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from marketlens.llm.common import byte_values, slices
+from marketlens.llm.common import byte_values, discard, slices, stored
 
 #: Words of a window.
 WIDTH = 13
@@ -34,6 +38,8 @@ BLOCK_BYTES = 8 << 20
 #: A-Z to a-z, ASCII letters and digits and all bytes of non-ASCII characters kept, the rest blank.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+_words = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+").finditer
+
 HITS = "struct<n_words:bigint,hit_words:array<int>,items:array<string>>"
 
 
@@ -41,28 +47,19 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def windows(items: list[tuple[str, bytes]], width: int = WIDTH) -> dict[str, list[str]]:
-    """Framed window -> the ids of the items that hold it."""
-    out: dict[str, dict[str, None]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            key = (b" " + b" ".join(words[i : i + width]) + b" ").decode("latin-1")
-            out.setdefault(key, {})[item] = None
-    return {k: list(v) for k, v in out.items()}
-
-
-def blocks(patterns: dict[str, list[str]], most: int = BLOCK_BYTES) -> list[dict[str, list[str]]]:
-    """Patterns dealt to blocks of at most ``most`` bytes each (one block, as a rule)."""
-    out: list[dict[str, list[str]]] = [{}]
-    size = 0
-    for key, items in patterns.items():
-        size += len(key)
-        if size > most and out[-1]:
-            out.append({})
-            size = len(key)
-        out[-1][key] = items
-    return out
+def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(pattern, items) of (i, t): each different framed window, with the ids of the items that hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            found = {}
+            for item, text in zip(batch["i"].to_pylist(), byte_values(batch["t"])):
+                words = words_of(text)
+                for k in range(max(1, len(words) - width + 1) if words else 0):
+                    found[b" " + b" ".join(words[k : k + width]) + b" ", item] = None
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.binary()), pa.array([i for _, i in found], pa.string())], names=["pattern", "item"])
+
+    return benchmark.mapInArrow(run, "pattern binary, item string").groupBy("pattern").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 class Scanner:
@@ -109,16 +106,35 @@ def _scan_udf(patterns):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "hits", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, hit_words (word numbers from 0) and items (ids found)."""
-    spark = docs.sparkSession
-    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).dropna()
-    patterns = windows([(r.i, r.t.encode()) for r in rows.toLocalIterator()], width)
-    scans = [_scan_udf(spark.sparkContext.broadcast(b))(F.col(f"`{text}`")) for b in blocks(patterns, block_bytes)]
-    if len(scans) == 1:
-        return docs.withColumn(out, scans[0])
-    each = docs.withColumn(out, F.array(*scans))
-    hit = F.array_sort(F.array_distinct(F.flatten(F.transform(F.col(out), lambda x: x["hit_words"]))))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.col(out), lambda x: x["items"]))))
-    return each.withColumn(out, F.struct(F.col(out)[0]["n_words"].alias("n_words"), hit.alias("hit_words"), ids.alias("items")))
+    sc = docs.sparkSession.sparkContext
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).dropna()
+    patterns = stored(windows(items, width), "windows")
+    size = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern").cast("long")), F.lit(0)).alias("n")).first().n
+    blocks = max(1, -(-size // block_bytes))
+
+    def block(b: int):
+        """The patterns of a block, about ``block_bytes`` of them, for every worker."""
+        rows = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).collect()
+        return sc.broadcast({bytes(r.pattern).decode("latin-1"): r["items"] for r in rows})
+
+    if blocks == 1:
+        return docs.withColumn(out, _scan_udf(block(0))(F.col(f"`{text}`")))
+    names = [c for c in docs.columns if c != out]
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("t"), F.monotonically_increasing_id().alias("uid")), "documents")
+    found = []
+    for b in range(blocks):
+        shared = block(b)
+        scanned = rows.select("uid", _scan_udf(shared)("t").alias("h")).select("uid", "h.*")
+        found.append(stored(scanned if b == 0 else scanned.where(F.size("hit_words") > 0), "hits"))
+        shared.destroy()
+    discard(patterns)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    # A row per block at most for each document.
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    met = every.groupBy("uid").agg(F.max("n_words").alias("n_words"), union("hit_words"), union("items"))
+    return rows.join(met, "uid").select("row.*", F.struct("n_words", "hit_words", "items").alias(out))
 
 
 def contaminated(hits: str = "hits"):
@@ -129,9 +145,7 @@ def contaminated(hits: str = "hits"):
 
 def spans_in_text(text: str, hit_words: list[int]) -> list[tuple[int, int]]:
     """Runs of hit words as character ranges of the original text."""
-    import re
-
-    at = [m.span() for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    at = [m.span() for m in _words(text)] if len(hit_words) else []
     out: list[tuple[int, int]] = []
     last = -2
     for w in hit_words:
@@ -143,6 +157,8 @@ def spans_in_text(text: str, hit_words: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def digest(items: list[str]) -> str:
-    """SHA-256 of the sorted ids, comma-joined (the plain form of the query's expression, for tests)."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+@F.arrow_udf(ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType())))
+def spans(texts: pa.Array, hit_words: pa.Array) -> pa.Array:
+    """Runs of hit words as character ranges of the original texts."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    return pa.array([[{"start": a, "end": b} for a, b in spans_in_text(t or "", h or [])] for t, h in zip(texts.to_pylist(), hit_words.to_pylist())], kind)

@@ -52,6 +52,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hits.items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("hits.items"), ",").cast("binary"), 256).alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"),
+        F.array_join(F.transform(decontaminate.spans("text", "hits.hit_words"), lambda x: F.concat_ws("-", x["start"], x["end"])), ",").alias("spans"),
     )
 
 
@@ -110,9 +111,14 @@ B AS (SELECT DISTINCT item, least(len(w), 13) n, array_to_string(w[i:i + 12], '
 X AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) i FROM D, (SELECT DISTINCT n FROM B) WHERE len(w) >= n)),
 H AS (SELECT doc_id, item, i, n FROM X JOIN B USING (n, t)),
 W AS (SELECT doc_id, count(DISTINCT k) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) k FROM H) GROUP BY 1),
-T AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT doc_id, item FROM H) GROUP BY 1)
-SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated
-FROM D LEFT JOIN W USING (doc_id) LEFT JOIN T USING (doc_id)"""
+T AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT doc_id, item FROM H) GROUP BY 1),
+S0 AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') g, regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') o FROM documents WHERE doc_id IN (SELECT doc_id FROM H)),
+S1 AS (SELECT doc_id, k, g, o, CASE WHEN regexp_matches(t, '^[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]') THEN 0 ELSE 1 END f FROM S0 JOIN (SELECT DISTINCT doc_id, unnest(range(i, i + n)) k FROM H) USING (doc_id)),
+S2 AS (SELECT doc_id, k, CAST(list_sum(list_transform(o[1:k - 1], lambda x: length(x))) AS BIGINT) a, CAST(list_sum(list_transform(g[1:k - 1 + f], lambda x: length(x))) AS BIGINT) b, length(o[k]) c FROM S1),
+S3 AS (SELECT doc_id, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) r, coalesce(a, 0) + coalesce(b, 0) p, c FROM S2),
+S4 AS (SELECT doc_id, string_agg(p || '-' || q, ',' ORDER BY p) spans FROM (SELECT doc_id, r, min(p) p, max(p + c) q FROM S3 GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated, coalesce(spans, '') spans
+FROM D LEFT JOIN W USING (doc_id) LEFT JOIN T USING (doc_id) LEFT JOIN S4 USING (doc_id)"""
 
 _OP8 = """WITH RECURSIVE K AS (SELECT 'c' || conv_id || '-' || turn id, turn, text, CASE WHEN turn >= 2 THEN 'c' || conv_id || '-' || (turn - 2) END AS after FROM conversations WHERE role = 'user'),
 R AS (SELECT 'c' || conv_id || '-' || (turn - 1) id, turn, text FROM conversations WHERE role = 'assistant'),

@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     parts = stored(components(near_links(least.select("fp"), radius)), "parts")
     joined = least.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     # A third of all fingerprints may be one component: the minimum is taken before the rows meet.
-    component = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written first, so that a component's rows can be split among tasks where they meet it.
+    component = stored(joined.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     known = joined.join(component, "root").select("fp", "component_id")
     return rows.join(known, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -3,11 +3,13 @@
 All of it is DataFrame expressions and Spark ML's JVM trees.  The labelled URLs are those that a rule decides;
 the trees learn from them and judge the rest.  Features: lengths, depth, digit and punctuation shares, character
 entropy, parameter counts, labels of the host, and statistics of the host's suffix (its last label: how often
-it occurs among labelled URLs, and its smoothed share of blocked ones).
+it occurs among labelled URLs, and its smoothed share of blocked ones).  A labelled URL takes these statistics from the
+labelled URLs of other hosts only (its host's fold is left out), so the trees never meet their own labels in a feature.
 
 Defined results: a null url or one without "://" has empty host and path, fits no rule and is judged like any
 other; without labelled URLs the method allows everything, with labels of one kind it gives that kind; repeated
-rows get equal verdicts.
+rows get equal verdicts; input columns named host, path, rule, verdict or score are replaced, all others stay; a very
+long url is judged whole.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ ITERATIONS, DEPTH, SEED = 12, 4, 17
 ROWS = 200_000
 #: Weight of the mean in a suffix's share of blocked URLs.
 PRIOR = 20.0
+#: Folds of hosts for the suffix statistics of labelled URLs.
+FOLDS = 5
 FEATURES = ["url_length", "host_length", "path_length", "query_length", "depth", "digit_share", "mark_share", "entropy", "parameters", "host_labels", "hyphens", "suffix_count", "suffix_blocked"]
 
 
@@ -80,32 +84,46 @@ def lexical(pages: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """(suffix, suffix_count, suffix_blocked) over labelled URLs (column blocked, 0 or 1)."""
-    mean = labelled.agg(F.coalesce(F.avg("blocked"), F.lit(0.5)).alias("m")).first().m
-    n = F.count("*")
-    return labelled.groupBy("suffix").agg(F.log1p(n).alias("suffix_count"), ((F.sum("blocked") + PRIOR * mean) / (n + PRIOR)).alias("suffix_blocked"))
+def suffix_statistics(labelled: DataFrame, mean: float) -> DataFrame:
+    """(suffix, fold, suffix_count, suffix_blocked) over labelled URLs (columns fold, and blocked, 0 or 1): for each
+    fold from the URLs of the other folds, and under a null fold from all of them."""
+    each = labelled.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
+    whole = each.groupBy("suffix").agg(F.sum("n").alias("n_all"), F.sum("b").alias("b_all"))
+    apart = each.join(whole, "suffix").select("suffix", "fold", (F.col("n_all") - F.col("n")).alias("n"), (F.col("b_all") - F.col("b")).alias("b"))
+    both = apart.unionByName(whole.select("suffix", F.lit(None).cast("long").alias("fold"), F.col("n_all").alias("n"), F.col("b_all").alias("b")))
+    return both.select("suffix", "fold", F.log1p("n").alias("suffix_count"), ((F.col("b") + PRIOR * mean) / (F.col("n") + PRIOR)).alias("suffix_blocked"))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], url: str = "url") -> DataFrame:
-    """``pages`` with host, path, rule, verdict and the method's score (share of "block")."""
+def fold_of(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS))
+
+
+def judge(pages: DataFrame, rules: dict[str, str], url: str = "url", without_fold: int | None = None) -> DataFrame:
+    """``pages`` with host, path, rule, verdict and the method's score (share of "block").
+
+    ``without_fold`` leaves the labelled URLs of a fold of hosts out of the training, to measure the method on them.
+    """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
     kept = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{url}`").alias("url"))
     parsed = kept.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     parsed = parsed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.element_at(F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]), F.col("rule")) if rules else F.lit(None).cast("string")
     known = lexical(parsed.select("url", "host", "path", by_rule.alias("label")).where(F.col("label").isNotNull()))
-    known = stored(known.withColumn("blocked", (F.col("label") == "block").cast("double")).drop("url", "host", "path", "label"), "labelled")
+    known = known.withColumn("blocked", (F.col("label") == "block").cast("double")).withColumn("fold", fold_of(F.col("host")))
+    if without_fold is not None:
+        known = known.where(F.col("fold") != without_fold)
+    known = stored(known.drop("url", "host", "path", "label"), "labelled")
     n, low, high = known.agg(F.count("*"), F.min("blocked"), F.max("blocked")).first()
     if not n or low == high:
         scored = parsed.withColumn("score", F.lit(float(high or 0.0)))
     else:
-        suffixes = stored(suffix_statistics(known), "suffix")
-        unseen = {"suffix_count": 0.0, "suffix_blocked": known.agg(F.avg("blocked")).first()[0]}
+        mean = known.agg(F.avg("blocked")).first()[0]
+        suffixes = stored(suffix_statistics(known, mean), "suffix")
+        unseen = {"suffix_count": 0.0, "suffix_blocked": mean}
         vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = vector.transform(known.join(suffixes, "suffix")).select("features", F.col("blocked").alias("label")).repartition(-(-n // ROWS))
+        train = vector.transform(known.join(suffixes, ["suffix", "fold"])).select("features", F.col("blocked").alias("label")).repartition(-(-n // ROWS))
         model = GBTClassifier(maxIter=ITERATIONS, maxDepth=DEPTH, seed=SEED, maxBins=64).fit(train)
-        full = lexical(parsed).join(suffixes, "suffix", "left").fillna(unseen)
+        full = lexical(parsed).join(suffixes.where("fold is null").drop("fold"), "suffix", "left").fillna(unseen)
         scored = model.transform(vector.transform(full)).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce(by_rule, F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("row.*", "host", "path", "rule", verdict.alias("verdict"), "score")
