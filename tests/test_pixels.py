@@ -48,11 +48,16 @@ def test_greedy_steps(spark):
     assert got == {i: i % 2 for i in range(10)}
     bands = spark.createDataFrame([("g", 0, 5, 100), ("g", 10, 30, 100), ("g", 40, 60, 100), ("g", 80, 100, 100)], "grid string, top int, bottom int, height int")
     assert sorted(r.top for r in pixels.clipped_rows(bands).where("clipped").collect()) == [0]
+    assert pixels.clipped_rows(bands.where("top < 20")).where("clipped").count() == 0  # fewer than three bands
 
 
 def test_upper_median(spark):
-    df = spark.createDataFrame([(x,) for x in (1, 2, 3, 4)], "x int")
-    assert df.agg(recognition.upper_median(F.col("x")).alias("m")).first().m == 3
+    df = spark.createDataFrame([("a", x) for x in (1, 2, 3, 4)] + [("b", 5), ("b", None), ("c", None), ("d", 7), ("d", 7), ("d", 1)], "k string, x int")
+    assert {tuple(r) for r in recognition.upper_medians(df, ["k"], "x").collect()} == {("a", 4, 2, 3), ("b", 1, 5, 5), ("d", 3, 7, 7)}
+    big = spark.range(100_001).select(F.lit(1).alias("k"), F.pmod(F.col("id") * 7919, F.lit(1_000_003)).alias("x"))
+    want = sorted(i * 7919 % 1_000_003 for i in range(100_001))[50_000]
+    assert [tuple(r) for r in recognition.upper_medians(big, ["k"], "x").collect()] == [(1, 100_001, want, want)]
+    assert recognition.upper_medians(big.where("false"), ["k"], "x").count() == 0
 
 
 def test_stream_ingest(spark, tmp_path):
