@@ -1,18 +1,23 @@
 """Media columns as MPEG transport streams.
 
-``mux`` stores a payload losslessly in 188-byte transport packets: a program association table, a program
-map table with one private elementary stream, then one elementary packet (PES) per access unit with its
-presentation timestamp, the first transport packet of a unit marked as a random-access point.  ``demux``
-reads any such stream back with vector operations: it parses the tables, checks continuity counters,
-reassembles elementary packets and returns timestamps with the places of random-access points.
+``mux`` stores a payload losslessly in 188-byte transport packets: a program association table and a program
+map table with one private elementary stream, repeated every ``REPEAT`` access units, and one elementary packet (PES)
+per access unit with its presentation timestamp; the first transport packet of a unit is marked as a random-access
+point and carries the program clock.  ``demux`` reads any such stream back with vector operations: it parses the tables,
+checks continuity counters (a packet that is sent twice, as the standard allows, counts once; a marked discontinuity is
+no error), reassembles elementary packets and returns timestamps and clocks with the places of random-access points.
+
+Features are computed from the samples read back: mean, spread, zero crossings around the mean, and peak.
 
 Defined results: null and empty texts count as no bytes and are padded to one row of 192; equal texts give
-equal streams; the other columns stay as they are.
+equal streams; the other columns stay as they are, and an input column of the result's name is replaced; a very long
+text is one stream of as many units as it needs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,9 +35,11 @@ ROW = 192
 UNIT, TICKS = 16 * ROW, 3600
 PAT_PID, PMT_PID, DATA_PID, STREAM_ID, PRIVATE = 0x0000, 0x0100, 0x0101, 0xBD, 0x06
 PES_HEAD = 14
+#: Access units between two copies of the tables; bytes of the adaptation field with the clock; clock ticks ahead of a timestamp.
+REPEAT, ADAPTATION, AHEAD = 64, 8, 9000
 
 STREAM = "struct<payload:binary,media:binary,programs:int,packets:bigint,continuity_errors:bigint,units:array<struct<pts:bigint,packet:bigint,bytes:bigint,random_access:boolean>>>"
-DIGEST = "struct<n_bytes:bigint,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string>"
+DIGEST = "struct<n_bytes:bigint,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string,timestamps:array<bigint>,random_access:array<bigint>>"
 
 
 def _crc_table() -> list[int]:
@@ -65,11 +72,19 @@ def _table_packet(pid: int, section: bytes) -> bytes:
 
 
 #: The two table packets that open every stream (program 1 on PMT_PID; one private stream on DATA_PID).
-TABLES = _table_packet(PAT_PID, _section(0, 1, b"\x00\x01" + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(
+_TABLES = _table_packet(PAT_PID, _section(0, 1, b"\x00\x01" + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(
     PMT_PID, _section(2, 1, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
 )
 
 
+def tables(copy: int) -> bytes:
+    """The table packets with the continuity counter of their ``copy``-th time."""
+    out = bytearray(_TABLES)
+    for at in (3, PACKET + 3):
+        out[at] = 0x10 | copy & 15
+    return bytes(out)
+
+
 def padded(data: bytes) -> bytes:
     return data.ljust(max(ROW, -(-len(data) // ROW) * ROW), b" ")
 
@@ -91,9 +106,9 @@ def _units_to_packets(units: np.ndarray, first_unit: int, counter: int) -> np.nd
     pes[:, :9] = np.frombuffer(b"\x00\x00\x01" + bytes([STREAM_ID]) + (size + 8).to_bytes(2, "big") + b"\x84\x80\x05", np.uint8)
     pes[:, 9:14] = _pts_bytes((first_unit + np.arange(n, dtype=np.int64)) * TICKS)
     pes[:, 14:] = units
-    # The first packet carries a 2-byte adaptation field (random access); the last is stuffed to fit.
+    # The first packet carries an adaptation field (random access, clock); the last is stuffed to fit.
     total = pes.shape[1]
-    lead = PACKET - 4 - 2
+    lead = PACKET - 4 - ADAPTATION
     full, rest = divmod(max(0, total - lead), PACKET - 4)
     per = 1 + full + (rest > 0)
     out = np.full((n, per, PACKET), 0xFF, np.uint8)
@@ -102,7 +117,11 @@ def _units_to_packets(units: np.ndarray, first_unit: int, counter: int) -> np.nd
     out[:, :, 3] = 0x10 | (counter + np.arange(n * per)).reshape(n, per) & 15
     head = min(lead, total)
     out[:, 0, 3] |= 0x20
-    out[:, 0, 4], out[:, 0, 5] = PACKET - 5 - head, 0x40
+    out[:, 0, 4], out[:, 0, 5] = PACKET - 5 - head, 0x50
+    clock = (first_unit + np.arange(n, dtype=np.int64)) * TICKS + (1 << 33) - AHEAD & (1 << 33) - 1
+    for i in range(4):
+        out[:, 0, 6 + i] = clock >> 25 - 8 * i & 255
+    out[:, 0, 10], out[:, 0, 11] = (clock & 1) << 7 | 0x7E, 0
     out[:, 0, PACKET - head :] = pes[:, :head]
     if full:
         out[:, 1 : 1 + full, 4:] = pes[:, head : head + full * (PACKET - 4)].reshape(n, full, PACKET - 4)
@@ -120,14 +139,17 @@ def mux(payload: bytes) -> bytes:
     """A transport stream that holds ``payload`` (a positive multiple of 192 bytes)."""
     data = np.frombuffer(payload, np.uint8)
     whole = len(data) // UNIT
-    out = [TABLES]
+    out = []
     counter = 0
-    if whole:
-        packets = _units_to_packets(data[: whole * UNIT].reshape(whole, UNIT), 0, 0)
-        counter = len(packets)
-        out.append(packets.tobytes())
-    if len(data) % UNIT:
-        out.append(_units_to_packets(data[whole * UNIT :].reshape(1, -1), whole, counter).tobytes())
+    for first in range(0, whole + (len(data) % UNIT > 0), REPEAT):
+        out.append(tables(first // REPEAT))
+        last = min(first + REPEAT, whole)
+        if first < last:
+            packets = _units_to_packets(data[first * UNIT : last * UNIT].reshape(-1, UNIT), first, counter)
+            counter += len(packets)
+            out.append(packets.tobytes())
+        if last == whole and len(data) % UNIT and whole < first + REPEAT:
+            out.append(_units_to_packets(data[whole * UNIT :].reshape(1, -1), whole, counter).tobytes())
     return b"".join(out)
 
 
@@ -141,6 +163,7 @@ class Parsed:
     packets: int = 0
     continuity_errors: int = 0
     pts: list[int] = field(default_factory=list)
+    clock: list[int] = field(default_factory=list)
     unit_packet: list[int] = field(default_factory=list)
     unit_bytes: list[int] = field(default_factory=list)
     random_access: list[bool] = field(default_factory=list)
@@ -177,9 +200,14 @@ def demux(media: bytes) -> Parsed:
     payload: list[bytes] = []
     for stream in sorted(out.streams):
         at = np.flatnonzero(pid == stream)
+        # A packet may be sent twice in a row; the second says nothing new.
+        again = np.append(False, (p[at[1:]] == p[at[:-1]]).all(axis=1)) & carries[at]
+        at = at[~again]
         rows, first, starts = p[at], begins[at], start[at]
+        flags = np.where(adapted[at] & (rows[:, 4] > 0), rows[:, 5], 0)
+        jumps = flags & 0x80 != 0
         cc = rows[:, 3].astype(np.int32) & 15
-        out.continuity_errors += int(np.count_nonzero((cc[1:] - cc[:-1] - carries[at][1:]) & 15))
+        out.continuity_errors += int(np.count_nonzero(((cc[1:] - cc[:-1] - carries[at][1:]) & 15 != 0) & ~jumps[1:]))
         body = rows[(np.arange(PACKET) >= starts[:, None]) & carries[at][:, None]].tobytes()
         ends = np.cumsum(np.where(carries[at], PACKET - starts, 0))
         opens = np.flatnonzero(first)
@@ -198,6 +226,8 @@ def demux(media: bytes) -> Parsed:
             else:
                 out.pts.append(-1)
             row = rows[opens[k]]
+            ticks = int.from_bytes(row[6:10].tobytes(), "big") << 1 | int(row[10]) >> 7
+            out.clock.append(ticks if flags[opens[k]] & 0x10 else -1)
             out.unit_packet.append(int(at[opens[k]]))
             out.unit_bytes.append(len(data))
             out.random_access.append(bool(row[3] & 0x20 and row[4] and row[5] & 0x40))
@@ -206,9 +236,20 @@ def demux(media: bytes) -> Parsed:
     return out
 
 
+def sample_feature(payload: bytes) -> str:
+    """Mean, standard deviation, crossings of the mean and peak of the samples (unsigned bytes)."""
+    x = np.frombuffer(payload, np.uint8).astype(np.int64)
+    n, total = len(x), int(x.sum())
+    if not n:
+        return "samples=0"
+    above = x * n > total
+    spread = math.sqrt(max(0, n * int((x * x).sum()) - total * total)) / n
+    return f"samples={n};mean={total / n:.6f};spread={spread:.6f};crossings={int(np.count_nonzero(above[1:] != above[:-1]))};peak={int(x.max())}"
+
+
 def feature(x: Parsed) -> str:
-    """Plain figures of a parsed stream."""
-    return f"programs={len(x.programs)};packets={x.packets};units={len(x.pts)};random_access={sum(x.random_access)};continuity_errors={x.continuity_errors};first_pts={x.pts[0] if x.pts else -1};last_pts={x.pts[-1] if x.pts else -1}"
+    """Figures of a parsed stream's samples and of its structure."""
+    return f"{sample_feature(x.payload)};programs={len(x.programs)};packets={x.packets};units={len(x.pts)};random_access={sum(x.random_access)};continuity_errors={x.continuity_errors};first_pts={x.pts[0] if x.pts else -1};last_pts={x.pts[-1] if x.pts else -1}"
 
 
 def _digest_udf():
@@ -218,10 +259,10 @@ def _digest_udf():
             for raw in byte_values(batch):
                 media = mux(padded(raw))
                 x = demux(media)
-                rows.append((len(raw), len(x.payload), hashlib.sha256(x.payload).hexdigest(), zlib.crc32(x.payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(x)))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((len(raw), len(x.payload), hashlib.sha256(x.payload).hexdigest(), zlib.crc32(x.payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(x), x.pts, [k for k, access in zip(x.unit_packet, x.random_access) if access]))
+            cols = list(zip(*rows)) if rows else [()] * 9
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "timestamps", "random_access"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, DIGEST)

@@ -164,6 +164,20 @@ def test_media_round_trip(spark, docs, none):
 def test_media_damage_is_seen():
     data = media.mux(media.padded(bytes(range(256)) * 40))
     assert media.demux(data[: 188 * 6] + data[188 * 7 :]).continuity_errors == 1
+    stream = media.demux(data)
+    assert stream.clock == [(t - media.AHEAD) % (1 << 33) for t in stream.pts]
+    assert media.demux(data[: 188 * 6] + data[188 * 5 :]).continuity_errors == 0 and media.demux(data[: 188 * 6] + data[188 * 5 :]).payload == stream.payload
+    jump = bytearray(data[188 * 19 :])
+    at = next(i for i in range(0, len(jump), 188) if jump[i + 3] & 0x20 and jump[i + 5] & 0x40)
+    jump[at + 5] |= 0x80
+    assert media.demux(data[: 188 * 19 - 188] + bytes(jump[at:])).continuity_errors == 0
+    long = media.padded(bytes(np.random.default_rng(2).integers(0, 256, media.UNIT * (2 * media.REPEAT + 3) + 77).astype(np.uint8)))
+    again = media.demux(media.mux(long))
+    assert again.payload == long and again.continuity_errors == 0 and media.mux(long).count(media.tables(2)[:5]) >= 1
+    assert len(media.demux(media.mux(long)).pts) == 2 * media.REPEAT + 4
+    x = np.frombuffer(long, np.uint8).astype(float)
+    crossings = int(np.count_nonzero(np.diff(x > x.mean())))
+    assert media.sample_feature(long) == f"samples={len(x)};mean={x.mean():.6f};spread={x.std():.6f};crossings={crossings};peak={int(x.max())}"
     assert media.demux(b"").payload == b"" and media.demux(data[:-100]).packets == len(data) // 188 - 1
     assert media.crc32_mpeg(b"123456789") == 0x0376E6E7
 
