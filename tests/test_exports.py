@@ -8,7 +8,7 @@ def test_split():
     s = lambda t: exports.split(t, ",")
     assert s('a,"b,c"\n1,"x ""y"""\n') == ([(1, ["a", "b,c"], False), (2, ["1", 'x "y"'], False)], None)
     assert s('a,b\r\n"1\n2",3\r\n\r\n4,5') == ([(1, ["a", "b"], False), (2, ["1\n2", "3"], False), (5, ["4", "5"], False)], None)
-    assert s("85'x138\",2\n")[0] == [(1, ["85'x138\"", "2"], False)]
+    assert s('ab"c "d,2\n')[0] == [(1, ['ab"c "d', "2"], False)]
     assert s('"abc"def,1\n')[0] == [(1, ["abcdef", "1"], True)]
     assert s('a\n"open')[1] is not None
     assert s("a,\n")[0] == [(1, ["a", ""], False)]
