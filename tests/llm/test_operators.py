@@ -580,7 +580,7 @@ def test_pipeline_near_copies(spark, monkeypatch):
     linked = set(found)
     want = plain_components(range(len(lines)), lambda a, b: (max(a, b), min(a, b)) in linked)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(lines)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for some in (copies.NEXT, 1):
+    for some in (copies.NEXT, 8):
         monkeypatch.setattr(copies.near_copies, "__defaults__", (some,))
         assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == set(want.values())
 
