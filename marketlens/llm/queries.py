@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, chat, decontaminate, lm, media, quality, simhash, suffixes, urls, warc
+from marketlens.llm import bpe, chat, decontaminate, fim, lm, manifest, media, pieces, quality, simhash, suffixes, urls, warc
 from marketlens.llm.common import residue, table
 
 
-def vocabulary() -> str:
-    """Where the public vocabulary file lies on this installation."""
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary file lies on this installation."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 #: host/path rules of the URL query.
@@ -91,6 +91,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(pages, kept.unionByName(added))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_digest(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "pieces.*")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hashed = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = fim.restore(F.col("fim.output"), F.col("fim.form"))
+    return done.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", hashed(F.col("fim.output")).alias("output_sha256"), hashed(restored).alias("restored_sha256"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.tampered())
+
+
 QUERIES = {
     "op1_urls": op1_urls,
     "op2_simhash": op2_simhash,
@@ -102,6 +118,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
+    "op11_pieces": op11_pieces,
+    "op12_fim": op12_fim,
+    "op13_manifest": op13_manifest,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '')"
@@ -158,5 +177,47 @@ FROM L LEFT JOIN Q ON L.page_id IS NOT DISTINCT FROM Q.page_id AND L.digest = Q.
 UNION ALL SELECT Q.page_id, coalesce((SELECT max(file_no) FROM L WHERE record_no = 0 AND (L.page_id, L.digest) <= (Q.page_id, Q.digest)), 0), NULL, NULL, Q.length, Q.digest, Q.copies, 'extra' FROM Q
 WHERE NOT EXISTS (SELECT 1 FROM L WHERE L.page_id IS NOT DISTINCT FROM Q.page_id)"""
 
+_OP12 = """WITH D AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) h FROM documents),
+H AS (SELECT doc_id, t, u, len(u) n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || h[i:i + 7] AS BIGINT)) h FROM D),
+C AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) a, greatest(h[1] % (n + 1), h[2] % (n + 1)) b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END form FROM H),
+P AS (SELECT *, array_to_string(u[1:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:], '') s FROM C)
+SELECT doc_id, CAST(n AS BIGINT) n, form, CASE WHEN form <> 'plain' THEN length(p) END prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) output_sha256, sha256(p || m || s) restored_sha256 FROM P"""
+
+
+def _op13() -> str:
+    """The tree level by level, ``depth`` levels of a source and as many of the sources; a tree of one node stays as it is."""
+    fan, depth = manifest.FAN, 6
+    shown = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(shown(text if c == 'text' else c) for c in manifest.FIELDS)})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        "Z AS MATERIALIZED (SELECT list(list_reduce(range(0, 8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) z FROM range(256) r(i))",
+        "E AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') k FROM documents)",
+        "F AS (SELECT *, xor(list_reduce(range(1, length(k) + 1), lambda c, j: xor(c >> 8, z[(xor(c, CAST(ascii(k[j]) AS BIGINT)) & 255) + 1]), 4294967295), 4294967295) % 5 = 0 bad FROM E, Z)",
+        f"L AS (SELECT source, doc_id, {leaf('text')} leaf, CASE WHEN bad THEN {leaf(lower)} ELSE {leaf('text')} END present FROM F)",
+        "S0 AS (SELECT source g, source, leaf h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 p, count(*) OVER (PARTITION BY source) c, doc_id, leaf, present FROM L)",
+    ]
+
+    def tree(name: str) -> str:
+        """Steps name1 ... of runs joined and hashed; the last has one node a group."""
+        for k in range(depth):
+            steps.append(f"{name}R{k} AS (SELECT g, p // {fan} p, any_value(c) c, string_agg(h, '' ORDER BY p) t FROM {name}{k} GROUP BY g, p // {fan})")
+            steps.append(f"{name}{k + 1} AS (SELECT g, p, (c + {fan - 1}) // {fan} c, CASE WHEN c > 1 THEN sha256(t) ELSE t END h FROM {name}R{k})")
+        return f"{name}{depth}"
+
+    top = tree("S")
+    steps.append(f"T0 AS (SELECT 0 g, g source, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 p, count(*) OVER () c FROM {top})")
+    whole = tree("T")
+    last = "SELECT S0.doc_id, S0.leaf, S0.present f, '' q, S0.g, S0.p, T0.h subroot, T0.p tp FROM S0 JOIN T0 ON T0.source IS NOT DISTINCT FROM S0.g"
+    for name, key, group in [("S", "p", "w.g"), ("T", "tp", "0")]:
+        for k in range(depth):
+            i = f"64 * (w.{key} // {fan**k} % {fan})"
+            left, right = f"substr(r.t, 1, {i})", f"substr(r.t, {i} + 65)"
+            last = f"SELECT w.* REPLACE (CASE WHEN r.c > 1 THEN sha256({left} || w.f || {right}) ELSE w.f END AS f, CASE WHEN r.c > 1 THEN w.q || {left} || {right} ELSE w.q END AS q) FROM ({last}) w JOIN {name}R{k} r ON r.g IS NOT DISTINCT FROM {group} AND r.p = w.{key} // {fan ** (k + 1)}"
+    return f"WITH {', '.join(steps)} SELECT doc_id, leaf, subroot, x.h root, sha256(q) proof_sha256, f folded_root, f = x.h verified FROM ({last}) y, {whole} x"
+
+
 #: SQL for the queries that SQL can express; the others are tested against plain versions in tests/llm.
-SQL: dict[str, str] = {"op6_decontaminate": _OP6, "op8_chat": _OP8, "op9_suffix_dedup": _OP9, "op10_warc": _OP10}
+SQL: dict[str, str] = {"op6_decontaminate": _OP6, "op8_chat": _OP8, "op9_suffix_dedup": _OP9, "op10_warc": _OP10, "op12_fim": _OP12, "op13_manifest": _op13()}
