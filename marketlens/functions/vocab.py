@@ -114,6 +114,15 @@ HEADER_VOCABULARY = {
     "# Garage": "num",
 }
 
+# The words of the notices about a grid's row numbers.
+NUMBERS = {
+    "absent": "are missing from the summary below. Those listings are not in any count.",
+    "unread": " row number(s) could not be read, but every row band was. No listing is missing.",
+    "later": ", not 1. If this is the first page of your results, rows 1–",
+    "above": " are above the top of the screenshot and are not in this summary.",
+    "all": " were all read — no rows were dropped.",
+}
+
 # Bounds of accepted figures.
 PRICE_MIN, PRICE_MAX, DAYS_MAX, COMP_LIST_MAX = 1_000, 30_000_000, 3_650, 10
 

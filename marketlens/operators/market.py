@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlens.functions import cells
-from marketlens.functions.vocab import BUCKETS, REASON, REPORTED
+from marketlens.functions.vocab import BUCKETS, NUMBERS, REASON, REPORTED
 from marketlens.operators.ranks import medians
 
 EDITABLE = ["status", "orig_price", "list_price", "sold_price", "concessions", "market_time"]
@@ -127,13 +127,15 @@ def number_gaps(rows: DataFrame, by: str, number: str) -> DataFrame:
     ).withColumn("absent", F.col("last_no") - F.col("first_no") + 1 - F.col("n_distinct"))
 
 
-def number_check(rows: DataFrame, numbers: DataFrame, by: str, number: str = "number", shown: int = 12) -> DataFrame:
-    """Whether numbered rows all arrived, per group: first and last number, gaps, absent rows, level, and a gap sample.
+def number_check(rows: DataFrame, numbers: DataFrame, by: str, number: str = "number", lost: DataFrame | None = None, shown: int = 12) -> DataFrame:
+    """Whether numbered rows all arrived, per group: first and last number, gaps, absent rows, a gap sample, and notices.
 
     ``numbers`` (by, number) are the numbers that a group's index column holds, ``rows`` (by, number) the rows that
     reached the report, null where a row's own number was not read.  Rows without a number may be any of the gaps, so
     only the gaps beyond them are absent.  Gaps come from the neighbours of what is there, as ranges, and are never
-    written out one by one but for the sample.
+    written out one by one but for the sample.  ``lost`` (by, lost) counts what a group lost or could not read otherwise;
+    all is well only if that is nothing.  ``notices`` is an array of (level, text): the finding about gaps, that numbers do
+    not start at one, and that all were read, each for itself.
     """
     ends = numbers.groupBy(by).agg(F.min(number).cast("bigint").alias("first_no"), F.max(number).cast("bigint").alias("last_no"))
     got = rows.groupBy(by, number).agg(F.count("*").alias("n"))
@@ -151,8 +153,19 @@ def number_check(rows: DataFrame, numbers: DataFrame, by: str, number: str = "nu
     absent = F.greatest(F.lit(0), F.col("gaps") - F.col("unnumbered"))
     each = F.flatten(F.transform(F.col("runs"), lambda r: F.sequence(r["a"], F.least(r["b"], r["a"] + shown))))
     sample = F.when((absent > 0) & (F.col("gaps") == absent), F.concat(F.array_join(F.slice(each, 1, shown), ", "), F.when(F.col("gaps") > shown, "…").otherwise("")))
-    level = F.when(absent > 0, "error").when(F.col("gaps") > 0, "info").when(F.col("first_no") > 1, "warn").otherwise("ok")
-    return out.select(by, "first_no", "last_no", "gaps", "unnumbered", absent.alias("absent"), level.alias("level"), sample.alias("sample"))
+    out = out.withColumn("sample", sample).withColumn("absent", absent)
+    out = out.join(lost.select(by, "lost"), by, "left").fillna(0, ["lost"]) if lost is not None else out.withColumn("lost", F.lit(0))
+    n = lambda c: F.col(c).cast("string")
+    notice = lambda cond, level, *text: F.when(cond, F.struct(F.lit(level).alias("level"), F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]).alias("text")))
+    listed = F.coalesce(F.concat(F.lit("("), F.col("sample"), F.lit(") ")), F.lit(""))
+    whole = (F.col("gaps") == 0) & (F.col("first_no") == 1) & (F.col("lost") == 0)
+    found = [
+        notice(F.col("absent") > 0, "error", "The grid numbers its rows ", n("first_no"), "–", n("last_no"), ", but ", n("absent"), " of them ", listed, NUMBERS["absent"]),
+        notice((F.col("absent") == 0) & (F.col("gaps") > 0), "info", n("gaps"), NUMBERS["unread"]),
+        notice(F.col("first_no") > 1, "warn", "The grid numbers its rows from ", n("first_no"), NUMBERS["later"], (F.col("first_no") - 1).cast("string"), NUMBERS["above"]),
+        notice(whole, "ok", "Row numbers 1–", n("last_no"), NUMBERS["all"]),
+    ]
+    return out.select(by, "first_no", "last_no", "gaps", "unnumbered", "absent", "sample", F.array_compact(F.array(*found)).alias("notices"))
 
 
 def with_review(rows: DataFrame, entries: DataFrame, key: str = "n") -> DataFrame:

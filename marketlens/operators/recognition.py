@@ -427,7 +427,8 @@ def assign_roles(cells: DataFrame, header: DataFrame | None = None) -> DataFrame
     its fill pattern against the closed rows; list and original as the rightmost full columns; concessions as the small
     integer column that is filled on closed rows only; then the checks that can overturn this: list and original the
     wrong way round, sold prices in another market than list prices, concessions too large.
-    Gives grid, list, orig, sold, conc, sold_method, list_method, problems, confidence.
+    Gives grid, list, orig, sold, conc, sold_method, list_method, problems, confidence, and problem_kinds: which of
+    ``none_sold``, ``apart`` and ``large`` the problems are.
     """
     filled, closed = F.col("value").isNotNull(), F.col("closed")
     middle = medians(cells, ["grid", "col"], "value").select("grid", "col", "median")
@@ -444,7 +445,7 @@ def assign_roles(cells: DataFrame, header: DataFrame | None = None) -> DataFrame
         grids = grids.withColumns({f"h_{r}": F.lit(None).cast("string") for r in roles})
     of = lambda c: F.try_element_at(F.filter("cols", lambda x: x["col"] == c), F.lit(1))
     kind = {"conc": "integer"}
-    g = grids.withColumns({r: F.when(of(F.col(f"h_{r}"))["kind"] == kind.get(r, "money"), F.col(f"h_{r}")) for r in roles}).withColumns({"by_sold": F.col("sold").isNotNull(), "by_list": F.col("list").isNotNull()})
+    g = grids.withColumns({r: F.when(of(F.col(f"h_{r}"))["kind"] == kind.get(r, "money"), F.col(f"h_{r}")) for r in roles}).withColumns({"by_sold": F.col("sold").isNotNull(), "by_list": F.col("list").isNotNull(), "by_orig": F.col("orig").isNotNull()})
     money = lambda x: x["kind"] == "money"
     dense = lambda x: x["filled"] / x["n"] >= DENSE
     other = lambda x, *names: F.lit(True) if not names else ~F.coalesce(x["col"] == F.col(names[0]), F.lit(False)) & other(x, *names[1:])
@@ -468,13 +469,19 @@ def assign_roles(cells: DataFrame, header: DataFrame | None = None) -> DataFrame
     met = pair.groupBy("grid", "row").agg(F.max(F.when(F.col("col") == F.col("list"), F.col("value"))).alias("a"), F.max(F.when(F.col("col") == F.col("orig"), F.col("value"))).alias("b"))
     swap = met.groupBy("grid").agg(((F.count_if(F.col("a") != F.col("b")) >= 3) & (F.count_if(F.col("a") > F.col("b")) > SWAP_SHARE * F.count_if(F.col("a") != F.col("b")))).alias("swap"))
     g = g.join(swap, "grid", "left").withColumns({"l_": F.when(F.col("swap"), F.col("orig")).otherwise(F.col("list")), "o_": F.when(F.col("swap"), F.col("list")).otherwise(F.col("orig"))})
-    sold_median, ratio = of(F.col("sold"))["median"], of(F.col("sold"))["median"] / of(F.col("l_"))["median"]
-    g = g.withColumn("apart", F.coalesce(~ratio.between(SOLD_LOW, SOLD_HIGH), F.lit(False))).withColumn("large", F.coalesce(of(F.col("conc"))["median"] > sold_median * CONC_HIGH, F.lit(False)))
+    sold_median, list_median = of(F.col("sold"))["median"], of(F.col("l_"))["median"]
+    # Without a list median, or with one of zero, the ratio counts as zero: such sold prices are not of that market.
+    ratio = F.coalesce(sold_median / F.nullif(list_median, F.lit(0)), F.lit(0.0))
+    both = F.col("sold").isNotNull() & F.col("l_").isNotNull()
+    g = g.withColumn("apart", both & ~ratio.between(SOLD_LOW, SOLD_HIGH)).withColumn("large", F.coalesce(of(F.col("conc"))["median"] > sold_median * CONC_HIGH, F.lit(False)))
     problems = F.col("none_sold").cast("int") + F.col("apart").cast("int") + F.col("large").cast("int")
     sold_method = F.when(F.col("apart") | F.col("sold").isNull(), None).when(F.col("by_sold"), "header").otherwise("fill-pattern")
-    list_method = F.when(F.col("l_").isNull(), None).when(F.col("by_list"), "header").otherwise("position")
+    # How a column was found goes with it when the two are swapped.
+    list_by_header = F.when(F.coalesce("swap", F.lit(False)), F.col("by_orig")).otherwise(F.col("by_list"))
+    list_method = F.when(F.col("l_").isNull(), None).when(list_by_header, "header").otherwise("position")
+    kinds = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in ("none_sold", "apart", "large")]))
     out = g.withColumns({"sold_method": sold_method, "list_method": list_method, "problems": problems})
     return out.select(
         "grid", F.col("l_").alias("list"), F.col("o_").alias("orig"), F.when(~F.col("apart"), F.col("sold")).alias("sold"), F.when(~F.col("large"), F.col("conc")).alias("conc"), "sold_method", "list_method", "problems",
-        F.round(confidence([F.col("list_method"), F.col("sold_method")], F.col("problems")), 6).alias("confidence"),
+        F.round(confidence([F.col("list_method"), F.col("sold_method")], F.col("problems")), 6).alias("confidence"), kinds.alias("problem_kinds"),
     )

@@ -48,16 +48,26 @@ def comp_line_text(spark, sf_dir):
 
 
 @query(
-    """WITH N AS (SELECT l_orderkey k, l_linenumber v FROM lineitem), E AS (SELECT k, CAST(min(v) AS BIGINT) first_no, CAST(max(v) AS BIGINT) last_no FROM N GROUP BY 1),
+    """WITH N AS (SELECT l_orderkey k, l_linenumber + CASE WHEN l_orderkey % 3 = 0 THEN l_orderkey % 4 ELSE 0 END v FROM lineitem), E AS (SELECT k, CAST(min(v) AS BIGINT) first_no, CAST(max(v) AS BIGINT) last_no FROM N GROUP BY 1),
 R AS (SELECT k, CASE WHEN (k + v) % 7 <> 0 THEN v END v FROM N WHERE (k * 7 + v) % 5 <> 0), G AS (SELECT k, g FROM (SELECT k, unnest(range(first_no, last_no + 1)) g FROM E) WHERE (k, g) NOT IN (SELECT k, v FROM R WHERE v IS NOT NULL)),
 H AS (SELECT k, count(*) gaps, array_to_string(list(g ORDER BY g)[1:12], ', ') || CASE WHEN count(*) > 12 THEN '…' ELSE '' END sample FROM G GROUP BY 1), U AS (SELECT k, count(*) FILTER (WHERE v IS NULL) unnumbered FROM R GROUP BY 1),
-X AS (SELECT k, first_no, last_no, coalesce(gaps, 0) gaps, coalesce(unnumbered, 0) unnumbered, greatest(0, coalesce(gaps, 0) - coalesce(unnumbered, 0)) absent, sample FROM E LEFT JOIN H USING (k) LEFT JOIN U USING (k))
-SELECT k l_orderkey, first_no, last_no, gaps, unnumbered, absent, CASE WHEN absent > 0 THEN 'error' WHEN gaps > 0 THEN 'info' WHEN first_no > 1 THEN 'warn' ELSE 'ok' END AS level, CASE WHEN absent > 0 AND gaps = absent THEN sample END sample FROM X"""
+X AS (SELECT k, first_no, last_no, coalesce(gaps, 0) gaps, coalesce(unnumbered, 0) unnumbered, greatest(0, coalesce(gaps, 0) - coalesce(unnumbered, 0)) absent, sample, coalesce(lost, 0) lost FROM E LEFT JOIN H USING (k) LEFT JOIN U USING (k) LEFT JOIN (SELECT k, count(*) lost FROM N WHERE (k * 7 + v) % 5 = 0 AND k % 2 = 0 GROUP BY 1) USING (k)),
+Y AS (SELECT *, CASE WHEN absent > 0 AND gaps = absent THEN '(' || sample || ') ' ELSE '' END listed FROM X)
+SELECT k l_orderkey, first_no, last_no, gaps, unnumbered, absent, CASE WHEN absent > 0 AND gaps = absent THEN sample END sample, coalesce(array_to_string(list_filter([
+ CASE WHEN absent > 0 THEN 'error: The grid numbers its rows ' || first_no || '–' || last_no || ', but ' || absent || ' of them ' || listed || 'are missing from the summary below. Those listings are not in any count.' END,
+ CASE WHEN absent = 0 AND gaps > 0 THEN 'info: ' || gaps || ' row number(s) could not be read, but every row band was. No listing is missing.' END,
+ CASE WHEN first_no > 1 THEN 'warn: The grid numbers its rows from ' || first_no || ', not 1. If this is the first page of your results, rows 1–' || (first_no - 1) || ' are above the top of the screenshot and are not in this summary.' END,
+ CASE WHEN gaps = 0 AND first_no = 1 AND lost = 0 THEN 'ok: Row numbers 1–' || last_no || ' were all read — no rows were dropped.' END], lambda x: x IS NOT NULL), chr(10)), '') notices FROM Y"""
 )
 def row_number_check(spark, sf_dir):
-    numbers = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("number"))
-    got = numbers.where((F.col("l_orderkey") * 7 + F.col("number")) % 5 != 0).withColumn("number", F.when((F.col("l_orderkey") + F.col("number")) % 7 != 0, F.col("number")))
-    return market.number_check(got, numbers, "l_orderkey")
+    """A grid per order, numbered from one or from later on; some rows are lost, some numbers not read."""
+    k = F.col("l_orderkey")
+    numbers = _table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") + F.when(k % 3 == 0, k % 4).otherwise(0)).alias("number"))
+    kept = (k * 7 + F.col("number")) % 5 != 0
+    got = numbers.where(kept).withColumn("number", F.when((k + F.col("number")) % 7 != 0, F.col("number")))
+    lost = numbers.where(~kept & (k % 2 == 0)).groupBy("l_orderkey").agg(F.count("*").alias("lost"))
+    told = F.array_join(F.transform("notices", lambda x: F.concat_ws(": ", x["level"], x["text"])), "\n")
+    return market.number_check(got, numbers, "l_orderkey", lost=lost).withColumn("notices", told)
 
 
 @query(f"{L} SELECT L.n, L.mls, P.placement, P.price, round(P.ratio, 9) ratio FROM L LEFT JOIN P ON L.n = P.n AND P.placement NOT IN ('omitted', 'unresolved')")
@@ -98,7 +108,30 @@ SELECT CAST(k AS VARCHAR) grid, CASE WHEN swap THEN 'a' ELSE 'b' END AS list, CA
  CAST(CAST(none_sold AS INT) + CAST(apart AS INT) AS BIGINT) problems, round(greatest(0.2, CASE WHEN fits AND NOT apart THEN 0.45 ELSE 0.2 END - 0.2 * (CAST(none_sold AS INT) + CAST(apart AS INT))), 6) confidence FROM Z"""
 )
 def role_assignment(spark, sf_dir):
-    return recognition.assign_roles(_role_cells(spark, sf_dir)).withColumn("problems", F.col("problems").cast("bigint"))
+    return recognition.assign_roles(_role_cells(spark, sf_dir)).withColumn("problems", F.col("problems").cast("bigint")).drop("problem_kinds")
+
+
+@query(
+    f"""{L}, {_ROLE_CELLS}, S AS (SELECT k, col, count(*) n, count(v) filled, count(*) FILTER (WHERE (v IS NOT NULL) = closed) agree, count(*) FILTER (WHERE v IS NULL AND NOT closed) blank, median(v) med, count(*) FILTER (WHERE closed) nc FROM E GROUP BY 1, 2),
+G AS (SELECT k, k % 2 = 0 named, k % 4 = 1 sold_named, bool_or(col = 'c' AND filled / n < 0.85 AND blank >= 3 AND agree / n >= 0.9 AND nc > 0 AND nc < n) fits, max(nc) nc, max(n) n, max(med) FILTER (WHERE col = 'a') ma, max(med) FILTER (WHERE col = 'b') mb, max(med) FILTER (WHERE col = 'c') mc, max(med) FILTER (WHERE col = 'e') me FROM S GROUP BY 1),
+W AS (SELECT k, count(*) FILTER (WHERE a > b) up, count(*) FILTER (WHERE b > a) down FROM (SELECT k, n, max(v) FILTER (WHERE col = 'a') a, max(v) FILTER (WHERE col = 'b') b FROM E GROUP BY 1, 2) GROUP BY 1),
+A AS (SELECT k, named, CASE WHEN named THEN 'a' ELSE 'b' END first_list, up + down >= 3 AND CASE WHEN named THEN up ELSE down END / (up + down) > 0.6 swap, sold_named OR fits has_sold, sold_named, NOT sold_named AND NOT fits AND nc >= 3 AND nc < n none_sold, ma, mb, mc, me FROM G JOIN W USING (k)),
+B AS (SELECT *, CASE WHEN swap THEN CASE first_list WHEN 'a' THEN 'b' ELSE 'a' END ELSE first_list END list, CASE WHEN swap = named THEN 'position' ELSE 'header' END list_method FROM A),
+Z AS (SELECT *, CASE WHEN NOT named AND NOT swap THEN 'position' WHEN NOT named THEN 'position' ELSE list_method END method, has_sold AND NOT coalesce(mc / nullif(CASE list WHEN 'a' THEN ma ELSE mb END, 0), 0) BETWEEN 0.5 AND 1.5 apart, has_sold AND coalesce(me > 0.25 * mc, false) large FROM B)
+SELECT CAST(k AS VARCHAR) grid, list, CASE list WHEN 'a' THEN 'b' ELSE 'a' END orig, CASE WHEN has_sold AND NOT apart THEN 'c' END sold, CASE WHEN NOT large THEN 'e' END conc, CASE WHEN NOT has_sold OR apart THEN NULL WHEN sold_named THEN 'header' ELSE 'fill-pattern' END sold_method, method list_method,
+ CAST(CAST(none_sold AS INT) + CAST(apart AS INT) + CAST(large AS INT) AS BIGINT) problems, array_to_string(list_filter([CASE WHEN none_sold THEN 'none_sold' END, CASE WHEN apart THEN 'apart' END, CASE WHEN large THEN 'large' END], lambda x: x IS NOT NULL), ',') problem_kinds,
+ round(greatest(0.2, least(0.95, CASE method WHEN 'header' THEN 0.95 ELSE 0.45 END, CASE WHEN NOT has_sold OR apart THEN 0.2 WHEN sold_named THEN 0.95 ELSE 0.75 END) - 0.2 * (CAST(none_sold AS INT) + CAST(apart AS INT) + CAST(large AS INT))), 6) confidence FROM Z"""
+)
+def role_assignment_named(spark, sf_dir):
+    """As role_assignment, with headers that name the left price column as list price in every other grid, the sold column
+    in some, and the full column of small numbers as concessions in all; checks can overturn what they name."""
+    grid = F.col("grid").cast("int")
+    cells_ = _role_cells(spark, sf_dir)
+    grids = cells_.select("grid").distinct()
+    named = lambda cond, role, col: F.when(cond, F.struct(F.lit(role).alias("role"), F.lit(col).alias("col")))
+    header = grids.select("grid", F.inline(F.array_compact(F.array(named(grid % 2 == 0, "list", "a"), named(grid % 4 == 1, "sold", "c"), named(F.lit(True), "conc", "e")))))
+    out = recognition.assign_roles(cells_, header)
+    return out.withColumns({"problems": F.col("problems").cast("bigint"), "problem_kinds": F.array_join("problem_kinds", ",")})
 
 
 _STATUS_CELLS = f"""{_RANK}, C AS (SELECT label grid, vec_id % 4 AS col, vec_id cell, vec_id % 4 = 1 AND vec_id % 7 <> 0 digits, score + 0.1 score, score shape, margin FROM R)"""

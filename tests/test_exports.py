@@ -42,7 +42,7 @@ def test_listings_and_review(spark):
     assert (r.placed, r.empty, r.malformed, r.refused, r.errors, r.dropped, r.accounted, r.has_market_time) == (5, 1, 1, 1, 2, 1, True, True)
     kept = exports.listings(recs).where("kind <> 'empty'")
     g = market.gate(market.placed(kept), ["file"], exports.reviews(recs)).first()
-    assert g.provisional and g.reasons.startswith("1 of 4 rows without a readable status; 2 problems")
+    assert g.provisional and g.reasons.startswith("1 of 4 row(s) have no readable status; 2 unresolved problem(s) reported above")
 
 
 def test_ambiguous_and_missing_columns(spark):
