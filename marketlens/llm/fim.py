@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import slices
 
 UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]")
+#: UTF-8 bytes as "a" for letters and a blank for all others; a character's further bytes are dropped.
+_KIND, _FURTHER = bytes(97 if 65 <= b & 0xDF <= 90 and b < 128 else 32 for b in range(256)), bytes(range(0x80, 0xC0))
 _REST_OF_RUN = re.compile(r"(?<=[A-Za-z])[A-Za-z]*")
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Of 100 draws: from this one on a text stays plain; below this one the suffix comes first (spm).
@@ -57,8 +59,14 @@ Rope = Leaf | Node
 EMPTY = Leaf("", 0, 0)
 
 
+def units_in(text: str) -> int:
+    """How many units a text has: its single characters, and the letters that no letter precedes."""
+    kinds = b" " + text.encode().translate(_KIND, _FURTHER)
+    return kinds.count(b" ") - 1 + kinds.count(b" a")
+
+
 def leaf(text: str) -> Leaf:
-    return Leaf(text, sum(1 for _ in UNIT.finditer(text)), len(text)) if text else EMPTY
+    return Leaf(text, units_in(text), len(text)) if text else EMPTY
 
 
 def concat(*ropes: Rope) -> Rope:
