@@ -123,6 +123,34 @@ NUMBERS = {
     "all": " were all read — no rows were dropped.",
 }
 
+# The words of the notices about a page that was read; {} takes a number, a list or a code.
+PAGE = {
+    "no_header": "No header row was recognized, so the money columns had to be identified from the data itself. Check the column map under Recognition Detail before using these numbers.",
+    "above": "{} row band(s) above the header row were ignored (toolbar or result-count line).",
+    "clipped": "{} row(s) were cut off by the edge of the screenshot and could not be read. Re-take the screenshot with whole rows to include them.",
+    "no_status": 'No status column was found. Every listing needs a "Stat" value to be counted — make sure the Stat column is inside the pasted screenshot.',
+    "no_money": "No money column was found in this image. Prices are located by their dollar sign and thousands separator — make sure the price columns are inside the screenshot and not cut off.",
+    "none_sold": "No column behaves like a sold-price column — none is populated on the closed rows and empty on the rest. Closed sales cannot be summarized without one.",
+    "apart": "The column taken as the sold price has a median too far from the list median to be the same market. The sold column was rejected.",
+    "large": "The column taken as concessions is too large relative to the sold prices; concessions were not used.",
+    "inferred": "Money columns were inferred rather than read from a header (confidence {}%).",
+    "no_orig": 'No "Orig List Pr" column was found, so no sale-to-list ratios could be computed. Include that column in the screenshot to get them.',
+    "no_conc": "No concessions (CONC) column was found. Sale-to-list ratios treat concessions as zero.",
+    "no_mt": 'The header named no "MT" (market time) column, so no median days on market could be computed. Include the MT column in the screenshot to get it — it cannot be inferred, because a column of small whole numbers could equally be # Rms or Yr Blt.',
+    "no_mt_header": "No header row was recognized, so the MT (market time) column could not be identified and no median days on market is reported. MT is a column of small whole numbers, and so are # Rms, Yr Blt, All Beds and ASF — nothing in the data itself tells them apart, so the app will not guess. Re-take the screenshot with the header row included.",
+    "mt_blank": "The MT (market time) column was found but every cell in it is empty, so there is no median days on market.",
+    "mt_none": "The MT (market time) column was found, but no cell in it read as a day count — so there is no median days on market. Check the column map under Recognition Detail against your screenshot, or fill the values in by hand.",
+    "mt_some": "{} MT (market time) cell(s) could not be read",
+    "mt_and_blank": " and {} were blank",
+    "mt_rests": ". Any median days on market below rests on the rows that did carry one — fill them in below to complete it.",
+    "chrome": "{} row band(s) carried no status, price, MLS number or row number and were treated as page chrome rather than listings.",
+    "unread": "{} status value(s) could not be read",
+    "no_cell": " ({} of them had no status cell at all)",
+    "unread_rest": ". Those rows are listed below and are excluded from every count until you set a status for them.",
+    "no_numbers": "The grid has no readable row-number column, so the app cannot independently confirm that every row was read. Compare the count below against your search results.",
+    "repeated": "The same MLS number appears more than once: {}. One property counted twice will skew the median — untick the duplicate below.",
+}
+
 # Bounds of accepted figures.
 PRICE_MIN, PRICE_MAX, DAYS_MAX, COMP_LIST_MAX = 1_000, 30_000_000, 3_650, 10
 
