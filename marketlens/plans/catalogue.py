@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import cells
-from marketlens.functions.vocab import STATUS_BUCKET, status_table
+from marketlens.functions.vocab import ROLE_LABELS, STATUS_BUCKET, label_key, status_table
 from marketlens.operators import market, recognition, report
 from marketlens.operators.ranks import medians
 
@@ -124,9 +124,11 @@ def status_normalize(spark, sf_dir):
     return listings(spark, sf_dir).withColumn("code", cells.status_code(F.col("status"))).groupBy("status", "code").agg(F.count("*").alias("n_rows"))
 
 
-@query("SELECT code, vbucket bucket FROM (VALUES " + _KNOWN + ") v(code, vbucket)")
+@query(f"{L} SELECT vocab.code, vbucket bucket, count(C.code) n_rows FROM vocab LEFT JOIN C ON C.code = vocab.code GROUP BY 1, 2")
 def default_mapping(spark, sf_dir):
-    return status_table(spark).select("code", "bucket")
+    """Each code of the vocabulary with its bucket and how many listings carry it."""
+    carried = listings(spark, sf_dir).groupBy(cells.status_code(F.col("status")).alias("code")).agg(F.count("*").alias("n_rows"))
+    return status_table(spark).select("code", "bucket").join(F.broadcast(carried), "code", "left").fillna(0, ["n_rows"])  # one row per code
 
 
 @query(f"{L}, M AS (SELECT *, CASE WHEN placement IN ('omitted', 'unresolved') THEN placement WHEN code = 'A/I' THEN 'active' WHEN code = 'EXP' THEN 'closed' ELSE placement END place FROM P) SELECT place placement, count(*) n_rows FROM M GROUP BY 1")
@@ -290,13 +292,31 @@ def refused_cells(spark, sf_dir):
     return parts.groupBy("p_brand").agg(F.count("*").alias("n_refused")).join(sample, "p_brand")
 
 
-@query("SELECT * FROM (VALUES ('a', 'list', 2, 'List Price'), ('a', 'mls', 0, 'MLS #'), ('a', 'status', 1, 'Stat'), ('b', 'mls', 0, 'MLS#'), ('b', 'mt', 4, 'DOM'), ('b', 'status', 1, 'Status')) v(file, role, idx, label)")
+_ROLE_VALUES = ", ".join(f"({i}, '{label}', '{role}')" for i, (label, role) in enumerate((x, r) for r, labels in ROLE_LABELS.items() for x in labels))
+_N_LABELS = sum(map(len, ROLE_LABELS.values()))
+
+
+@query(
+    f"""WITH V(i, label, role) AS (VALUES {_ROLE_VALUES}), K AS (SELECT s_suppkey k, unnest([k % {_N_LABELS}, k * 7 % {_N_LABELS}, (k // {_N_LABELS} + 11) % {_N_LABELS}, -1]) i, unnest([0, 1, 2, 3]) idx FROM (SELECT s_suppkey, s_suppkey k FROM supplier)),
+H AS (SELECT k, idx, label, role FROM K JOIN V USING (i)), A AS (SELECT k FROM H GROUP BY 1 HAVING count(DISTINCT role) FILTER (WHERE role IN ('status', 'mls', 'list', 'orig', 'sold')) >= 2), C AS (SELECT k, role, count(*) n FROM H GROUP BY 1, 2)
+SELECT CAST(k AS VARCHAR) file, role, CASE WHEN n = 1 THEN idx END idx, string_agg(label, ' / ' ORDER BY idx) AS label FROM H JOIN A USING (k) JOIN C USING (k, role) GROUP BY k, role, n, CASE WHEN n = 1 THEN idx END"""
+)
 def header_bind(spark, sf_dir):
+    """An export per supplier with three of the known headings and a foreign one, in any case; a role that two headings
+    claim is bound to none."""
     from marketlens.sources import exports
 
-    files = spark.createDataFrame([("a", "MLS #,Stat,List Price,CDOM\n1,NEW,100000,4\n"), ("b", "x\ty\nMLS#\tStatus\tList Price\tCurrent Price\tDOM\n1\tA\t1\t1\t1\n"), ("c", "just,text\n1,2\n")], "file string, content string")
-    h = exports.headers(exports.records(files))
-    return h.select("file", F.inline("bound")).select("file", "role", F.col("at").alias("idx"), "label")
+    k = F.col("s_suppkey")
+    label = lambda i: F.element_at(F.array(*[F.lit(x) for labels in ROLE_LABELS.values() for x in labels]), (i % _N_LABELS + 1).cast("int"))
+    heads = [label(k), F.upper(label(k * 7)), F.concat(F.lit(" "), label(F.floor(k / _N_LABELS) + 11)), F.lit("CDOM")]
+    content = F.concat(F.lit("export\tof\n"), F.concat_ws("\t", *heads), F.lit("\n"), F.concat_ws("\t", F.col("s_name"), F.lit("1"), F.lit("2"), F.lit("3")), F.lit("\n"))
+    h = exports.headers(exports.records(_table(spark, sf_dir, "supplier").select(k.cast("string").alias("file"), content.alias("content"))))
+    one = h.select("file", F.inline("bound")).select("file", "role", F.col("at").alias("idx"), "label")
+    several = h.select("file", F.inline("ambiguous")).select("file", "role", F.lit(None).cast("int").alias("idx"), F.array_join("labels", " / ").alias("label"))
+    # Headings are compared as the dictionary spells them.
+    own = F.create_map(*[F.lit(x) for labels in ROLE_LABELS.values() for name in labels for x in (label_key(name), name)])
+    spelt = F.array_join(F.transform(F.split("label", " / "), lambda x: F.element_at(own, cells.label_key(x))), " / ")
+    return one.unionByName(several).withColumn("label", spelt)
 
 
 def _nation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,11 +513,25 @@ def comma_vote(spark, sf_dir):
     return recognition.prefix_vote(cells_, "p_brand", "digits", "commas").select("p_brand", "n_cells", F.round("keep", 6).alias("keep"), F.round("dropped", 6).alias("dropped"), "verdict")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 0), (2, 1, 0), (3, 1, 2), (4, NULL, NULL), (5, 0, 1), (6, NULL, NULL), (7, 2, 0)) v(id, commas, fraction)")
+_PRICE_TEXT = "format('{:,.2f}', p_retailprice * p_size * 10)"
+
+
+@query(
+    f"""WITH X AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN t[1:len(t) - 1] WHEN 1 THEN t[1:len(t) - 3] WHEN 2 THEN t[1:len(t) - 4] WHEN 3 THEN replace(t, ',', '') WHEN 4 THEN t || '5' ELSE t END t FROM (SELECT p_partkey, p_size, {_PRICE_TEXT} t FROM part)),
+Y AS (SELECT *, list_transform(string_split_regex(t, '[.,]'), lambda x: len(x)) p FROM X), Z AS (SELECT *, CASE WHEN len(p) > 1 AND p[-1] IN (1, 2) THEN p[-1] ELSE 0 END f FROM Y),
+W AS (SELECT *, CASE WHEN f > 0 THEN p[1:len(p) - 1] ELSE p END g FROM Z), E AS (SELECT *, len(list_filter(g[2:], lambda x: x % 3 <> 0)) = 0 AND (len(g) = 1 OR g[-1] > 0) ok FROM W)
+SELECT p_partkey, t AS token, CAST(CASE WHEN ok THEN len(g) - 1 END AS INT) commas, CAST(CASE WHEN ok THEN f END AS INT) fraction FROM E"""
+)
 def numeric_marks(spark, sf_dir):
-    rows = [(1, [1, 2, 3], []), (2, [1, 3, 4, 5], [2]), (3, [1, 3, 4, 5, 7, 8], [2, 6]), (4, [1, 3, 4, 5, 6], [2]), (5, [1, 2, 4], [3]), (6, [1, 2], [3]), (7, [1, 3, 4, 5, 7, 8, 9], [6, 2])]
-    t = spark.createDataFrame(rows, "id int, digits array<int>, marks array<int>")
-    return t.select("id", recognition.marks(F.col("digits"), F.col("marks")).alias("m")).select("id", "m.commas", "m.fraction")
+    """Prices as tokens, whole or with characters lost or gained at the end: marks by where they stand among the digits."""
+    text = F.format_number(F.col("p_retailprice") * F.col("p_size") * 10, 2)
+    size, n = F.col("p_size") % 6, F.length(text)
+    cut = lambda k: F.substring(text, F.lit(1), n - k)
+    token = F.when(size == 0, cut(1)).when(size == 1, cut(3)).when(size == 2, cut(4)).when(size == 3, F.replace(text, F.lit(","), F.lit(""))).when(size == 4, F.concat(text, F.lit("5"))).otherwise(text)
+    t = _table(spark, sf_dir, "part").select("p_partkey", token.alias("token")).withColumn("at", F.sequence(F.lit(1), F.length("token")))
+    is_digit = lambda i: F.substring(F.col("token"), i, F.lit(1)).rlike("[0-9]")
+    m = recognition.marks(F.filter("at", is_digit), F.filter("at", lambda i: ~is_digit(i)))
+    return t.select("p_partkey", "token", m.alias("m")).select("p_partkey", "token", "m.commas", "m.fraction")
 
 
 _BANK = "B AS (SELECT label, list(x ORDER BY i) tpl FROM (SELECT label, i, CAST(avg(CAST(embedding[i] AS DECIMAL(12,8))) AS DOUBLE) x FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1)"
@@ -610,11 +644,10 @@ def value_counts_by_role(spark, sf_dir):
     return exports.value_counts(rows).drop("file")
 
 
-@query("SELECT * FROM (VALUES ('HS', 1, 'P'), ('HS', 2, 'C'), ('HC', 1, 'P'), ('HC', 2, 'S'), ('PS', 1, 'H'), ('PS', 2, 'C'), ('PC', 1, 'H'), ('PC', 2, 'S')) v(code, place, rival)")
+@query("WITH B AS (SELECT DISTINCT p_brand code FROM part), X AS (SELECT a.code, b.code other, i FROM B a, B b, range(1, 9) r(i) WHERE length(a.code) = length(b.code) AND a.code[i] <> b.code[i]), N AS (SELECT code, other, min(i) place FROM X GROUP BY 1, 2 HAVING count(*) = 1) SELECT code, place, other[place] rival FROM N")
 def kickout_rivals(spark, sf_dir):
-    from marketlens.functions.vocab import KICKOUT
-
-    return recognition.kickout_rivals(spark.createDataFrame([(c,) for c in KICKOUT], "code string"))
+    """Codes (here the brands) that one letter turns into another."""
+    return recognition.kickout_rivals(_table(spark, sf_dir, "part").select(F.col("p_brand").alias("code")).distinct())
 
 
 @query("SELECT CAST(list(q ORDER BY q)[CAST(floor(count(*) * 0.65) AS BIGINT) + 1] AS BIGINT) AS value, count(*) n_all FROM (SELECT CAST(l_quantity AS BIGINT) q FROM lineitem)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import cells
 from marketlens.functions.vocab import HEADER_VOCABULARY
-from marketlens.operators import market, pixels, recognition, report
+from marketlens.operators import glyphs, grids, market, pixels, recognition, report
 from marketlens.plans.catalogue import _RANK, _SUMMARY, L, _lines_sql, _placed, _ranked, _table, query
 
 _FORM_ROWS = """V AS (SELECT max(n_rows) FILTER (WHERE bucket = 'active') an, max(dom_median) FILTER (WHERE bucket = 'active') ad, max(dom_rows) FILTER (WHERE bucket = 'active') ar, max(low) FILTER (WHERE bucket = 'active') al, max(median_price) FILTER (WHERE bucket = 'active') am, max(high) FILTER (WHERE bucket = 'active') ah,
@@ -183,21 +183,101 @@ def merged_codes(spark, sf_dir):
     return recognition.merge_codes(p.select(F.col("p_brand").alias("grid"), F.col("p_partkey").alias("cluster"), code.alias("code"), F.col("p_size").cast("bigint").alias("members"), F.col("p_retailprice").alias("score"), colour.alias("colour")))
 
 
+_SIDE, _LEVEL = 8, glyphs.HOLE_LEVEL
+
+#: H: holes, upper and lower ink of each vector as a square raster, its regions found by flooding.
+_HOLES = f"""PX AS (SELECT vec_id, i - 1 p, (embedding[i] - list_min(embedding)) / (list_max(embedding) - list_min(embedding)) > {_LEVEL} ink FROM embeddings, range(1, 65) r(i)),
+FL(vec_id, s, p) AS (SELECT vec_id, p, p FROM PX WHERE NOT ink UNION SELECT FL.vec_id, s, PX.p FROM FL JOIN PX ON FL.vec_id = PX.vec_id AND NOT ink AND (abs(FL.p - PX.p) = {_SIDE} OR (abs(FL.p - PX.p) = 1 AND FL.p // {_SIDE} = PX.p // {_SIDE}))),
+RG AS (SELECT vec_id, c, count(*) n, bool_or(p < {_SIDE} OR p >= 56 OR p % {_SIDE} IN (0, 7)) outer_ FROM (SELECT vec_id, p, min(s) c FROM FL GROUP BY 1, 2) GROUP BY 1, 2),
+H AS (SELECT e.vec_id, coalesce(h, 0) holes, up, low FROM (SELECT vec_id, avg(CAST(ink AS INT)) FILTER (WHERE p < 32) up, avg(CAST(ink AS INT)) FILTER (WHERE p >= 32) low FROM PX GROUP BY 1) e LEFT JOIN (SELECT vec_id, count(*) h FROM RG WHERE NOT outer_ AND n >= {glyphs.HOLE_PIXELS} GROUP BY 1) USING (vec_id))"""
+
+
+def _glyphs(spark, sf_dir):
+    """The vectors as square rasters from 0 to 1, with their holes and the ink of their halves."""
+    e = _table(spark, sf_dir, "embeddings")
+    low, high = F.array_min("embedding"), F.array_max("embedding")
+    grey = F.transform(F.arrays_zip(F.col("embedding").alias("x"), F.array_repeat(low, F.size("embedding")).alias("low"), F.array_repeat(high, F.size("embedding")).alias("high")), lambda z: (z["x"] - z["low"]) / (z["high"] - z["low"]))
+    f = glyphs.features(F.col("grey"), _SIDE, lambda v: v > F.lit(_LEVEL).cast("float"))
+    return e.withColumn("grey", grey).withColumn("f", f).select(*e.columns, "f.holes", "f.upper", "f.lower")
+
+
+@query(f"WITH RECURSIVE {_HOLES} SELECT vec_id, holes, round(up, 6) AS upper, round(low, 6) AS lower FROM H")
+def glyph_holes(spark, sf_dir):
+    return _glyphs(spark, sf_dir).select("vec_id", "holes", F.round("upper", 6).alias("upper"), F.round("lower", 6).alias("lower"))
+
+
 @query(
-    f"""{_RANK}, X AS (SELECT vec_id, label digit, s, vec_id % 3 holes, CASE label WHEN 0 THEN 1 WHEN 4 THEN 1 WHEN 6 THEN 1 WHEN 8 THEN 2 WHEN 9 THEN 1 ELSE 0 END own, (vec_id % 7 + 1) / 8 up, (vec_id % 5) / 5 low FROM N),
+    f"""{_RANK.replace('WITH', 'WITH RECURSIVE', 1)}, {_HOLES}, X AS (SELECT vec_id, label digit, s, holes, CASE label WHEN 0 THEN 1 WHEN 4 THEN 1 WHEN 6 THEN 1 WHEN 8 THEN 2 WHEN 9 THEN 1 ELSE 0 END own, up, low FROM N JOIN H USING (vec_id)),
 Y AS (SELECT *, 0.8 * s + 0.2 * (1 - 0.4 * abs(holes - own) / 2) + CASE WHEN holes = own THEN 0.04 ELSE -0.02 END + CASE digit WHEN 8 THEN CASE WHEN b > 1.2 THEN -0.01 ELSE 0.01 END WHEN 9 THEN CASE WHEN b > 1.2 THEN 0.01 ELSE -0.01 END ELSE 0 END t FROM (SELECT *, CASE WHEN low > 0.001 THEN up / low ELSE 10 END b FROM X)),
 O AS (SELECT vec_id, digit, round(t, 9) t, row_number() OVER (PARTITION BY vec_id ORDER BY round(t, 9) DESC, digit) r FROM Y)
 SELECT a.vec_id, a.digit, round(a.t, 6) score, round(a.t - b.t, 6) margin FROM O a JOIN O b ON a.vec_id = b.vec_id AND a.r = 1 AND b.r = 2"""
 )
 def glyph_classify(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings")
-    s = recognition.scores(e, recognition.template_bank(e)).select("vec_id", F.explode("scores").alias("s")).select("vec_id", F.col("s.label").alias("digit"), F.col("s.shape").alias("shape"))
+    """Digits by shape, holes and balance, all taken from the raster."""
+    e = _glyphs(spark, sf_dir)
+    shapes = ["vec_id", "holes", "upper", "lower"]
+    s = recognition.scores(e, recognition.template_bank(_table(spark, sf_dir, "embeddings"))).select(*shapes, F.explode("scores").alias("s")).select(*shapes, F.col("s.label").alias("digit"), F.col("s.shape").alias("shape"))
     own = F.element_at(F.create_map(*[F.lit(x) for d in range(10) for x in (d, recognition.DIGIT_HOLES.get(d, 0))]), F.col("digit").cast("int"))
-    holes = F.col("vec_id") % 3
-    score = recognition.glyph_score(F.col("digit"), F.col("shape"), 1 - 0.4 * F.abs(holes - own) / 2, holes, own, (F.col("vec_id") % 7 + 1) / 8, (F.col("vec_id") % 5) / 5)
+    score = recognition.glyph_score(F.col("digit"), F.col("shape"), 1 - 0.4 * F.abs(F.col("holes") - own) / 2, F.col("holes"), own, F.col("upper"), F.col("lower"))
     return recognition.classify_glyphs(s.withColumn("score", F.round(score, 9)), "vec_id").withColumns({"score": F.round("score", 6), "margin": F.round("margin", 6)})
 
 
+#: The medoids of each grid in order, by looking at one cell after another (DuckDB); colours and widths from the vector.
+_FIT = f"""CE AS (SELECT label g, vec_id cell, row_number() OVER (PARTITION BY label ORDER BY vec_id) i, 10 + vec_id % 2 w, [vec_id % 3 * 20.0, vec_id % 2 * 20.0, 0.0] col, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),
+CN AS (SELECT g, cell, i, w, col, v, list_sum(v) s, list_dot_product(v, v) q FROM CE),
+FT(g, i, meds, home) AS (SELECT g, CAST(0 AS BIGINT), CAST([] AS STRUCT(cell BIGINT, w BIGINT, col DECIMAL(22,1)[], v DOUBLE[], s DOUBLE, q DOUBLE)[]), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT g FROM CN) UNION ALL
+ SELECT g, i, CASE WHEN len(fit) = 0 THEN list_append(meds, me) ELSE meds END, CASE WHEN len(fit) = 0 THEN me.cell ELSE fit[1].cell END FROM (
+ SELECT FT.g, CN.i, meds, {{'cell': cell, 'w': w, 'col': col, 'v': v, 's': CN.s, 'q': CN.q}} me, list_filter(meds, lambda m: abs(m.w - CN.w) / greatest(m.w, CN.w) <= 0.14 AND
+ (round((list_dot_product(m.v, CN.v) - m.s * CN.s / 64) / sqrt((m.q - m.s * m.s / 64) * (CN.q - CN.s * CN.s / 64)), 9) >= 0.955 OR (round((list_dot_product(m.v, CN.v) - m.s * CN.s / 64) / sqrt((m.q - m.s * m.s / 64) * (CN.q - CN.s * CN.s / 64)), 9) >= 0.86
+ AND sqrt(pow(m.col[1] - CN.col[1], 2) + pow(m.col[2] - CN.col[2], 2)) <= 42))) fit FROM FT JOIN CN ON FT.g = CN.g AND CN.i = FT.i + 1))"""
+
+
+@query(f"WITH RECURSIVE {_FIT}, M AS (SELECT FT.g, home AS cluster, col FROM FT JOIN CN ON FT.g = CN.g AND FT.i = CN.i), A AS (SELECT g, cluster, count(*) members, floor(avg(col[1]) + 0.5) r, floor(avg(col[2]) + 0.5) k FROM M GROUP BY 1, 2) SELECT g grid, cluster, members, CAST(r AS DOUBLE) red, round(max(sqrt(pow(col[1] - r, 2) + pow(col[2] - k, 2))), 6) spread FROM M JOIN A USING (g, cluster) GROUP BY ALL")
+def medoid_clusters(spark, sf_dir):
+    """Cells of a grid (here a label's vectors) by the first cluster whose first cell they are like, and what each cluster
+    looks like on the whole."""
+    k = F.col("vec_id")
+    colour = F.array((k % 3 * 20).cast("double"), (k % 2 * 20).cast("double"), F.lit(0.0))
+    cells_ = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("grid"), k.alias("cell"), (10 + k % 2).cast("double").alias("width"), colour.alias("colour"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    c = grids.centred(cells_, grids.first_fit(cells_))
+    return c.select("grid", "cluster", "members", F.col("colour")[0].alias("red"), F.round("spread", 6).alias("spread"))
+
+
+#: Ink per column of the digits 0 to 9 of a small font, and a blank column; 4 is broken, and 7 touches what follows.
+_INK = {"0": [5, 2, 2, 2, 5], "1": [1, 7, 1], "2": [3, 3, 3, 3, 3], "3": [2, 2, 3, 3, 5], "4": [3, 1, 0, 7, 1], "5": [4, 3, 3, 3, 4], "6": [5, 3, 3, 3, 3], "7": [1, 1, 4, 2, 2], "8": [4, 3, 3, 3, 4], "9": [3, 3, 3, 3, 5]}
+
+
+def projections(spark, sf_dir):
+    """Part prices in a small font: (p_partkey, projection, digits) with the ink of each column of pixels."""
+    ink = F.create_map(*[x for d, v in _INK.items() for x in (F.lit(d), F.array(*[F.lit(i) for i in v], *([] if d == "7" else [F.lit(0)])))])
+    text = F.floor(F.col("p_retailprice") * 100 * F.col("p_size")).cast("bigint").cast("string")
+    rows = _table(spark, sf_dir, "part").select("p_partkey", text.alias("t"))
+    return rows.select("p_partkey", F.flatten(F.transform(F.split("t", ""), lambda d: F.element_at(ink, d))).alias("projection"), F.length("t").alias("digits"))
+
+
+@query()
+def digit_segments(spark, sf_dir):
+    """Digits of part prices from their ink alone: broken ones joined, touching ones cut (no SQL: tested against a loop)."""
+    d = projections(spark, sf_dir).withColumn("d", glyphs.digit_segments(F.col("projection"), F.lit(1), F.col("digits")))
+    return d.select("p_partkey", "digits", "d.method", F.array_join(F.transform("d.segments", lambda s: F.concat_ws("+", s["x"], s["w"])), " ").alias("segments"))
+
+
+@query(
+    """WITH RECURSIVE E AS (SELECT l_orderkey g, 's' || l_suppkey AS lab, min(l_discount) score, min(CAST(l_quantity AS INT)) x0 FROM lineitem GROUP BY 1, 2), K AS (SELECT l_orderkey g, l_linenumber AS col, CAST(l_tax * 100 AS INT) + l_linenumber * 5 c0 FROM lineitem),
+Q AS (SELECT E.g, lab, score, x0, list({'d': CAST(abs(c0 - x0) AS DOUBLE), 'c': col} ORDER BY abs(c0 - x0), col) o FROM E JOIN K ON E.g = K.g AND abs(c0 - x0) <= 12 GROUP BY ALL), N AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY -score, x0, lab) i FROM Q),
+B(g, i, taken, lab, c) AS (SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS INT[]), CAST(NULL AS VARCHAR), CAST(NULL AS INT) FROM N UNION ALL SELECT g, i, CASE WHEN c IS NULL THEN taken ELSE list_append(taken, c) END, lab, c FROM (SELECT B.g, N.i, taken, N.lab, CAST(list_filter(o, lambda x: NOT list_contains(taken, CAST(x.c AS INT)))[1].c AS INT) c FROM B JOIN N ON B.g = N.g AND N.i = B.i + 1))
+SELECT g grid, lab AS label, c AS col FROM B WHERE c IS NOT NULL"""
+)
+def label_binding(spark, sf_dir):
+    """Labels of a page (an order's suppliers) bound to the nearest column (a line) that is still free."""
+    li = _table(spark, sf_dir, "lineitem")
+    grid = F.col("l_orderkey").alias("grid")
+    labels = li.groupBy(grid, F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("label")).agg(F.min("l_discount").alias("score"), F.min(F.col("l_quantity").cast("int")).alias("x0"))
+    columns = li.select(grid, F.col("l_linenumber").cast("int").alias("col"), ((F.col("l_tax") * 100).cast("decimal(9,0)").cast("int") + F.col("l_linenumber") * 5).alias("c0"))
+    pairs = labels.join(columns, "grid").withColumn("distance", F.abs(F.col("c0") - F.col("x0")).cast("double")).where("distance <= 12")
+    return grids.bind_one_to_one(pairs)
+
+
 @query(
     """WITH U AS (SELECT user_id, user_id % 4 <> 0 h, user_id % 3 <> 0 c, count(*) FILTER (WHERE event_id % 5 = 1) r, count(*) FILTER (WHERE event_id % 5 = 2) b, count(*) FILTER (WHERE event_id % 5 > 2 AND user_id % 2 = 0) x FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN NOT c THEN CASE WHEN h THEN 'info' ELSE 'warn' END WHEN r = 0 THEN CASE WHEN b > 0 AND x = 0 THEN 'info' ELSE 'warn' END WHEN x > 0 THEN 'warn' END AS level FROM U"""
