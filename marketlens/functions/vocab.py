@@ -151,6 +151,34 @@ PAGE = {
     "repeated": "The same MLS number appears more than once: {}. One property counted twice will skew the median — untick the duplicate below.",
 }
 
+# The words of the notices about an export; {} takes a number, a name or a list.
+ROLE_NAME = {"status": "status", "mls": "MLS number", "list": "list price", "orig": "original list price", "sold": "sold price", "conc": "concessions", "mt": "market time"}
+EXPORT = {
+    "above": "{} line(s) above the header row were ignored.",
+    "ambiguous": "More than one column could be the {}",
+    "ambiguous_rest": ", so none of them was used. Remove the extra column from the export.",
+    "unbalanced": "Row accounting does not balance. Do not rely on these numbers.",
+    "no_status": 'The file has no "Stat" or "Status" column. Every listing needs a status to be counted — add that column to the export.',
+    "no_list": 'The file has no "List Price" or "Current Price" column, so active listings and pending sales cannot be priced.',
+    "no_sold": 'The file has no "Sold Pr" or "Close Price" column, so closed sales cannot be priced. The list price is not substituted.',
+    "no_orig": 'The file has no "Orig List Pr" or "Original List Price" column, so no sale-to-list ratios could be computed.',
+    "no_conc": "The file has no concessions (CONC) column. Sale-to-list ratios treat concessions as zero.",
+    "no_mt": 'The file has no "MT" or "DOM" column, so no median days on market could be computed. (CDOM is not used: cumulative days on market survives a relisting, so it is a different number.)',
+    "malformed": "{} record(s) do not have the header's ",
+    "malformed_rest": ", so their values may sit under the wrong headings and none of them was used. They are listed below with no status — fix the export, or enter them by hand.",
+    "refused": "{} cell(s) could not be read as a number and were left empty rather than guessed at: ",
+    "blank_status": "{} row(s) have an empty status ",
+    "blank_status_rest": ". They are listed below and are excluded from every count until you set a status for them.",
+    "empty": "{} record(s) had every field empty and were not treated as listings.",
+    "blank_mt": "{} row(s) have an empty ",
+    "blank_mt_rest": " cell. Each bucket's median days on market rests on the rows that carry one, and says so.",
+    "ok": "All {} rows of ",
+    "ok_rest": " were read — no rows were dropped.",
+}
+# What is said of a file that is neither a picture nor an export.
+NO_WORKBOOK = "An Excel workbook cannot be read directly. Save it as CSV (or export the search as CSV or TSV) and drop that in instead."
+NO_FILE = "That is neither a screenshot nor an export. Paste a PNG or JPG screenshot, or drop in a .csv or .tsv file."
+
 # Bounds of accepted figures.
 PRICE_MIN, PRICE_MAX, DAYS_MAX, COMP_LIST_MAX = 1_000, 30_000_000, 3_650, 10
 

@@ -1,8 +1,7 @@
 """Raster steps of the recognition layer as Arrow functions over binary image columns.
 
 A raster is a struct (width, height, pixels: one byte per pixel, row by row, 0 is ink).  Each image is a bounded
-unit; everything after tokens exist is DataFrame work (see recognition).  Order-dependent greedy steps run per
-grid in a fixed order.
+unit; everything after tokens exist is DataFrame work (see recognition and grids).
 """
 
 from __future__ import annotations
@@ -15,10 +14,9 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 
 from marketlens.operators.ranks import middles
 
-# Template size, weights of the structural comparison, clustering bars.
+# Template size, weights of the structural comparison.
 GLYPH_W, GLYPH_H = 24, 32
 HOLES, DENSITY, BALANCE, ASPECT = 0.4, 0.2, 0.2, 0.2
-SHAPE_MERGE, SHAPE_NEVER, WIDTH_TOLERANCE, COLOUR_DISTANCE = 0.955, 0.86, 0.14, 42
 
 _RUN = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
 
@@ -164,71 +162,6 @@ def glyph_vector(image: pd.DataFrame) -> pd.Series:
     return pd.Series([fit(binarize(grey_of_bgr(d, w, h, c))).ravel().tolist() for w, h, c, d in zip(image["width"], image["height"], image["nChannels"], image["data"])])
 
 
-def _cluster(grid: pd.DataFrame) -> pd.DataFrame:
-    grid = grid.sort_values("cell").reset_index(drop=True)
-    medoids: list[int] = []
-    out = []
-    vectors = [np.asarray(v, float) for v in grid["vector"]]
-    for i in range(len(grid)):
-        home = -1
-        for c, m in enumerate(medoids):
-            wide = max(grid["width"][i], grid["width"][m])
-            if abs(grid["width"][i] - grid["width"][m]) > WIDTH_TOLERANCE * wide:
-                continue
-            shape = ncc(vectors[i], vectors[m])
-            far = np.linalg.norm(np.subtract(grid["colour"][i], grid["colour"][m]))
-            if shape >= SHAPE_MERGE or shape >= SHAPE_NEVER and far <= COLOUR_DISTANCE:
-                home = c
-                break
-        if home < 0:
-            # The first cell stands for its cluster throughout, as in the reference.
-            medoids.append(i)
-            home = len(medoids) - 1
-        out.append(home)
-    return pd.DataFrame({"grid": grid["grid"], "cell": grid["cell"], "cluster": out})
-
-
-def status_clusters(cells: DataFrame) -> DataFrame:
-    """First-fit clusters of a grid's status cells (grid, cell, width, colour array<double>, vector array<double>)."""
-    return cells.groupBy("grid").applyInPandas(_cluster, "grid string, cell int, cluster int")
-
-
-def _columns(grid: pd.DataFrame) -> pd.DataFrame:
-    grid = grid.sort_values(["x0", "token"]).reset_index(drop=True)
-    spans: list[list[float]] = []
-    out = []
-    for a, b in zip(grid["x0"], grid["x1"]):
-        home = next((c for c, (p, q) in enumerate(spans) if min(b, q) - max(a, p) >= 0.5 * min(b - a, q - p)), -1)
-        if home < 0:
-            spans.append([a, b])
-            home = len(spans) - 1
-        else:
-            spans[home] = [min(spans[home][0], a), max(spans[home][1], b)]
-        out.append(home)
-    return pd.DataFrame({"grid": grid["grid"], "token": grid["token"], "col": out})
-
-
-def token_columns(tokens: DataFrame) -> DataFrame:
-    """Columns of a grid's tokens (grid, token, x0, x1): a token joins the first column it overlaps by half."""
-    return tokens.groupBy("grid").applyInPandas(_columns, "grid string, token int, col int")
-
-
-def _greedy(grid: pd.DataFrame) -> pd.DataFrame:
-    taken: set = set()
-    rows = []
-    for (_, label), g in grid.sort_values(["score", "label", "distance", "col"], ascending=[False, True, True, True]).groupby(["score", "label"], sort=False):
-        free = g[~g["col"].isin(taken)]
-        if len(free):
-            taken.add(free["col"].iloc[0])
-            rows.append((g["grid"].iloc[0], label, free["col"].iloc[0]))
-    return pd.DataFrame(rows, columns=["grid", "label", "col"])
-
-
-def bind_labels(pairs: DataFrame) -> DataFrame:
-    """One column per label, best scores first, nearest free column each (grid, label, score, col, distance)."""
-    return pairs.groupBy("grid").applyInPandas(_greedy, "grid string, label string, col int")
-
-
 def clipped_rows(bands: DataFrame) -> DataFrame:
     """Bands (grid, top, bottom, height) of grids with three or more that come within a pixel of an edge and differ from
     the upper median height by over 15 %."""

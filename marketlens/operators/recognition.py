@@ -127,6 +127,25 @@ def prefix_vote(cells: DataFrame, by: str, digits: str, commas: str) -> DataFram
     return g.withColumn("verdict", verdict)
 
 
+PREFIX_SAMPLE = 8
+
+
+def currency_prefix(cells: DataFrame, by: str, order: str, digits: str, commas: str) -> DataFrame:
+    """(by, verdict, kept, dropped, is_prefix): whether a column's first glyph is a currency mark.
+
+    ``digits`` are the glyphs read as digits, ``commas`` the separators.  Where the separators fit both ways, the first few
+    cells decide by magnitude: only one reading may put their upper middle value among the prices of houses.
+    """
+    vote = prefix_vote(cells.withColumn("n_digits_", F.length(digits)), by, "n_digits_", commas)
+    first = cells.withColumn("nth_", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("nth_") <= PREFIX_SAMPLE)
+    upper = lambda v: F.get(F.array_sort(F.collect_list(v)), F.floor(F.count(v) / 2).cast("int"))  # noqa: E731  (PREFIX_SAMPLE at most)
+    number = lambda c: F.when(F.length(c) > 0, c.try_cast("bigint"))
+    sample = first.groupBy(by).agg(upper(number(F.col(digits))).alias("kept"), upper(number(F.substring(F.col(digits), F.lit(2), F.length(digits)))).alias("dropped"))
+    fits = lambda c: F.coalesce(F.col(c).between(COL_LOW, COL_HIGH), F.lit(False))
+    met = vote.select(by, "verdict").join(sample, by)
+    return met.withColumn("is_prefix", F.when(F.col("verdict") == "magnitude", fits("dropped") & ~fits("kept")).otherwise(F.col("verdict") == "drop"))
+
+
 def marks(digits_at: Column, marks_at: Column) -> Column:
     """(commas, fraction) of a number token from the places of its digits and marks; null if a mark sits wrong.
 

@@ -319,47 +319,96 @@ def header_bind(spark, sf_dir):
     return one.unionByName(several).withColumn("label", spelt)
 
 
-def _nation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One small export per region, with quoting, blank lines, short and empty records set by nation key."""
-    n = _table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("k"), "n_name")
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export per hundred customers, with quoting, blank lines, short and empty records set by customer key."""
+    n = _table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 100).alias("r"), F.col("c_custkey").alias("k"))
     line = (
         F.when(F.col("k") % 5 == 3, F.concat(F.col("k").cast("string"), F.lit(",ACTV")))
         .when(F.col("k") % 5 == 4, F.lit(",,"))
-        .otherwise(F.concat(F.col("k").cast("string"), F.lit(',"ACTV","'), F.format_number(F.col("k") * 10000 + 100000, 0), F.lit('"')))
+        .otherwise(F.concat(F.col("k").cast("string"), F.lit(',"ACTV","'), F.format_number(F.col("k") % 2000 * 10000 + 100000, 0), F.lit('"')))
     )
     body = n.select("r", "k", line.alias("line")).groupBy("r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\r\n\r\n").alias("b"))
-    return body.select(F.concat(F.lit("region"), F.col("r").cast("string")).alias("file"), F.concat(F.lit("MLS #,Stat,List Price\r\n"), F.col("b"), F.lit("\r\n")).alias("content"))
+    return body.select(F.concat(F.lit("export"), F.col("r").cast("string")).alias("file"), F.concat(F.lit("MLS #,Stat,List Price\r\n"), F.col("b"), F.lit("\r\n")).alias("content"))
 
 
-_NATIONS = "N AS (SELECT 'region' || n_regionkey AS file, n_nationkey k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) i FROM nation)"
+_FILES = "N AS (SELECT 'export' || c_custkey // 100 AS file, c_custkey k, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) i FROM customer)"
 
 
-@query(f"WITH {_NATIONS} SELECT file, CAST(1 AS BIGINT) rec_no, CAST(1 AS BIGINT) line, CAST(3 AS BIGINT) n_fields FROM N GROUP BY file UNION ALL SELECT file, i + 1, 2 * i, CASE WHEN k % 5 = 3 THEN 2 ELSE 3 END FROM N")
+@query(f"WITH {_FILES} SELECT file, CAST(1 AS BIGINT) rec_no, CAST(1 AS BIGINT) line, CAST(3 AS BIGINT) n_fields FROM N GROUP BY file UNION ALL SELECT file, i + 1, 2 * i, CASE WHEN k % 5 = 3 THEN 2 ELSE 3 END FROM N")
 def split_records(spark, sf_dir):
     from marketlens.sources import exports
 
-    return exports.records(_nation_files(spark, sf_dir)).select("file", F.col("rec_no").cast("bigint").alias("rec_no"), F.col("line").cast("bigint").alias("line"), F.size("fields").cast("bigint").alias("n_fields"))
+    return exports.records(_files(spark, sf_dir)).select("file", F.col("rec_no").cast("bigint").alias("rec_no"), F.col("line").cast("bigint").alias("line"), F.size("fields").cast("bigint").alias("n_fields"))
 
 
 @query(
-    f"""WITH {_NATIONS} SELECT file, 2 * i AS line, CASE WHEN k % 5 = 3 THEN 'malformed' WHEN k % 5 = 4 THEN 'empty' ELSE 'row' END kind, CASE WHEN k % 5 < 3 THEN CAST(k AS VARCHAR) END mls,
- CASE WHEN k % 5 < 3 THEN CAST(k * 10000 + 100000 AS BIGINT) END list_price, CASE WHEN k % 5 = 3 THEN 'malformed' END reject FROM N"""
+    f"""WITH {_FILES} SELECT file, 2 * i AS line, CASE WHEN k % 5 = 3 THEN 'malformed' WHEN k % 5 = 4 THEN 'empty' ELSE 'row' END kind, CASE WHEN k % 5 < 3 THEN CAST(k AS VARCHAR) END mls,
+ CASE WHEN k % 5 < 3 THEN CAST(k % 2000 * 10000 + 100000 AS BIGINT) END list_price, CASE WHEN k % 5 = 3 THEN 'malformed' END reject FROM N"""
 )
 def malformed_rows(spark, sf_dir):
     from marketlens.sources import exports
 
-    rows = exports.listings(exports.records(_nation_files(spark, sf_dir)))
+    rows = exports.listings(exports.records(_files(spark, sf_dir)))
     return rows.select("file", F.col("line").cast("bigint").alias("line"), "kind", "mls", "list_price", "reject")
 
 
 @query(
-    f"""WITH {_NATIONS} SELECT file, count(*) placed, count(*) FILTER (WHERE k % 5 = 4) empty, count(*) FILTER (WHERE k % 5 = 3) malformed, true accounted, CAST(CASE WHEN count(*) FILTER (WHERE k % 5 = 3) > 0 THEN 1 ELSE 0 END AS BIGINT) errors, count(*) FILTER (WHERE k % 5 = 4) dropped
+    f"""WITH {_FILES} SELECT file, count(*) placed, count(*) FILTER (WHERE k % 5 = 4) empty, count(*) FILTER (WHERE k % 5 = 3) malformed, true accounted, CAST(CASE WHEN count(*) FILTER (WHERE k % 5 = 3) > 0 THEN 1 ELSE 0 END AS BIGINT) errors, count(*) FILTER (WHERE k % 5 = 4) dropped
 FROM N GROUP BY 1"""
 )
 def file_reviews(spark, sf_dir):
     from marketlens.sources import exports
 
-    return exports.reviews(exports.records(_nation_files(spark, sf_dir))).select("file", "placed", "empty", "malformed", "accounted", "errors", "dropped")
+    return exports.reviews(exports.records(_files(spark, sf_dir))).select("file", "placed", "empty", "malformed", "accounted", "errors", "dropped")
+
+
+_LINE_LIST = "CASE WHEN len({0}) = 1 THEN 'line ' || {0}[1] WHEN len({0}) <= 8 THEN 'lines ' || array_to_string({0}[1:len({0}) - 1], ', ') || ' and ' || {0}[-1] ELSE 'lines ' || array_to_string({0}[1:8], ', ') || ' and ' || (len({0}) - 8) || ' more' END"
+
+
+@query(
+    f"""WITH {_FILES}, G AS (SELECT file, list(CAST(2 * i AS VARCHAR) ORDER BY i) FILTER (WHERE k % 5 = 3) bad, count(*) FILTER (WHERE k % 5 = 4) empty FROM N GROUP BY 1),
+X AS (SELECT file, list_filter([{{'level': 'warn', 'text': 'The file has no "Sold Pr" or "Close Price" column, so closed sales cannot be priced. The list price is not substituted.'}}, {{'level': 'info', 'text': 'The file has no "Orig List Pr" or "Original List Price" column, so no sale-to-list ratios could be computed.'}},
+ {{'level': 'info', 'text': 'The file has no "MT" or "DOM" column, so no median days on market could be computed. (CDOM is not used: cumulative days on market survives a relisting, so it is a different number.)'}},
+ CASE WHEN len(bad) > 0 THEN {{'level': 'error', 'text': len(bad) || ' record(s) do not have the header''s 3 columns (' || {_LINE_LIST.format('bad')} || '), so their values may sit under the wrong headings and none of them was used. They are listed below with no status — fix the export, or enter them by hand.'}} END,
+ CASE WHEN empty > 0 THEN {{'level': 'info', 'text': empty || ' record(s) had every field empty and were not treated as listings.'}} END], lambda x: x IS NOT NULL) n FROM G)
+SELECT file, i - 1 seq, n[i].level AS level, n[i].text AS text FROM X, range(1, 6) r(i) WHERE i <= len(n)"""
+)
+def export_notices(spark, sf_dir):
+    from marketlens.sources import exports
+
+    return exports.notices(exports.records(_files(spark, sf_dir)))
+
+
+@query(
+    """WITH X AS (SELECT p_partkey, p_name || CASE p_size % 7 WHEN 0 THEN '.csv' WHEN 1 THEN '.TSV' WHEN 2 THEN '.xlsx' WHEN 3 THEN '.png' WHEN 4 THEN '.XLS' ELSE '' END name, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/CSV' WHEN 2 THEN '' END mime FROM part)
+SELECT p_partkey, CASE WHEN mime LIKE 'image/%' THEN 'image' WHEN lower(name) LIKE '%.csv' OR lower(name) LIKE '%.tsv' OR lower(mime) = 'text/csv' THEN 'table' END route,
+ CASE WHEN coalesce(mime, '') LIKE 'image/%' OR lower(name) LIKE '%.csv' OR lower(name) LIKE '%.tsv' OR lower(coalesce(mime, '')) = 'text/csv' THEN NULL WHEN lower(name) LIKE '%.xls' OR lower(name) LIKE '%.xlsx' THEN 'An Excel workbook cannot be read directly. Save it as CSV (or export the search as CSV or TSV) and drop that in instead.'
+ ELSE 'That is neither a screenshot nor an export. Paste a PNG or JPG screenshot, or drop in a .csv or .tsv file.' END refusal FROM X"""
+)
+def file_routes(spark, sf_dir):
+    from marketlens.sources import exports
+
+    size, k = F.col("p_size") % 7, F.col("p_partkey") % 4
+    end = F.when(size == 0, ".csv").when(size == 1, ".TSV").when(size == 2, ".xlsx").when(size == 3, ".png").when(size == 4, ".XLS").otherwise("")
+    files = _table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", end).alias("name"), F.when(k == 0, "image/png").when(k == 1, "text/CSV").when(k == 2, "").alias("mime"))
+    return exports.routed(files).select("p_partkey", "route", "refusal")
+
+
+@query(
+    """WITH X AS (SELECT p_brand, p_partkey, CASE WHEN p_brand LIKE '%1' THEN '5' ELSE '' END || CAST(CAST(floor(p_retailprice * CASE WHEN p_brand LIKE '%2' THEN 100 WHEN p_brand LIKE '%3' THEN 10 ELSE 1000 END) AS BIGINT) AS VARCHAR) d, CASE WHEN p_brand LIKE '%4' THEN 3 ELSE 2 END k FROM part),
+Y AS (SELECT *, (length(d) - 1) // 3 c FROM X), Z AS (SELECT *, CASE WHEN k = 3 THEN (length(d) - 2) // 3 ELSE c END commas FROM Y), G AS (SELECT p_brand, count(*) n, avg(CAST(commas > 0 AS INT)) w, avg(CAST(commas = (length(d) - 1) // 3 AS INT)) keep, avg(CAST(commas = (length(d) - 2) // 3 AS INT)) drp FROM Z WHERE length(d) >= 3 GROUP BY 1),
+V AS (SELECT p_brand, CASE WHEN n < 2 OR w < 0.9 THEN 'keep' WHEN drp >= 0.9 AND drp > keep + 0.15 THEN 'drop' WHEN keep >= 0.9 AND keep > drp + 0.15 THEN 'keep' WHEN keep < 0.9 OR drp < 0.9 THEN 'keep' ELSE 'magnitude' END verdict FROM G),
+S AS (SELECT p_brand, list(CAST(d AS BIGINT) ORDER BY CAST(d AS BIGINT)) a, list(CAST(d[2:] AS BIGINT) ORDER BY CAST(d[2:] AS BIGINT)) b FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) r FROM Z) WHERE r <= 8 GROUP BY 1)
+SELECT p_brand, verdict, a[len(a) // 2 + 1] kept, b[len(b) // 2 + 1] dropped, CASE verdict WHEN 'magnitude' THEN b[len(b) // 2 + 1] BETWEEN 20000 AND 20000000 AND NOT a[len(a) // 2 + 1] BETWEEN 20000 AND 20000000 ELSE verdict = 'drop' END is_prefix FROM V JOIN S USING (p_brand)"""
+)
+def currency_prefix(spark, sf_dir):
+    """Price columns whose first glyph may be a currency mark that was read as a digit, by separators and by magnitude."""
+    brand = F.col("p_brand")
+    times = F.when(brand.endswith("2"), 100).when(brand.endswith("3"), 10).otherwise(1000)
+    digits = F.concat(F.when(brand.endswith("1"), "5").otherwise(""), F.floor(F.col("p_retailprice") * times).cast("bigint").cast("string"))
+    rows = _table(spark, sf_dir, "part").select("p_brand", "p_partkey", digits.alias("digits"))
+    short = F.when(brand.endswith("4"), 2).otherwise(1)
+    return recognition.currency_prefix(rows.withColumn("commas", F.floor((F.length("digits") - short) / 3)), "p_brand", "p_partkey", "digits", "commas")
 
 
 _MONEY = "CASE WHEN {0} IS NULL THEN '—' ELSE '$' || format('{{:,}}', {0}) END"

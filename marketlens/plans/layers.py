@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import cells
 from marketlens.functions.vocab import HEADER_VOCABULARY
 from marketlens.operators import glyphs, grids, market, pixels, recognition, report
-from marketlens.plans.catalogue import _RANK, _SUMMARY, L, _lines_sql, _placed, _ranked, _table, query
+from marketlens.plans.catalogue import _BANK, _RANK, _SUMMARY, L, _lines_sql, _placed, _ranked, _table, query
 
 _FORM_ROWS = """V AS (SELECT max(n_rows) FILTER (WHERE bucket = 'active') an, max(dom_median) FILTER (WHERE bucket = 'active') ad, max(dom_rows) FILTER (WHERE bucket = 'active') ar, max(low) FILTER (WHERE bucket = 'active') al, max(median_price) FILTER (WHERE bucket = 'active') am, max(high) FILTER (WHERE bucket = 'active') ah,
  max(n_rows) FILTER (WHERE bucket = 'closed') cn, max(low) FILTER (WHERE bucket = 'closed') cl, max(median_price) FILTER (WHERE bucket = 'closed') cm, max(high) FILTER (WHERE bucket = 'closed') ch, max(dom_rows) FILTER (WHERE bucket = 'closed') cr, max(dom_median) FILTER (WHERE bucket = 'closed') cd, max(n_rows) FILTER (WHERE bucket = 'pending') pn FROM S)"""
@@ -223,7 +223,7 @@ def glyph_classify(spark, sf_dir):
 
 
 #: The medoids of each grid in order, by looking at one cell after another (DuckDB); colours and widths from the vector.
-_FIT = f"""CE AS (SELECT label g, vec_id cell, row_number() OVER (PARTITION BY label ORDER BY vec_id) i, 10 + vec_id % 2 w, [vec_id % 3 * 20.0, vec_id % 2 * 20.0, 0.0] col, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),
+_FIT = f"""{_BANK}, CE AS (SELECT vec_id % 7 g, vec_id cell, row_number() OVER (PARTITION BY vec_id % 7 ORDER BY vec_id) i, 10 + vec_id % 2 w, [vec_id % 3 * 20.0, vec_id % 2 * 20.0, 0.0] col, list_transform(range(1, 65), lambda i: tpl[i] + 0.05 * CAST(embedding[i] AS DOUBLE)) v FROM embeddings JOIN B USING (label)),
 CN AS (SELECT g, cell, i, w, col, v, list_sum(v) s, list_dot_product(v, v) q FROM CE),
 FT(g, i, meds, home) AS (SELECT g, CAST(0 AS BIGINT), CAST([] AS STRUCT(cell BIGINT, w BIGINT, col DECIMAL(22,1)[], v DOUBLE[], s DOUBLE, q DOUBLE)[]), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT g FROM CN) UNION ALL
  SELECT g, i, CASE WHEN len(fit) = 0 THEN list_append(meds, me) ELSE meds END, CASE WHEN len(fit) = 0 THEN me.cell ELSE fit[1].cell END FROM (
@@ -234,11 +234,14 @@ FT(g, i, meds, home) AS (SELECT g, CAST(0 AS BIGINT), CAST([] AS STRUCT(cell BIG
 
 @query(f"WITH RECURSIVE {_FIT}, M AS (SELECT FT.g, home AS cluster, col FROM FT JOIN CN ON FT.g = CN.g AND FT.i = CN.i), A AS (SELECT g, cluster, count(*) members, floor(avg(col[1]) + 0.5) r, floor(avg(col[2]) + 0.5) k FROM M GROUP BY 1, 2) SELECT g grid, cluster, members, CAST(r AS DOUBLE) red, round(max(sqrt(pow(col[1] - r, 2) + pow(col[2] - k, 2))), 6) spread FROM M JOIN A USING (g, cluster) GROUP BY ALL")
 def medoid_clusters(spark, sf_dir):
-    """Cells of a grid (here a label's vectors) by the first cluster whose first cell they are like, and what each cluster
-    looks like on the whole."""
+    """Cells of a grid by the first cluster whose first cell they are like, and what each cluster looks like on the whole; a
+    cell is its label's mean vector with a little of its own."""
     k = F.col("vec_id")
     colour = F.array((k % 3 * 20).cast("double"), (k % 2 * 20).cast("double"), F.lit(0.0))
-    cells_ = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("grid"), k.alias("cell"), (10 + k % 2).cast("double").alias("width"), colour.alias("colour"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    e = _table(spark, sf_dir, "embeddings")
+    mixed = F.zip_with("template", "embedding", lambda t, x: t + F.lit(0.05) * x.cast("double"))
+    met = e.join(F.broadcast(recognition.template_bank(e)), "label")  # one row per label
+    cells_ = met.select((k % 7).alias("grid"), k.alias("cell"), (10 + k % 2).cast("double").alias("width"), colour.alias("colour"), mixed.alias("vector"))
     c = grids.centred(cells_, grids.first_fit(cells_))
     return c.select("grid", "cluster", "members", F.col("colour")[0].alias("red"), F.round("spread", 6).alias("spread"))
 

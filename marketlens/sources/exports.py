@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlens.functions import cells
-from marketlens.functions.vocab import ANCHORS, ROLE_LABELS, label_key
+from marketlens.functions.vocab import ANCHORS, EXPORT, NO_FILE, NO_WORKBOOK, PAGE, ROLE_LABELS, ROLE_NAME, label_key
 
 #: Larger files are refused.
 MAX_BYTES = 20 << 20
@@ -232,3 +232,78 @@ def looks_like_table(texts: DataFrame, text: str = "text") -> DataFrame:
     head = texts.select("file", F.substring(F.col(text), 1, SNIFF_CHARS).alias("content"))
     found = headers(records(head.where(F.col("content").rlike(r"[\r\n]")))).select("file", F.lit(True).alias("found"))
     return texts.join(found, "file", "left").withColumn("looks_like_table", F.coalesce("found", F.lit(False))).drop("found")
+
+
+def routed(files: DataFrame, name: str = "name", mime: str = "mime") -> DataFrame:
+    """``files`` with ``route`` ("image", "table" or null) and, where a file is neither, ``refusal``.
+
+    A picture's type comes first; an export goes by its extension and, without one, by its type, as systems often give a
+    table file no type at all.
+    """
+    kind, lower = F.coalesce(F.col(mime), F.lit("")), F.lower(F.coalesce(F.col(name), F.lit("")))
+    is_table = lower.rlike(r"\.(csv|tsv|tab|txt)$") | F.lower(kind).rlike("^text/(csv|tab-separated-values|plain)$")
+    route = F.when(kind.startswith("image/"), "image").when(is_table, "table")
+    return files.withColumn("route", route).withColumn("refusal", F.when(F.col("route").isNull(), F.when(lower.rlike(r"\.xlsx?$"), NO_WORKBOOK).otherwise(NO_FILE)))
+
+
+SHOWN_REFUSED = 6
+
+
+def notices(recs: DataFrame) -> DataFrame:
+    """(file, seq, level, text): what is said about each file that could be read, in order of the steps.
+
+    What only the first few are listed of (lines, refused cells) is listed in order of lines.
+    """
+    rows, head = listings(recs), headers(recs)
+    n = F.col
+    lines = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("line"))))  # noqa: E731  (records of one file)
+    blank = (F.col("kind") == "row") & (F.col("reject") == "blank")
+    of_file = rows.groupBy("file").agg(lines(F.col("kind") == "malformed").alias("malformed"), lines(blank).alias("blank_status"), F.count_if(F.col("kind") != "empty").alias("n_rows"), F.count_if((F.col("kind") != "empty") & F.col("status").isNull()).alias("no_status"))
+    label_of = F.create_map(*[x for r in ROLE_LABELS for x in (F.lit(r), F.try_element_at(F.filter("bound", lambda b: b["role"] == r), F.lit(1))["label"])])
+    cell = lambda c: F.concat(F.lit("line "), c["line"].cast("string"), F.lit(", "), F.element_at("labels", c["role"]), F.lit(' "'), cells.trimmed(c["raw"]), F.lit('" '), c["why"])
+    refused = rows.select("file", "line", F.posexplode("refused").alias("nth", "r")).select("file", "line", "nth", "r.role", "r.raw", "r.why")
+    refused = refused.groupBy("file").agg(F.slice(F.array_sort(F.collect_list(F.struct("line", "nth", "role", "raw", "why"))), 1, SHOWN_REFUSED).alias("refused_cells"))
+    twice = rows.where("mls is not null").groupBy("file", "mls").agg(F.count("*").alias("times")).where("times > 1").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mls", "times"))), lambda x: F.concat(x["mls"], F.lit(" ×"), x["times"].cast("string"))), ", ").alias("twice"))
+    own = cells.status_code(F.col("status"))
+    private = F.when(F.upper("status").startswith("PRIV-"), F.lit("PRIV"))
+    codes = rows.where("status is not null").select("file", F.explode(F.array_compact(F.array(own, private))).alias("code")).distinct().withColumn("caution", cells.caution(F.col("code"))).where("caution is not null")
+    cautions = codes.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "caution"))), lambda x: F.struct(F.lit("info").alias("level"), F.concat_ws(": ", x["code"], x["caution"]).alias("text"))).alias("cautions"))
+    met = reviews(recs).drop("malformed", "blank_status").join(head.drop("header_line"), "file").join(of_file, "file", "left").join(refused, "file", "left").join(twice, "file", "left").join(cautions, "file", "left").withColumn("labels", label_of)
+    has = lambda role: F.exists("bound", lambda b: b["role"] == role)
+    doubtful = lambda role: F.exists("ambiguous", lambda b: b["role"] == role)
+    lacks = lambda role: ~has(role) & ~doubtful(role)
+
+    def notice(cond, level: str, *text):
+        parts = [F.lit(t) if isinstance(t, str) else t for t in text]
+        return F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(level).alias("level"), F.concat(*parts).alias("text")))
+
+    def filled(key: str, value):
+        before, after = EXPORT[key].split("{}")
+        return [F.lit(before), value.cast("string"), F.lit(after)]
+
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    listed = lambda c: F.concat(F.lit("("), cells.line_list(F.col(c).cast("array<string>")), F.lit(")"))
+    names = F.create_map(*[F.lit(x) for kv in ROLE_NAME.items() for x in kv])
+    claimed = lambda a: F.concat(F.lit(" ("), F.array_join(F.transform(a["labels"], lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", "), F.lit(")"))
+    before, after = EXPORT["ambiguous"].split("{}")
+    ambiguous = F.transform("ambiguous", lambda a: F.struct(F.lit("error").alias("level"), F.concat(F.lit(before), F.element_at(names, a["role"]), F.lit(after), claimed(a), F.lit(EXPORT["ambiguous_rest"])).alias("text")))
+    above = n("header_no") - 1
+    first = [notice(above > 0, "info", *filled("above", above))]
+    then = [
+        notice(~n("accounted"), "error", EXPORT["unbalanced"]), notice(lacks("status"), "error", EXPORT["no_status"]), notice(lacks("list"), "warn", EXPORT["no_list"]), notice(lacks("sold"), "warn", EXPORT["no_sold"]),
+        notice(lacks("orig"), "info", EXPORT["no_orig"]), notice(~has("conc") & has("sold"), "info", EXPORT["no_conc"]), notice(lacks("mt"), "info", EXPORT["no_mt"]),
+        notice(some("malformed"), "error", *filled("malformed", F.size("malformed")), n("width").cast("string"), " columns ", listed("malformed"), EXPORT["malformed_rest"]),
+        notice(n("refused") > 0, "error", *filled("refused", n("refused")), F.array_join(F.transform("refused_cells", cell), "; "), F.when(n("refused") > SHOWN_REFUSED, "; …").otherwise(""), "."),
+        notice(some("blank_status"), "warn", *filled("blank_status", F.size("blank_status")), listed("blank_status"), EXPORT["blank_status_rest"]), notice(n("empty") > 0, "info", *filled("empty", n("empty"))),
+        notice(n("has_market_time") & (n("blank_mt") > 0), "info", *filled("blank_mt", n("blank_mt")), F.element_at("labels", F.lit("mt")), EXPORT["blank_mt_rest"]), notice(n("twice").isNotNull(), "warn", *_split(PAGE["repeated"], n("twice"))),
+    ]
+    clean = (n("dropped") == 0) & (n("no_status") == 0) & (n("refused") == 0) & n("accounted")
+    last = [notice(clean, "ok", *filled("ok", n("n_rows")), n("file"), EXPORT["ok_rest"])]
+    none = F.array().cast("array<struct<level:string,text:string>>")
+    all_ = F.concat(F.array_compact(F.array(*first)), F.coalesce(ambiguous, none), F.array_compact(F.array(*then)), F.coalesce("cautions", none), F.array_compact(F.array(*last)))
+    return met.select("file", F.posexplode(all_).alias("seq", "x")).select("file", "seq", "x.level", "x.text")
+
+
+def _split(text: str, value) -> list:
+    before, after = text.split("{}")
+    return [F.lit(before), value, F.lit(after)]

@@ -37,15 +37,6 @@ def test_image_columns(spark):
 
 
 def test_greedy_steps(spark):
-    tokens = spark.createDataFrame([("g", 1, 0, 10), ("g", 2, 2, 9), ("g", 3, 20, 30), ("h", 1, 5, 8)], "grid string, token int, x0 int, x1 int")
-    assert {(r.grid, r.token): r.col for r in pixels.token_columns(tokens).collect()} == {("g", 1): 0, ("g", 2): 0, ("g", 3): 1, ("h", 1): 0}
-    pairs = spark.createDataFrame([("g", "List", 0.9, 1, 2.0), ("g", "List", 0.9, 2, 1.0), ("g", "Sold", 0.8, 2, 0.5), ("g", "Sold", 0.8, 3, 4.0)], "grid string, label string, score double, col int, distance double")
-    assert {r.label: r.col for r in pixels.bind_labels(pairs).collect()} == {"List": 2, "Sold": 3}
-    rng = np.random.default_rng(0)
-    base = rng.random((2, 50))
-    cells = pd.DataFrame([("g", i, 10.0, [0.0, 0.0, float(i % 2)], (base[i % 2] + rng.random(50) * 0.05).tolist()) for i in range(10)], columns=["grid", "cell", "width", "colour", "vector"])
-    got = {r.cell: r.cluster for r in pixels.status_clusters(spark.createDataFrame(cells, "grid string, cell int, width double, colour array<double>, vector array<double>")).collect()}
-    assert got == {i: i % 2 for i in range(10)}
     bands = spark.createDataFrame([("g", 0, 5, 100), ("g", 10, 30, 100), ("g", 40, 60, 100), ("g", 80, 100, 100)], "grid string, top int, bottom int, height int")
     assert sorted(r.top for r in pixels.clipped_rows(bands).where("clipped").collect()) == [0]
     assert pixels.clipped_rows(bands.where("top < 20")).where("clipped").count() == 0  # fewer than three bands
@@ -68,19 +59,3 @@ def test_stream_ingest(spark, tmp_path):
     (src / "b.csv").write_text("Stat,List Price\nACTV,200000\n")
     ingest.ingest(spark, str(src), str(out), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.list_price for r in spark.read.parquet(str(out)).collect()) == [100000, 200000]
-
-
-def test_status_clusters_keep_their_first_cell(spark):
-    # Shapes that turn a little from cell to cell: each is near its neighbours, the last is far from the first.
-    turn = lambda d: [1.0, float(np.cos(np.radians(d))), float(np.sin(np.radians(d))), -1.0 - float(np.cos(np.radians(d)) + np.sin(np.radians(d)))]
-    vectors = [turn(d) for d in range(0, 91, 5)]
-    cells = spark.createDataFrame([("g", i, 10.0, [0.0, 0.0, 0.0], v) for i, v in enumerate(vectors)], "grid string, cell int, width double, colour array<double>, vector array<double>")
-    want, first = [], []
-    for v in vectors:
-        home = next((c for c, m in enumerate(first) if pixels.ncc(np.array(v), np.array(m)) >= pixels.SHAPE_NEVER), -1)
-        if home < 0:
-            first.append(v)
-            home = len(first) - 1
-        want.append(home)
-    assert len(first) > 1
-    assert [r.cluster for r in pixels.status_clusters(cells).orderBy("cell").collect()] == want
