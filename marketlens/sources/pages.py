@@ -138,6 +138,7 @@ def read_pages(tokens: DataFrame, bands: DataFrame | None = None) -> Reading:
     ``bands`` (grid, row, top, bottom, height) are the row bands' places on their pages, if known: bands that an edge cut
     through are left out and counted.  Null texts and intervals count as no cell.
     """
+    tokens = settled(tokens)
     labels = settled(header_tokens(tokens))
     at = labels.groupBy("grid").agg(F.max("row").alias("header"))
     met = tokens.join(at, "grid", "left").withColumn("above", F.coalesce(F.col("row") < F.col("header"), F.lit(False))).withColumn("in_header", F.coalesce(F.col("row") == F.col("header"), F.lit(False)))
@@ -147,8 +148,8 @@ def read_pages(tokens: DataFrame, bands: DataFrame | None = None) -> Reading:
     else:
         met = met.withColumn("clipped", F.lit(False))
     data = met.where("not above and not in_header and not clipped")
-    placed = grids.split_fused(grids.token_columns(data.where("text is not null").select("grid", "row", "x0", "x1", "text")))
-    cells = settled(grids.cells(placed))
+    placed = settled(grids.token_columns(data.where("text is not null").select("grid", "row", "x0", "x1", "text")))
+    cells = settled(grids.cells(grids.split_fused(placed)))
     spans = cells.groupBy("grid", "col").agg(F.min("x0").alias("c0"), F.max("x1").alias("c1"))
     rows = cells.groupBy("grid").agg(F.countDistinct("row").alias("n_rows"))
     named = settled(named_columns(labels, spans))
