@@ -11,8 +11,8 @@ one.  Their size is measured: beyond ``block_bytes`` they are dealt to several a
 used for one scan of the documents, and dropped before the next; a document's hits of all blocks meet again in one
 aggregation.
 
-Defined results: null and empty texts have no words and are never contaminated; items without words and
-items with a null id or null text match nothing; repeated rows get equal values; an item that is there several times
+Defined results: null and empty texts have no words and are never contaminated; items without words or
+with a null text match nothing; an item of null id hits words but is not among the items found; repeated rows get equal values; an item that is there several times
 counts once; other columns stay as they are, and an input column of the result's name is replaced; a very long text is
 scanned whole.
 """
@@ -33,7 +33,7 @@ from marketlens.llm.common import byte_values, discard, slices, stored
 
 #: Words of a window.
 WIDTH = 13
-#: Bytes of framed patterns that one automaton may hold (it is broadcast to every worker).
+#: Bytes of framed patterns and of their items' ids that one automaton may hold (it is broadcast to every worker).
 BLOCK_BYTES = 8 << 20
 #: A-Z to a-z, ASCII letters and digits and all bytes of non-ASCII characters kept, the rest blank.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -107,9 +107,10 @@ def _scan_udf(patterns):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "hits", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, hit_words (word numbers from 0) and items (ids found)."""
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).dropna()
+    items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).dropna(subset=["t"])
     patterns = stored(windows(items, width), "windows")
-    size = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern").cast("long")), F.lit(0)).alias("n")).first().n
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda n, i: n + F.octet_length(i))
+    size = patterns.agg(F.coalesce(F.sum(F.octet_length("pattern") + ids), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-size // block_bytes))
 
     def block(b: int):

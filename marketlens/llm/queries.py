@@ -125,12 +125,12 @@ QUERIES = {
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '')"
 
-_OP6 = f"""WITH D AS (SELECT doc_id, {_WORDS} w FROM documents), I AS (SELECT CAST(item_id AS VARCHAR) item, {_WORDS} w FROM benchmark WHERE item_id IS NOT NULL),
+_OP6 = f"""WITH D AS (SELECT doc_id, {_WORDS} w FROM documents), I AS (SELECT CAST(item_id AS VARCHAR) item, {_WORDS} w FROM benchmark),
 B AS (SELECT DISTINCT item, least(len(w), 13) n, array_to_string(w[i:i + 12], ' ') t FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) i FROM I WHERE len(w) > 0)),
 X AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) i FROM D, (SELECT DISTINCT n FROM B) WHERE len(w) >= n)),
 H AS (SELECT doc_id, item, i, n FROM X JOIN B USING (n, t)),
 W AS (SELECT doc_id, count(DISTINCT k) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) k FROM H) GROUP BY 1),
-T AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT doc_id, item FROM H) GROUP BY 1),
+T AS (SELECT doc_id, count(*) n_items, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT doc_id, item FROM H WHERE item IS NOT NULL) GROUP BY 1),
 S0 AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') g, regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') o FROM documents WHERE doc_id IN (SELECT doc_id FROM H)),
 S1 AS (SELECT doc_id, k, g, o, CASE WHEN regexp_matches(t, '^[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]') THEN 0 ELSE 1 END f FROM S0 JOIN (SELECT DISTINCT doc_id, unnest(range(i, i + n)) k FROM H) USING (doc_id)),
 S2 AS (SELECT doc_id, k, CAST(list_sum(list_transform(o[1:k - 1], lambda x: length(x))) AS BIGINT) a, CAST(list_sum(list_transform(g[1:k - 1 + f], lambda x: length(x))) AS BIGINT) b, length(o[k]) c FROM S1),

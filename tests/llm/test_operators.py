@@ -183,7 +183,7 @@ def test_media_damage_is_seen():
 
 
 def test_decontaminate(spark, docs, none):
-    items = [(1, PASSAGE), (2, "Hello world don't"), (3, None), (4, ""), (None, "stop 42"), (5, "stop 42"), (5, "stop 42")]
+    items = [(1, PASSAGE), (2, "Hello world don't"), (3, None), (4, ""), (None, "stop 42"), (None, "start one two"), (None, "second start"), (5, "stop 42"), (5, "stop 42")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
 
     def split(t):
@@ -194,12 +194,12 @@ def test_decontaminate(spark, docs, none):
             w, hit, found = split(r.text), set(), set()
             for item, text in items:
                 v = split(text)
-                for i in range(max(1, len(v) - 12) if v and item is not None else 0):
+                for i in range(max(1, len(v) - 12) if v else 0):
                     win = v[i : i + 13]
                     for j in range(len(w) - len(win) + 1):
                         if w[j : j + len(win)] == win:
                             hit |= set(range(j, j + len(win)))
-                            found.add(str(item))
+                            found |= {str(item)} - {"None"}
             assert (r.hits.n_words, list(r.hits.hit_words), list(r.hits["items"])) == (len(w), sorted(hit), sorted(found))
             spans = decontaminate.spans_in_text(r.text or "", sorted(hit))
             assert " ".join(x for a, b in spans for x in split(r.text[a:b])) == " ".join(w[i] for i in sorted(hit))
