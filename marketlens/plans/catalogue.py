@@ -379,6 +379,26 @@ def export_notices(spark, sf_dir):
     return exports.notices(exports.records(_files(spark, sf_dir)))
 
 
+@query(
+    f"""WITH {_FILES}, X AS (SELECT count(*) n, count(DISTINCT file) f, count(*) FILTER (WHERE k % 5 < 3) r, count(*) FILTER (WHERE k % 5 = 3) m, count(*) FILTER (WHERE k % 5 = 4) e FROM N)
+SELECT seq, stage, figure, CAST(value AS BIGINT) AS value FROM X, LATERAL (VALUES (0, 'records', 'records', n + f), (0, 'records', 'unreadable', 0), (1, 'listings', 'rows', r), (1, 'listings', 'malformed', m), (1, 'listings', 'empty', e), (1, 'listings', 'refused', 0),
+ (2, 'placed', 'counted', r), (2, 'placed', 'unresolved', m), (2, 'placed', 'priced', r)) v(seq, stage, figure, value)"""
+)
+def diagnostics(spark, sf_dir):
+    """What each stage of reading exports had in hand, counted by the jobs that placed the rows."""
+    from marketlens.operators.diagnostics import Diagnostics
+    from marketlens.operators.rounds import settled
+    from marketlens.sources import exports
+
+    d, kind = Diagnostics(), F.col("kind")
+    recs = settled(d.watch(exports.records(_files(spark, sf_dir)), "records", records=F.count("*"), unreadable=F.count("error")))
+    rows = d.watch(exports.listings(recs), "listings", rows=F.count_if(kind == "row"), malformed=F.count_if(kind == "malformed"), empty=F.count_if(kind == "empty"), refused=F.coalesce(F.sum(F.size("refused")), F.lit(0)))
+    done = market.placed(rows.where("kind <> 'empty'"))
+    unresolved = F.col("placement") == "unresolved"
+    settled(d.watch(done, "placed", counted=F.count_if(~unresolved), unresolved=F.count_if(unresolved), priced=F.count("price")).select("file", "line", "placement", "price"))
+    return d.figures(spark)
+
+
 @query(
     """WITH X AS (SELECT p_partkey, p_name || CASE p_size % 7 WHEN 0 THEN '.csv' WHEN 1 THEN '.TSV' WHEN 2 THEN '.xlsx' WHEN 3 THEN '.png' WHEN 4 THEN '.XLS' ELSE '' END name, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/CSV' WHEN 2 THEN '' END mime FROM part)
 SELECT p_partkey, CASE WHEN mime LIKE 'image/%' THEN 'image' WHEN lower(name) LIKE '%.csv' OR lower(name) LIKE '%.tsv' OR lower(mime) = 'text/csv' THEN 'table' END route,
