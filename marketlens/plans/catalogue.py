@@ -15,6 +15,7 @@ from marketlens.functions import cells
 from marketlens.functions.vocab import ROLE_LABELS, STATUS_BUCKET, label_key, status_table
 from marketlens.operators import market, recognition, report
 from marketlens.operators.ranks import medians
+from marketlens.operators.rounds import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,6 +64,11 @@ def _placed(spark: SparkSession, sf_dir: str, overrides: dict[str, str] | None =
     return market.placed(listings(spark, sf_dir), overrides)
 
 
+def _placed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The placed listings as a stored table, for queries that take several figures of them."""
+    return settled(_placed(spark, sf_dir))
+
+
 _KNOWN = ", ".join(f"('{c}', '{b}')" for c, b in STATUS_BUCKET.items())
 
 L = f"""WITH vocab(code, vbucket) AS (VALUES {_KNOWN}),
@@ -105,7 +111,7 @@ def _shown(summary: DataFrame) -> DataFrame:
 
 @query(f"{L}, {_SUMMARY} SELECT * FROM S")
 def bucket_summary(spark, sf_dir):
-    return _shown(market.bucket_summary(_placed(spark, sf_dir)))
+    return _shown(market.bucket_summary(_placed_once(spark, sf_dir)))
 
 
 @query(
@@ -115,7 +121,7 @@ SELECT nation, bucket, {_SPINE} FROM (SELECT DISTINCT nation FROM R) CROSS JOIN
 def bucket_summary_by_nation(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_nationkey")
     nation = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
-    rows = _placed(spark, sf_dir).join(c, "custkey").join(nation, "c_nationkey")
+    rows = _placed_once(spark, sf_dir).join(c, "custkey").join(nation, "c_nationkey")
     return _shown(market.bucket_summary(rows, ["nation"]))
 
 
@@ -387,7 +393,6 @@ SELECT seq, stage, figure, CAST(value AS BIGINT) AS value FROM X, LATERAL (VALUE
 def diagnostics(spark, sf_dir):
     """What each stage of reading exports had in hand, counted by the jobs that placed the rows."""
     from marketlens.operators.diagnostics import Diagnostics
-    from marketlens.operators.rounds import settled
     from marketlens.sources import exports
 
     d, kind = Diagnostics(), F.col("kind")
@@ -445,7 +450,7 @@ _FORM = " UNION ALL ".join(_field(i, g, lab, b, f, u, u is None, u == "days") fo
 
 @query(f"{L}, {_SUMMARY} {_FORM}")
 def form_fields(spark, sf_dir):
-    return report.form_fields(market.bucket_summary(_placed(spark, sf_dir)))
+    return report.form_fields(market.bucket_summary(_placed_once(spark, sf_dir)))
 
 
 @query(
@@ -458,7 +463,7 @@ UNION ALL SELECT 4, 'Not counted', CAST(n_rows AS VARCHAR), '', '', '', '', '',
 UNION ALL SELECT 5, 'Unreadable', CAST(u AS VARCHAR), '', '', '', '', '', '', '', '', '' FROM U"""
 )
 def bucket_tsv(spark, sf_dir):
-    rows = _placed(spark, sf_dir)
+    rows = _placed_once(spark, sf_dir)
     return report.bucket_table(market.bucket_summary(rows), rows.agg(F.count_if(F.col("placement") == "unresolved").alias("unresolved")))
 
 
@@ -499,7 +504,7 @@ UNION ALL SELECT {k}i - 1000, r[i] FROM B2, (SELECT unnest(range(1, 20)) i) WHER
 
 @query(f"{L}, {_SUMMARY}, {_lines_sql()} SELECT string_agg(line, chr(10) ORDER BY seq) report FROM T")
 def report_text(spark, sf_dir):
-    rows = _placed(spark, sf_dir)
+    rows = _placed_once(spark, sf_dir)
     return report.render("text", market.bucket_summary(rows), market.accounting(rows), market.gate(rows))
 
 
@@ -509,7 +514,7 @@ def report_text(spark, sf_dir):
 )
 def report_by_key(spark, sf_dir):
     """A report for each listing number, with the lines of its comparables where it has few closed sales."""
-    rows = _placed(spark, sf_dir)
+    rows = _placed_once(spark, sf_dir)
     by = ["mls"]
     return report.report_text(report.report_lines(market.bucket_summary(rows, by), market.accounting(rows, by), market.gate(rows, by), market.comp_list(rows, by), by), by)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import cells
 from marketlens.functions.vocab import HEADER_VOCABULARY
 from marketlens.operators import glyphs, grids, market, pixels, recognition, report
-from marketlens.plans.catalogue import _BANK, _RANK, _SUMMARY, L, _lines_sql, _placed, _ranked, _table, query
+from marketlens.plans.catalogue import _BANK, _RANK, _SUMMARY, L, _lines_sql, _placed, _placed_once, _ranked, _table, query
 
 _FORM_ROWS = """V AS (SELECT max(n_rows) FILTER (WHERE bucket = 'active') an, max(dom_median) FILTER (WHERE bucket = 'active') ad, max(dom_rows) FILTER (WHERE bucket = 'active') ar, max(low) FILTER (WHERE bucket = 'active') al, max(median_price) FILTER (WHERE bucket = 'active') am, max(high) FILTER (WHERE bucket = 'active') ah,
  max(n_rows) FILTER (WHERE bucket = 'closed') cn, max(low) FILTER (WHERE bucket = 'closed') cl, max(median_price) FILTER (WHERE bucket = 'closed') cm, max(high) FILTER (WHERE bucket = 'closed') ch, max(dom_rows) FILTER (WHERE bucket = 'closed') cr, max(dom_median) FILTER (WHERE bucket = 'closed') cd, max(n_rows) FILTER (WHERE bucket = 'pending') pn FROM S)"""
@@ -27,7 +27,7 @@ SELECT string_agg(line, chr(10)) report FROM F"""
 
 @query(_FORM_TEXT)
 def form_text(spark, sf_dir):
-    rows = _placed(spark, sf_dir)
+    rows = _placed_once(spark, sf_dir)
     return report.render("form", market.bucket_summary(rows), market.accounting(rows), market.gate(rows))
 
 
@@ -36,7 +36,7 @@ def form_text(spark, sf_dir):
  ELSE 'Median MT of all ' || an || ' active listings.' || CASE WHEN cr > 0 THEN ' Closed sales: ' || format('{{:,}}', cd) || ' days' || CASE WHEN cr < cn THEN ' (' || cr || ' of ' || cn || ' sales)' ELSE '' END || '.' ELSE '' END END note FROM V"""
 )
 def form_days_note(spark, sf_dir):
-    return report.days_note(market.bucket_summary(_placed(spark, sf_dir)))
+    return report.days_note(market.bucket_summary(_placed_once(spark, sf_dir)))
 
 
 @query(
