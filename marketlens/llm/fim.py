@@ -147,17 +147,24 @@ def restored(output: str, form: str) -> str:
     return text_of(concat(parts[PREFIX], parts[MIDDLE], parts[SUFFIX]))
 
 
+#: Bytes of text that a worker turns into Python objects at once.
+SLICE = 4 << 20
+_KIND_OF = pa.struct([("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()), ("output", pa.string())])
+
+
+def _parts(batches: Iterator[tuple[pa.Array, pa.Array]], other: str) -> Iterator[pa.RecordBatch]:
+    return slices((pa.RecordBatch.from_arrays(list(b), ["text", other]) for b in batches), "text", most=SLICE)
+
+
 def _rearrange(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for text, draws in batches:
-        done = []
-        for part in slices([pa.RecordBatch.from_arrays([text, draws], ["text", "draws"])], "text"):
-            done += [dict(zip(("n", "form", "prefix_chars", "middle_chars", "output"), rearranged(t or "", d))) for t, d in zip(part["text"].to_pylist(), part["draws"].to_pylist())]
-        yield pa.array(done, pa.struct([("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()), ("output", pa.string())]))
+    names = [f.name for f in _KIND_OF]
+    for part in _parts(batches, "draws"):
+        yield pa.array([dict(zip(names, rearranged(t or "", d))) for t, d in zip(part["text"].to_pylist(), part["draws"].to_pylist())], _KIND_OF)
 
 
 def _restore(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for output, form in batches:
-        yield pa.array([restored(o, f) for o, f in zip(output.to_pylist(), form.to_pylist())], pa.string())
+    for part in _parts(batches, "form"):
+        yield pa.array([restored(o, f) for o, f in zip(part["text"].to_pylist(), part["form"].to_pylist())], pa.string())
 
 
 def _udf(run, result: str):
