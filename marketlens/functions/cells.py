@@ -153,8 +153,3 @@ def line_list(lines: Column, most: int = 8) -> Column:
     several = F.when(more > 0, F.array_join(shown, ", ")).otherwise(F.concat(F.array_join(F.slice(shown, 1, F.greatest(F.size(shown) - 1, F.lit(1))), ", "), F.lit(" and "), F.element_at(shown, -1)))
     words = F.when(F.size(shown) == 1, F.concat(F.lit("line "), shown[0])).otherwise(F.concat(F.lit("lines "), several))
     return F.when(n > 0, F.concat(words, F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise("")))
-
-
-def grouping_fits(digits: Column, commas: Column) -> Column:
-    """A number of so many digits has a comma for each full group of three before the last."""
-    return commas == F.floor((digits - 1) / 3)

@@ -59,7 +59,7 @@ STATUS_BUCKET = {
     "P": "pending",
 }
 
-# Codes that carry a caution, codes printed with hours appended.
+# Codes that carry a caution, each with a note in our own words; fixed values: the codes, and those printed with hours appended.
 CAUTION = {
     "AUCT": "list price may be a reserve or an opening bid",
     "PRIV": "not exposed to the open market",
@@ -190,8 +190,3 @@ def label_key(label: str) -> str:
 def status_table(spark: SparkSession) -> DataFrame:
     """code, bucket, caution."""
     return spark.createDataFrame([(c, b, CAUTION.get(c)) for c, b in STATUS_BUCKET.items()], "code string, bucket string, caution string")
-
-
-def label_table(spark: SparkSession) -> DataFrame:
-    """label_key, role."""
-    return spark.createDataFrame([(label_key(x), r) for r, labels in ROLE_LABELS.items() for x in labels], "label_key string, role string")
