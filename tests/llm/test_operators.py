@@ -300,16 +300,48 @@ def test_lm(spark, docs, none):
 def test_lm_trains_on_every_text(spark, monkeypatch):
     texts = [f"alpha{i} beta{i % 7} gamma" for i in range(40)]
     fold = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA)
-    seen, plain = [], lm.train
+    seen, cls, plain, classes_of = [], [], lm.train, lm.classes_of
 
-    def spy(texts, name, path, known, rows):
-        seen.extend(r.t for r in texts.collect())
-        return plain(texts, name, path, known, rows)
+    def spy(made, total, rows):
+        seen.extend(bytes(r.classes) for r in made.collect())
+        assert rows == len(seen)
+        return plain(made, total, rows)
 
     monkeypatch.setattr(lm, "train", spy)
+    monkeypatch.setattr(lm, "classes_of", lambda n: cls.append(classes_of(n)) or cls[0])
     assert lm.score(fold, queries.vocabulary()).count() == 40
-    held = {t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10 == 0}
-    assert sorted(seen) == sorted(set(texts) - held)
+    kept = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    first = lm.Pieces(queries.vocabulary()).first
+    assert sorted(seen) == sorted(bytes(int(cls[0][first(w)]) for w in lm.words_of(t.encode())) for t in kept)
+
+
+def test_lm_shards_train_on_all_they_are_dealt(spark, monkeypatch):
+    """The average over tasks equals shards that are trained one by one, cut shards among them."""
+    monkeypatch.setattr(lm, "SHARD", 5)
+    monkeypatch.setattr(lm, "CUT", 60)
+    r = np.random.default_rng(4)
+    rows = [(int(h), bytes(r.integers(0, lm.CLASSES, n).astype(np.uint8))) for h, n in zip(r.integers(-(2**62), 2**62, 30), r.integers(1, 40, 30))]
+    total = np.ones(lm.CLASSES)
+    got, share = lm.train(spark.createDataFrame(rows, "h bigint, classes binary").repartition(7), total, len(rows))
+    shards, start = 6, None
+    for k in range(lm.rounds_of(shards)):
+        n, w, tried = 0, 0.0, 0.0
+        for shard in range(k, shards, lm.rounds_of(shards)):
+            runs, size = [[]], 0
+            for h, c in sorted(x for x in rows if x[0] % shards == shard):
+                if size >= lm.CUT:
+                    runs, size = [*runs, []], 0
+                runs[-1].append(c)
+                size += len(c)
+            for run in filter(None, runs):
+                m, v, x = lm._shard(run, total, start, k, k == lm.rounds_of(shards) - 1, 0)
+                n, w, tried = n + m, w + m * v.astype(np.float64), tried + x
+        start = (np.round(w / n * lm.GRID) / lm.GRID).astype(np.float32).tobytes()
+    assert np.allclose(np.frombuffer(attention.pack(got), np.float32), np.frombuffer(start, np.float32), atol=1e-4) and share == lm.SHARES[int(np.argmax(tried))]
+
+
+def test_lm_rounds():
+    assert [lm.rounds_of(n) for n in (2, 4, 5, 16, 17, 64, 1024)] == [2, 2, 3, 3, 4, 4, 6]
 
 
 def test_lm_leading_subwords():
@@ -340,20 +372,21 @@ def plain_lm_score(text, m, share, cls, pieces, totals, count):
 
 @pytest.mark.parametrize("frequent", [lm.FREQUENT, 3])
 def test_lm_score_matches_a_plain_one(spark, docs, monkeypatch, frequent):
-    learnt, plain = {}, lm.train
+    learnt, plain, classes_of = {}, lm.train, lm.classes_of
 
-    def spy(texts, name, path, known, rows):
-        learnt["known"], (learnt["m"], _) = known.value, plain(texts, name, path, known, rows)
+    def spy(texts, total, rows):
+        learnt["m"], _ = plain(texts, total, rows)
         return learnt["m"], 0.7
 
     monkeypatch.setattr(lm, "train", spy)
+    monkeypatch.setattr(lm, "classes_of", lambda n: learnt.setdefault("cls", classes_of(n)))
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     got = lm.score(docs, queries.vocabulary()).collect()
     count = Counter()
     for i, t in TEXTS:
         if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
             count.update([w.encode() for w in words(t)] + [lm.END])
-    cls, pieces = learnt["known"][0], lm.Pieces(queries.vocabulary())
+    cls, pieces = learnt["cls"], lm.Pieces(queries.vocabulary())
     totals = np.full(lm.CLASSES, 0.1)
     for w, n in count.items():
         totals[cls[pieces.first(w)]] += n + 0.1
@@ -363,10 +396,13 @@ def test_lm_score_matches_a_plain_one(spark, docs, monkeypatch, frequent):
     assert [k for k, _ in have] == [k for k, _ in want] and all(abs(a - b) <= 0.01 + 1e-5 * abs(b) for (_, a), (_, b) in zip(have, want))
 
 
-def test_lm_beats_its_base_on_held_out_texts(spark):
-    scored = lm.score(common.table(spark, "/root/testdata/sf0.01", "documents").withColumn("word", F.lit("clash")), queries.vocabulary())
-    held = scored.where("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()
-    assert (held.score - held.base) / held.n > 0.1
+def test_lm_beats_its_base_on_held_out_texts_in_any_layout(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").withColumn("word", F.lit("clash"))
+    got = [{r.doc_id: r for r in lm.score(docs.repartition(n), queries.vocabulary()).collect()} for n in (2, 64)]
+    for rows in got:
+        held = [r for r in rows.values() if r.held_out]
+        assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.1
+    assert all(abs(r.score - got[1][i].score) <= 1e-4 * r.n_tokens for i, r in got[0].items())
 
 
 def test_attention_is_causal_and_proper():
