@@ -4,7 +4,7 @@ import decimal
 
 import pytest
 
-from marketlens.plans import catalogue, layers, pages  # noqa: F401  (layers and pages add their queries)
+from marketlens.plans import catalogue, layers, pages, shading  # noqa: F401  (the others add their queries)
 from tests.conftest import DATA
 
 
