@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import cells as cells_
 from marketlens.functions.vocab import HEADER_VOCABULARY, label_key
+from marketlens.operators import placing
 from marketlens.operators.ranks import medians, middles
 
 # Score floors, margins and the label pairs that need a wider one.
@@ -84,9 +85,9 @@ def votes(ranked: DataFrame, cluster: str, member: str, candidate: str, combined
 
 def islands(rows: DataFrame, by: str, at: str, gap: float, order: list[str]) -> DataFrame:
     """Rows with the number of their island: a gap of at least ``gap`` to the row before starts a new one."""
-    w = W.partitionBy(by).orderBy(at, *order)
-    opens = F.when(F.col(at) - F.lag(at).over(w) >= gap, 1).otherwise(0)
-    return rows.withColumn("opens", opens).withColumn("island", F.sum("opens").over(w))
+    made = placing.previous(placing.ranged(rows, [by, at, *order]), by, {"at_before": at})
+    made = made.withColumn("opens", F.when(F.col(at) - F.col("at_before") >= gap, 1).otherwise(0)).drop("at_before")
+    return placing.running(made, by, "opens", "island").drop("part", "at_")
 
 
 def upper_medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -322,8 +323,8 @@ def mls_column(cells: DataFrame, by: str = "col") -> DataFrame:
 
 def widest_gaps(rows: DataFrame, by: str, start: str, end: str, order: list[str]) -> DataFrame:
     """Per group the widest gap between one interval's end and the next one's start (a place to split a column)."""
-    gap = F.lead(start).over(W.partitionBy(by).orderBy(start, *order)) - F.col(end)
-    return rows.withColumn("gap", gap).where(F.col("gap") > 0).groupBy(by).agg(F.max(F.struct("gap", (-F.col(end)).alias("minus"))).alias("m")).select(by, F.col("m.gap").alias("gap"), (-F.col("m.minus")).alias("after"))
+    made = placing.previous(placing.ranged(rows, [by, start, *order]), by, {"end_before": end}).withColumn("gap", F.col(start) - F.col("end_before"))
+    return made.where(F.col("gap") > 0).groupBy(by).agg(F.max(F.struct("gap", (-F.col("end_before")).alias("minus"))).alias("m")).select(by, F.col("m.gap").alias("gap"), (-F.col("m.minus")).alias("after"))
 
 
 def kickout_read(votes: DataFrame, codes: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import cells
 from marketlens.functions.vocab import HEADER_VOCABULARY
-from marketlens.operators import glyphs, grids, market, pixels, recognition, report
+from marketlens.operators import glyphs, grids, market, pixels, placing, recognition, report
 from marketlens.plans.catalogue import _BANK, _RANK, _SUMMARY, L, _lines_sql, _placed, _placed_once, _ranked, _table, query
 
 _FORM_ROWS = """V AS (SELECT max(n_rows) FILTER (WHERE bucket = 'active') an, max(dom_median) FILTER (WHERE bucket = 'active') ad, max(dom_rows) FILTER (WHERE bucket = 'active') ar, max(low) FILTER (WHERE bucket = 'active') al, max(median_price) FILTER (WHERE bucket = 'active') am, max(high) FILTER (WHERE bucket = 'active') ah,
@@ -393,13 +393,11 @@ def header_vocabulary(spark, sf_dir):
 @query(f"{L}, W AS (SELECT n AS seq, CASE n % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'ok' WHEN 2 THEN 'warn' ELSE 'info' END AS level FROM L WHERE n % 50 = 0 UNION ALL SELECT n, 'warn' FROM L WHERE n % 70 = 0) SELECT row_number() OVER (ORDER BY CASE level WHEN 'error' THEN 0 WHEN 'warn' THEN 1 WHEN 'info' THEN 2 ELSE 3 END, seq, level) pos, level, seq FROM W")
 def notice_order(spark, sf_dir):
     """Notices of two stages in one list, worst level first."""
-    from pyspark.sql import Window as W
-
     n = F.col("n")
     rows = _placed(spark, sf_dir)
     level = F.when(n % 4 == 0, "error").when(n % 4 == 1, "ok").when(n % 4 == 2, "warn").otherwise("info")
     both = rows.where(n % 50 == 0).select(n.alias("seq"), level.alias("level")).unionByName(rows.where(n % 70 == 0).select(n.alias("seq"), F.lit("warn").alias("level")))
     rank = F.array_position(F.array(*map(F.lit, ("error", "warn", "info", "ok"))), F.col("level"))
-    return market.notices(both).withColumn("pos", F.row_number().over(W.orderBy(rank, "seq", "level")).cast("bigint")).select("pos", "level", "seq")
+    return placing.numbered(both.withColumn("rank", rank), ["rank", "seq", "level"]).select("pos", "level", "seq")
 
 
