@@ -12,13 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketlens.operators.ranks import middles
-from marketlens.operators.recognition import colour_distance, ncc
+from marketlens.operators.recognition import colour_distance, header_roles, header_row, ncc
 from marketlens.operators.rounds import settled
 
 # Overlap that joins a token to a column; when a column is two, by rows with two cells and their gaps.
 OVERLAP, FUSED_ROWS, FUSED_SHARE, FUSED_SPREAD = 0.5, 2, 0.3, 0.35
 # Pixels kept around a column, distance below which two ranges are one, drawn gap in glyph widths.
 COLUMN_PAD, MERGE_GAP, DRAWN_GAP_GLYPHS = 3, 12, 2.0
+# Fixed value: score below which a word of a thin band is not read.
+WORD_SCORE = 0.42
 # When two status cells are alike.
 SHAPE_MERGE, SHAPE_NEVER, WIDTH_TOLERANCE, COLOUR_DISTANCE = 0.955, 0.86, 0.14, 42
 #: Cells of a grid that can become medoids in one round.
@@ -132,6 +134,26 @@ def bind_one_to_one(pairs: DataFrame) -> DataFrame:
         left = settled(left.join(refused, ["grid", "label", "col"], "left_anti"))
 
 
+def thin_band_roles(words: DataFrame, pages: DataFrame, columns: DataFrame, scale: float) -> DataFrame:
+    """(grid, row, col, role): the header found in thin bands of a page before it is cropped, and the columns it names.
+
+    ``words`` (grid, row, x0, x1, text, score) are the best readings of the words in bands around a page's rows, in band
+    pixels (``scale`` of them for one of the page), ``pages`` (grid, n_rows), ``columns`` (grid, col, c0, c1) those located on
+    the page.  The topmost early row with enough labels is the header; pages of fewer than three rows have none, nor is
+    the last row one.  Each label, best score first, names the column that it overlaps whose centre is nearest and that
+    is still free.  A sort arrow behind a label is no part of it; readings of low score and unknown texts are no labels.
+    """
+    early = words.join(pages.where("n_rows >= 3"), "grid").where((F.col("row") < F.col("n_rows") - 1) & (F.col("score") >= WORD_SCORE))
+    labels = header_roles(early.withColumn("plain", F.regexp_replace("text", "[▲▼]$", "")), "plain").where("role is not null")
+    labels = settled(labels.select("grid", "row", "x0", "x1", "role", "score"))
+    named = labels.join(header_row(labels), ["grid", "row"]).join(columns, "grid")
+    a, b = F.col("x0") / scale, F.col("x1") / scale
+    over = F.least(b, F.col("c1")) - F.greatest(a, F.col("c0"))
+    distance = F.abs((F.col("c0") + F.col("c1")) / 2 - (a + b) / 2)
+    pairs = named.where(over > 0).select("grid", F.struct("row", "x1", "role", "x0", "score").alias("label"), "score", "x0", "col", distance.alias("distance"))
+    return bind_one_to_one(pairs.distinct()).select("grid", F.col("label.row").alias("row"), "col", F.col("label.role").alias("role"))
+
+
 def kept_spans(columns: DataFrame, pages: DataFrame, scale: float = 1.0) -> DataFrame:
     """(grid, s0, s1, d0, d1): the parts of each page's width that are kept, and where they are drawn, side by side.
 

@@ -281,6 +281,30 @@ def label_binding(spark, sf_dir):
     return grids.bind_one_to_one(pairs)
 
 
+_HEADINGS = f"(VALUES {', '.join(f'({i}, {chr(39)}{t}{chr(39)}, {chr(39)}{r}{chr(39)})' for i, (t, r) in enumerate(HEADER_VOCABULARY.items()))}) AS V(i, label, role)"
+
+
+@query(
+    f"""WITH RECURSIVE W AS (SELECT l_suppkey g, l_linenumber - 1 AS row, CAST(l_quantity * 20 AS INT) x0, CAST(l_quantity * 20 AS INT) + 60 x1, role, round(0.9 - l_discount * 5, 2) score FROM lineitem JOIN {_HEADINGS} ON i = l_partkey % {len(HEADER_VOCABULARY)}),
+N AS (SELECT l_suppkey g, max(l_linenumber) n FROM lineitem GROUP BY 1), L AS (SELECT W.* FROM W JOIN N USING (g) WHERE n >= 3 AND row < n - 1 AND score >= 0.42),
+H AS (SELECT g, min(row) AS row FROM (SELECT g, row FROM L WHERE row < 6 GROUP BY 1, 2 HAVING count(*) >= 4 AND count(DISTINCT role) FILTER (WHERE role IN ('status', 'list', 'sold', 'mls')) >= 2) GROUP BY 1),
+K AS (SELECT DISTINCT l_suppkey g, CAST(round(l_tax * 100) AS INT) AS col FROM lineitem), P AS (SELECT DISTINCT L.g, row, x0, x1, role, score, col, abs(col * 28 + 10 - (x0 + x1) / 8) d FROM L JOIN H USING (g, row) JOIN K ON K.g = L.g AND least(x1 / 4, col * 28 + 20) > greatest(x0 / 4, col * 28)),
+Q AS (SELECT g, row, x0, x1, role, score, list({{'d': d, 'c': col}} ORDER BY d, col) o FROM P GROUP BY ALL), O AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY -score, x0, row, x1, role) i FROM Q),
+B(g, i, taken, row, role, c) AS (SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS INT[]), CAST(NULL AS INT), CAST(NULL AS VARCHAR), CAST(NULL AS INT) FROM O UNION ALL SELECT g, i, CASE WHEN c IS NULL THEN taken ELSE list_append(taken, c) END, row, role, c FROM
+ (SELECT B.g, O.i, taken, O.row, O.role, CAST(list_filter(o, lambda x: NOT list_contains(taken, CAST(x.c AS INT)))[1].c AS INT) c FROM B JOIN O ON B.g = O.g AND O.i = B.i + 1))
+SELECT g grid, row, c AS col, role FROM B WHERE c IS NOT NULL"""
+)
+def thin_band_header(spark, sf_dir):
+    """Headings drawn at a supplier's lines, read in bands of four times the page's scale."""
+    li = _table(spark, sf_dir, "lineitem").withColumn("grid", F.col("l_suppkey"))
+    text = F.array(*[F.lit(t) for t in HEADER_VOCABULARY])[(F.col("l_partkey") % len(HEADER_VOCABULARY)).cast("int")]
+    x0 = (F.col("l_quantity") * 20).cast("int")
+    words = li.select("grid", (F.col("l_linenumber") - 1).alias("row"), x0.alias("x0"), (x0 + 60).alias("x1"), F.when(F.col("l_returnflag") == "R", F.concat(text, F.lit("▲"))).otherwise(text).alias("text"), F.round(0.9 - F.col("l_discount") * 5, 2).alias("score"))
+    col = F.round(F.col("l_tax") * 100).cast("int")
+    columns = li.select("grid", col.alias("col"), (col * 28).alias("c0"), (col * 28 + 20).alias("c1")).distinct()
+    return grids.thin_band_roles(words, li.groupBy("grid").agg(F.max("l_linenumber").alias("n_rows")), columns, 4.0)
+
+
 @query(
     """WITH U AS (SELECT user_id, user_id % 4 <> 0 h, user_id % 3 <> 0 c, count(*) FILTER (WHERE event_id % 5 = 1) r, count(*) FILTER (WHERE event_id % 5 = 2) b, count(*) FILTER (WHERE event_id % 5 > 2 AND user_id % 2 = 0) x FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN NOT c THEN CASE WHEN h THEN 'info' ELSE 'warn' END WHEN r = 0 THEN CASE WHEN b > 0 AND x = 0 THEN 'info' ELSE 'warn' END WHEN x > 0 THEN 'warn' END AS level FROM U"""

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from marketlens.functions.vocab import HEADER_VOCABULARY
 from marketlens.operators import grids, market
 from marketlens.sources import pages
 
@@ -183,3 +184,35 @@ def test_pages_to_listings(spark):
     bands = spark.createDataFrame([("a", r, r * 20, r * 20 + (9 if r == 7 else 18), 149) for r in range(8) if r != 6], "grid string, row int, top int, bottom int, height int")
     cut = pages.read_pages(spark.createDataFrame(tokens, "grid string, row int, x0 int, x1 int, text string").where("grid = 'a'"), bands)
     assert {r.n for r in cut.listings.collect()} == {1, 2, 3, 4, 5} and cut.counts.first().rows_clipped == 1
+
+
+def test_thin_band_roles(spark):
+    """Against one pass over each page: rows from the top, labels by score, the nearest free column that overlaps."""
+    r = random.Random(8)
+    texts = list(HEADER_VOCABULARY) + ["nothing", "Stat▲", "List Price▼"]
+    words, pages, columns = [], [], []
+    for g in range(12):
+        n_rows = 2 if g == 0 else r.randrange(3, 10)
+        pages.append((g, n_rows))
+        columns += [(g, c, c * 40, c * 40 + r.randrange(10, 60)) for c in range(r.randrange(2, 9))]
+        for row in range(n_rows):
+            starts = sorted(r.sample(range(0, 1300), r.choice([2, 8, 12])))
+            words += [(g, row, x, x + r.randrange(20, 160), r.choice(texts), r.randrange(30, 100) / 100) for x in starts]
+    want = set()
+    for g, n_rows in pages:
+        for row in range(min(6, n_rows - 1) if n_rows >= 3 else 0):
+            line = [(x0, x1, HEADER_VOCABULARY.get(t.rstrip("▲▼")), s) for h, y, x0, x1, t, s in words if (h, y) == (g, row) and s >= 0.42]
+            line = [x for x in line if x[2]]
+            if len(line) < 4 or len({x[2] for x in line} & {"status", "list", "sold", "mls"}) < 2:
+                continue
+            free = {c: (a, b) for h, c, a, b in columns if h == g}
+            for x0, x1, role, _ in sorted(line, key=lambda x: (-x[3], x[0])):
+                near = [(abs((a + b) / 2 - (x0 + x1) / 8), c) for c, (a, b) in free.items() if min(x1 / 4, b) > max(x0 / 4, a)]
+                if near:
+                    want.add((g, row, min(near)[1], role))
+                    free.pop(min(near)[1])
+            break
+    got = grids.thin_band_roles(
+        spark.createDataFrame(words, "grid int, row int, x0 int, x1 int, text string, score double"), spark.createDataFrame(pages, "grid int, n_rows int"), spark.createDataFrame(columns, "grid int, col int, c0 int, c1 int"), 4.0
+    )
+    assert {tuple(x) for x in got.collect()} == want and want
