@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marketlens.operators import placing
 from marketlens.operators.ranks import middles
 from marketlens.operators.recognition import colour_distance, header_roles, header_row, ncc
 from marketlens.operators.rounds import settled
@@ -134,6 +135,11 @@ def bind_one_to_one(pairs: DataFrame) -> DataFrame:
         left = settled(left.join(refused, ["grid", "label", "col"], "left_anti"))
 
 
+def by_size(clusters: DataFrame) -> DataFrame:
+    """``clusters`` (grid, cluster, members, ...) with ``place``: largest first in their grid, equal ones by their first cell."""
+    return placing.ranked(clusters, "grid", [F.desc("members"), "cluster"], "place")
+
+
 def thin_band_roles(words: DataFrame, pages: DataFrame, columns: DataFrame, scale: float) -> DataFrame:
     """(grid, row, col, role): the header found in thin bands of a page before it is cropped, and the columns it names.
 

@@ -29,6 +29,11 @@ def numbered(rows: DataFrame, order: list, name: str = "pos") -> DataFrame:
     return made.join(F.broadcast(before), "part").withColumn(name, F.col("n") + F.col("at_").bitwiseAND((1 << 33) - 1) + 1).drop("part", "at_", "n")
 
 
+def ranked(rows: DataFrame, by: str, order: list, name: str = "pos") -> DataFrame:
+    """``rows`` with their place (1, 2, ...) in their group, in the given order."""
+    return running(ranged(rows.withColumn("one_", F.lit(1)), [by, *order]), by, "one_", name).drop("part", "at_", "one_")
+
+
 def previous(made: DataFrame, by: str, columns: dict[str, str]) -> DataFrame:
     """``made`` (from :func:`ranged` by group, then order) with columns of the row before in the group (``columns`` name
     them: new name to column); null for a group's first row."""

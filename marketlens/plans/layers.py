@@ -246,6 +246,12 @@ def medoid_clusters(spark, sf_dir):
     return c.select("grid", "cluster", "members", F.col("colour")[0].alias("red"), F.round("spread", 6).alias("spread"))
 
 
+@query(f"WITH RECURSIVE {_FIT}, A AS (SELECT g, home AS cluster, count(*) members FROM FT WHERE home IS NOT NULL GROUP BY 1, 2) SELECT g grid, cluster, members, row_number() OVER (PARTITION BY g ORDER BY members DESC, cluster) place FROM A")
+def clusters_by_size(spark, sf_dir):
+    """The clusters of each grid in the order of a review, largest first."""
+    return grids.by_size(medoid_clusters(spark, sf_dir).select("grid", "cluster", "members"))
+
+
 #: Ink per column of the digits 0 to 9 of a small font, and a blank column; 4 is broken, and 7 touches what follows.
 _INK = {"0": [5, 2, 2, 2, 5], "1": [1, 7, 1], "2": [3, 3, 3, 3, 3], "3": [2, 2, 3, 3, 5], "4": [3, 1, 0, 7, 1], "5": [4, 3, 3, 3, 4], "6": [5, 3, 3, 3, 3], "7": [1, 1, 4, 2, 2], "8": [4, 3, 3, 3, 4], "9": [3, 3, 3, 3, 5]}
 

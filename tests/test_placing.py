@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens.operators import placing, recognition
 
@@ -48,6 +49,13 @@ def test_numbered(spark, many):
     assert [r.pos for r in got] == list(range(1, 401)) and [r.id for r in got] == [x[2] for x in rows]
 
 
+def test_ranked(spark, many):
+    rows = rows_of(6)
+    got = {r.id: r.pos for r in placing.ranked(spark.createDataFrame(rows, SCHEMA), "g", [F.desc("v"), "id"]).collect()}
+    for g in ("hot", "a", "b", None):
+        assert [got[x[2]] for x in sorted((x for x in rows if x[0] == g), key=lambda x: (-x[3], x[2]))] == list(range(1, 1 + sum(x[0] == g for x in rows)))
+
+
 def test_islands_and_gaps(spark, many):
     rows = in_order(rows_of(7))
     df = spark.createDataFrame(rows[::-1], SCHEMA)
