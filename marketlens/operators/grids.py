@@ -24,6 +24,8 @@ COLUMN_PAD, MERGE_GAP, DRAWN_GAP_GLYPHS = 3, 12, 2.0
 WORD_SCORE = 0.42
 # When two status cells are alike.
 SHAPE_MERGE, SHAPE_NEVER, WIDTH_TOLERANCE, COLOUR_DISTANCE = 0.955, 0.86, 0.14, 42
+#: Pairs of labels and columns up to which a page is bound in one fold.
+PAGE_PAIRS = 1024
 #: Cells of a grid that can become medoids in one round.
 LEADERS = 8
 
@@ -120,11 +122,37 @@ def bind_one_to_one(pairs: DataFrame) -> DataFrame:
     """(grid, label, col): each label takes the nearest column that no label before it has taken.
 
     ``pairs`` are (grid, label, score, x0, col, distance); labels go by score, then from the left, then by name; of equally
-    near columns the left one is taken.  In rounds: every label asks for its nearest column, every column keeps the first
-    of those that ask, and the others strike it off.  As all columns prefer labels in the same order, what stands when no
-    one is refused is what one pass in that order gives; a round deals pairs by label and by column, never by page.
+    near columns the left one is taken.  A page of at most ``PAGE_PAIRS`` pairs is one row that is folded in that order;
+    larger ones are bound in rounds (see :func:`_bound_in_rounds`), with the same result.
     """
-    left = settled(pairs.select("grid", "label", F.struct((-F.col("score")).alias("minus"), "x0", "label").alias("turn"), "col", "distance"))
+    given = pairs.where("grid is not null and col is not null").select("grid", "label", F.struct((-F.col("score")).alias("minus"), "x0", "label").alias("turn"), "col", "distance")
+    large = settled(given.groupBy("grid").agg(F.count("*").alias("n")).where(F.col("n") > PAGE_PAIRS).select("grid"))
+    if large.isEmpty():
+        return _bound_by_page(given)
+    return _bound_by_page(given.join(large, "grid", "left_anti")).unionByName(_bound_in_rounds(given.join(large, "grid", "left_semi")))
+
+
+def _bound_by_page(given: DataFrame) -> DataFrame:
+    """The binding of pages of a bounded number of pairs, each page's in one fold."""
+    kinds = dict(given.dtypes)
+    turns = given.groupBy("grid").agg(F.array_sort(F.collect_list(F.struct("turn", "distance", "col"))).alias("turns"))  # PAGE_PAIRS at most
+
+    def step(bound: Column, p: Column) -> Column:
+        label, col = p["turn"]["label"], p["col"]
+        done = F.exists(bound, lambda b: b["label"].eqNullSafe(label) | (b["col"] == col))
+        return F.when(done, bound).otherwise(F.concat(bound, F.array(F.struct(label.alias("label"), col.alias("col")))))
+
+    bound = F.aggregate("turns", F.array().cast(f"array<struct<label:{kinds['label']},col:{kinds['col']}>>"), step)
+    return turns.select("grid", F.inline(bound))
+
+
+def _bound_in_rounds(given: DataFrame) -> DataFrame:
+    """Every label asks for its nearest column, every column keeps the first of those that ask, and the others strike it off.
+
+    As all columns prefer labels in the same order, what stands when no one is refused is what one pass in that order
+    gives; a round deals pairs by label and by column, never by page.
+    """
+    left = settled(given)
     while True:
         asked = left.groupBy("grid", "label").agg(F.min_by(F.struct("turn", "col"), F.struct("distance", "col")).alias("a")).select("grid", "label", "a.turn", "a.col")
         kept = asked.groupBy("grid", "col").agg(F.min_by("label", "turn").alias("first"))
