@@ -7,13 +7,18 @@ tokens themselves are only grouped by cell or joined back by their interval or c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marketlens.operators import placing
 from marketlens.operators.ranks import middles
-from marketlens.operators.recognition import colour_distance, header_roles, header_row, ncc
+from marketlens.operators.recognition import colour_distance, header_roles, header_row
 from marketlens.operators.rounds import settled
 
 # Overlap that joins a token to a column; when a column is two, by rows with two cells and their gaps.
@@ -26,8 +31,8 @@ WORD_SCORE = 0.42
 SHAPE_MERGE, SHAPE_NEVER, WIDTH_TOLERANCE, COLOUR_DISTANCE = 0.955, 0.86, 0.14, 42
 #: Pairs of labels and columns up to which a page is bound in one fold.
 PAGE_PAIRS = 1024
-#: Cells of a grid that can become medoids in one round.
-LEADERS = 8
+#: Cells of a grid that can become medoids in one round, cells compared at once, and the parts that a grid's cells are dealt to.
+LEADERS, COMPARED, SHARES = 4096, 256, 32
 
 _SPAN = "struct<a:double,b:double>"
 
@@ -252,34 +257,136 @@ def worth_reading(cells_: DataFrame, header: DataFrame | None = None) -> DataFra
     return g.select("grid", "col", why.alias("why")).where("why is not null")
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Whether two status cells look like one code: widths agree, and shapes alone or shapes and colours."""
-    wide = F.greatest(a["width"], b["width"])
-    shape = F.round(ncc(a["vector"], b["vector"]), 9)
-    near = (shape >= SHAPE_NEVER) & (colour_distance(a["colour"], b["colour"]) <= COLOUR_DISTANCE)
-    return ~F.coalesce(F.abs(a["width"] - b["width"]) / wide > WIDTH_TOLERANCE, F.lit(False)) & ((shape >= SHAPE_MERGE) | near)
+def _padded(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers as the rows of a matrix, filled up with zeros, and their lengths (a list with a null counts as none)."""
+    rows = [np.array([np.nan if x is None else x for x in v], np.float64) if v is not None else np.array([np.nan]) for v in column.to_pylist()]
+    size = np.array([len(r) for r in rows], np.int64)
+    out = np.zeros((len(rows), int(size.max(initial=0))))
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out, size
+
+
+class _Cells:
+    """Status cells in columns: ids, widths, colours, vectors, with what every comparison of vectors needs."""
+
+    def __init__(self, ids, width, colour, colour_size, vector, size):
+        self.ids, self.width, self.colour, self.colour_size, self.vector, self.size = ids, width, colour, colour_size, vector, size
+        self.sum = vector.sum(axis=1)
+        self.power = np.maximum((vector * vector).sum(axis=1) - self.sum * self.sum / np.maximum(size, 1), 0)
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch):
+        number = lambda c: np.array([np.nan if x is None else float(x) for x in batch[c].to_pylist()])
+        return cls(np.array(batch["cell"].to_pylist(), object), number("width"), *_padded(batch["colour"]), *_padded(batch["vector"]))
+
+    def take(self, at) -> _Cells:
+        return _Cells(self.ids[at], self.width[at], self.colour[at], self.colour_size[at], self.vector[at], self.size[at])
+
+    def joined(self, other: _Cells) -> _Cells:
+        wide = lambda x, n: np.pad(x, ((0, 0), (0, n - x.shape[1])))
+        both = lambda x, y: np.concatenate([wide(x, max(x.shape[1], y.shape[1])), wide(y, max(x.shape[1], y.shape[1]))])
+        flat = lambda x, y: np.concatenate([x, y])
+        return _Cells(flat(self.ids, other.ids), flat(self.width, other.width), both(self.colour, other.colour), flat(self.colour_size, other.colour_size), both(self.vector, other.vector), flat(self.size, other.size))
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def _alike(a: _Cells, b: _Cells) -> np.ndarray:
+    """Whether two status cells look like one code (each of ``a`` against each of ``b``): widths agree, and shapes alone or
+    shapes and colours."""
+    n, k = min(a.vector.shape[1], b.vector.shape[1]), min(a.colour.shape[1], b.colour.shape[1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        scale = np.sqrt(np.outer(a.power, b.power))
+        shape = a.vector[:, :n] @ b.vector[:, :n].T - np.outer(a.sum, b.sum / np.maximum(b.size, 1))
+        shape = np.round(np.where(scale < 1e-10, 0.0, shape / scale), 9)
+        apart = sum(((a.colour[:, i, None] - b.colour[None, :, i]) ** 2 for i in range(k)), np.zeros(shape.shape))
+        near = (np.sqrt(apart) <= COLOUR_DISTANCE) & (a.colour_size[:, None] == b.colour_size[None, :])
+        wide = np.abs(a.width[:, None] - b.width[None, :]) / np.maximum(a.width[:, None], b.width[None, :]) > WIDTH_TOLERANCE
+        return ~wide & (a.size[:, None] == b.size[None, :]) & ((shape >= SHAPE_MERGE) | ((shape >= SHAPE_NEVER) & near))
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], names: list[str], rows: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Slices of batches that are sorted by key, none of more than ``rows`` rows or of two keys."""
+    for batch in batches:
+        key = list(zip(*[batch[c].to_pylist() for c in names]))
+        at = 0
+        while at < len(key):
+            end = at + 1
+            while end < len(key) and end - at < rows and key[end] == key[at]:
+                end += 1
+            yield key[at], batch.slice(at, end - at)
+            at = end
+
+
+def _medoids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of cells sorted by grid and cell those that are unlike all medoids before them in their grid."""
+    of, kept = None, None
+    for key, part in _by_key(batches, ["grid"], COMPARED):
+        if key != of:
+            of, kept = key, None
+        cells_ = _Cells.read(part)
+        free = np.ones(len(cells_), bool) if kept is None else ~_alike(cells_, kept).any(axis=1)
+        at = np.flatnonzero(free)
+        like = _alike(cells_.take(at), cells_.take(at))
+        new: list[int] = []
+        for i in range(len(at)):
+            if not like[i, new].any():
+                new.append(i)
+        kept = cells_.take(at[new]) if kept is None else kept.joined(cells_.take(at[new]))
+        yield part.take(pa.array(at[new], pa.int64()))
+
+
+def _settled_cells(kind: pa.DataType):
+    """Cells with the first medoid that they are like; sorted by grid and share, its medoids before its cells (``turn``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, kept = None, None
+        for key, part in _by_key(batches, ["grid", "share"], COMPARED):
+            if key != of:
+                of, kept = key, _Cells.read(part.slice(0, 0))
+            turn = part["turn"].to_numpy()
+            here = int(np.searchsorted(turn, 1))
+            if here:
+                kept = kept.joined(_Cells.read(part.slice(0, here)))
+            part = part.slice(here)
+            if not len(part):
+                continue
+            cells_ = _Cells.read(part)
+            like = _alike(cells_, kept)
+            # A medoid is its own cluster, whatever its vector.
+            like |= cells_.ids[:, None] == kept.ids[None, :]
+            home = pa.array([kept.ids[i] if hit else None for i, hit in zip(like.argmax(axis=1) if len(kept) else [0] * len(part), like.any(axis=1))], kind)
+            yield pa.RecordBatch.from_arrays([*[part[c] for c in ("grid", "cell", "width", "colour", "vector")], home], names=["grid", "cell", "width", "colour", "vector", "cluster"])
+
+    return run
 
 
 def first_fit(cells_: DataFrame) -> DataFrame:
     """(grid, cell, cluster): status cells by the first cluster, in order of cells, whose first cell they are like.
 
-    A cluster is named by its first cell, its medoid.  In rounds: the earliest few unsettled cells of each grid are taken
-    in order, those unlike the ones before them are medoids, and every unsettled cell joins the earliest medoid it is
-    like.  All cells before a taken one are settled, so a round decides what one pass in order would; it costs one look
-    at each unsettled cell, and there are no more rounds than a grid has clusters.  ``cells_`` are (grid, cell, width,
-    colour, vector).
+    A cluster is named by its first cell, its medoid.  In rounds: the earliest ``LEADERS`` unsettled cells of each grid are
+    taken in order, those unlike the ones before them are medoids, and every unsettled cell joins the earliest medoid it
+    is like.  All cells before a taken one are settled, so a round decides what one pass in order would.  Cells are dealt
+    by grid and a hash, each part with the medoids of its grid, and compared a block at a time.  Where few cells are alike
+    every cell is compared with every medoid before it, which is the product of their numbers.  ``cells_`` are (grid, cell,
+    width, colour, vector).
     """
-    fields = ["cell", "width", "colour", "vector"]
-    rest = cells_.select("grid", *fields)
-    kind = dict(rest.select(F.array(F.struct(*fields)).alias("m")).dtypes)["m"]
+    fields = ["grid", "cell", "width", "colour", "vector"]
+    tasks = F.lit(SHARES)
+    rest = settled(cells_.select(*fields))
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in rest.dtypes)
+    cell = dict(rest.dtypes)["cell"]
+    kind = to_arrow_type(rest.schema["cell"].dataType)
     done = []
     while True:
-        earliest = rest.withColumn("nth_", F.row_number().over(W.partitionBy("grid").orderBy("cell"))).where(F.col("nth_") <= LEADERS)
-        lead = earliest.groupBy("grid").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("lead"))  # LEADERS at most
-        new = F.aggregate("lead", F.array().cast(kind), lambda acc, c: F.when(F.exists(acc, lambda m: _alike(m, c)), acc).otherwise(F.concat(acc, F.array(c))))
-        own = F.struct(*fields)
-        home = F.try_element_at(F.filter("medoids", lambda m: _alike(m, own)), F.lit(1))["cell"]
-        met = settled(rest.join(lead.select("grid", new.alias("medoids")), "grid").withColumn("cluster", home).drop("medoids"))
+        earliest = rest.withColumn("nth_", F.row_number().over(W.partitionBy("grid").orderBy("cell"))).where(F.col("nth_") <= LEADERS).drop("nth_")
+        new = settled(earliest.repartition("grid").sortWithinPartitions("grid", "cell").mapInArrow(_medoids, schema))
+        dealt = rest.select(*fields, F.lit(1).alias("turn"), F.pmod(F.xxhash64("cell"), tasks).cast("int").alias("share"))
+        shown = new.select(*fields, F.lit(0).alias("turn"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("share"))
+        ordered = dealt.unionByName(shown).repartition("grid", "share").sortWithinPartitions("grid", "share", "turn", "cell")
+        met = settled(ordered.select(*fields, "turn", "share").mapInArrow(_settled_cells(kind), f"{schema}, cluster {cell}"))
         done.append(met.where("cluster is not null").select("grid", "cell", "cluster"))
         rest = met.where("cluster is null").drop("cluster")
         if rest.isEmpty():

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from marketlens.operators import grids
@@ -27,3 +28,16 @@ def test_binding_by_page_and_in_rounds_is_one_pass_in_order(spark, monkeypatch,
     assert {tuple(r) for r in grids.bind_one_to_one(df).collect()} == want
     # Small pages are folded where they meet: only the list of large ones is written, not the pairs of every round.
     assert (len(written) == 1) == (most == grids.PAGE_PAIRS and most > 6)
+
+
+def test_first_fit_where_no_two_cells_are_alike(spark, monkeypatch):
+    written, settled = [], grids.settled
+    monkeypatch.setattr(grids, "settled", lambda df: written.append(df) or settled(df))
+    vectors = np.random.default_rng(2).normal(size=(300, 64))
+    vectors[7] = 1.0  # flat: like no cell, not even itself
+    cells = [(i % 2, i, 10.0, [0.0, 0.0, 0.0], vectors[i % 150 if i >= 280 else i].tolist()) for i in range(300)]
+    df = spark.createDataFrame(cells, "grid int, cell int, width double, colour array<double>, vector array<double>")
+    got = {r.cell: r.cluster for r in grids.first_fit(df).collect()}
+    assert got == {i: i - 150 if i >= 280 else i for i in range(300)}
+    # A round decides thousands of medoids of a grid: not one round for every eight of them.
+    assert len(written) <= 4
