@@ -202,15 +202,20 @@ SALTS = 16
 def nearest_overlap(labels: DataFrame, columns: DataFrame, width: float) -> DataFrame:
     """For each label interval (label_id, x0, x1) the overlapping column (col_id, c0, c1) of nearest centre.
 
-    Both sides are cut in bins of ``width``, so only intervals that share a bin meet: an equi-join, no cross join.
+    Both sides are cut in bins of ``width``, so only intervals that share a bin meet: an equi-join, no cross join.  Labels
+    of one interval have one answer, so each interval is looked up once.  Cut columns are many more rows than their table
+    tells, so they are never broadcast.
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    # Labels of a bin are dealt to SALTS keys and its columns are there for each, so a crowded bin is many keys.
-    salted = labels.withColumn("bin", bins("x0", "x1")).withColumn("salt", F.pmod(F.xxhash64("label_id"), F.lit(SALTS)).cast("int"))
-    met = salted.join(columns.withColumn("bin", bins("c0", "c1")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["bin", "salt"])
+    # Intervals of a bin are dealt to SALTS keys and its columns are there for each, so a crowded bin is many keys.
+    intervals = labels.select("x0", "x1").where("x0 is not null and x1 is not null").distinct()
+    salted = intervals.withColumn("bin", bins("x0", "x1")).withColumn("salt", F.pmod(F.xxhash64("x0", "x1"), F.lit(SALTS)).cast("int"))
+    cut = columns.withColumn("bin", bins("c0", "c1")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = salted.join(cut.hint("merge"), ["bin", "salt"])
     real = met.where((F.least("x1", "c1") > F.greatest("x0", "c0")) & (F.floor(F.greatest("x0", "c0") / width) == F.col("bin")))
     far = F.abs((F.col("c0") + F.col("c1")) / 2 - (F.col("x0") + F.col("x1")) / 2)
-    return real.groupBy("label_id").agg(F.min(F.struct(far.alias("distance"), "col_id")).alias("m")).select("label_id", "m.col_id", F.col("m.distance").alias("distance"))
+    nearest = real.groupBy("x0", "x1").agg(F.min(F.struct(far.alias("distance"), "col_id")).alias("m"))
+    return labels.join(nearest, ["x0", "x1"]).groupBy("label_id").agg(F.min("m").alias("m")).select("label_id", "m.col_id", F.col("m.distance").alias("distance"))
 
 
 def index_column(cells: DataFrame, by: str, value: str, n_rows: int | None = None) -> DataFrame:

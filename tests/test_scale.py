@@ -4,8 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from marketlens.operators import grids
+from marketlens.functions import cells
+from marketlens.operators import glyphs, grids, recognition
+from marketlens.plans import catalogue, layers
 
 
 @pytest.mark.parametrize("most", [grids.PAGE_PAIRS, 6, 0])
@@ -41,3 +44,43 @@ def test_first_fit_where_no_two_cells_are_alike(spark, monkeypatch):
     assert got == {i: i - 150 if i >= 280 else i for i in range(300)}
     # A round decides thousands of medoids of a grid: not one round for every eight of them.
     assert len(written) <= 4
+
+
+def test_raster_levels_have_the_precision_of_the_vectors(spark, duck, tmp_path):
+    # Quotients that are the hole level as a float and a little more than that as a double: no ink.
+    rng, level, found = np.random.default_rng(4), np.float32(0.4), []
+    while len(found) < 8:
+        high = np.float32(rng.uniform(0.5, 2))
+        x = np.float32(level * high)
+        if np.float32(x / high) == level and float(x) / float(high) > float(level):
+            found.append((len(found), [0.0, float(high)] + [float(x)] * 62, 0))
+    spark.createDataFrame(found, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck.execute(f"create or replace temp view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in duck.execute(catalogue.SQL["glyph_holes"]).fetchall()}
+    duck.execute("drop view temp.embeddings")
+    assert {r.vec_id: (r.holes, r.upper, r.lower) for r in layers.glyph_holes(spark, str(tmp_path)).collect()} == want
+
+
+def test_many_columns_of_a_bin_are_not_broadcast(spark):
+    labels = spark.createDataFrame([(i, i % 5 * 30, i % 5 * 30 + 25) for i in range(50)] + [(99, None, 7)], "label_id int, x0 int, x1 int")
+    columns = spark.createDataFrame([(i, i * 7, i * 7 + 5) for i in range(40)], "col_id int, c0 int, c1 int")
+    made = recognition.nearest_overlap(labels, columns, 50.0)
+    want = {}
+    for r in labels.where("x0 is not null").collect():
+        met = [(abs((c.c0 + c.c1) / 2 - (r.x0 + r.x1) / 2), c.col_id) for c in columns.collect() if min(c.c1, r.x1) > max(c.c0, r.x0)]
+        if met:
+            want[r.label_id] = min(met)
+    assert {r.label_id: (r.distance, r.col_id) for r in made.collect()} == want and len(want) == 50
+    assert "BroadcastHashJoin [bin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def uses(column, what):
+    return str(column).count(what)
+
+
+def test_values_of_nested_steps_are_written_once(spark):
+    c = F.col("c")
+    assert uses(cells.typed_money(c), "coalesce(c,") == 1 and uses(cells.typed_days(c), "coalesce(c,") == 1
+    assert uses(recognition.marks(F.col("digits"), F.col("places")), "digits") == 1
+    # A split's widest run is looked for once a step, however often it is used.
+    assert uses(glyphs.split_widest(F.col("s"), F.col("p"), 1, F.col("t")), "minus") < 5
