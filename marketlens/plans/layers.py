@@ -193,10 +193,10 @@ H AS (SELECT e.vec_id, coalesce(h, 0) holes, up, low FROM (SELECT vec_id, avg(CA
 
 
 def _glyphs(spark, sf_dir):
-    """The vectors as square rasters from 0 to 1, with their holes and the ink of their halves."""
+    """The vectors as square rasters from 0 to 1 in the vectors' own precision, with their holes and the ink of their halves."""
     e = _table(spark, sf_dir, "embeddings")
     low, high = F.array_min("embedding"), F.array_max("embedding")
-    grey = F.transform(F.arrays_zip(F.col("embedding").alias("x"), F.array_repeat(low, F.size("embedding")).alias("low"), F.array_repeat(high, F.size("embedding")).alias("high")), lambda z: (z["x"] - z["low"]) / (z["high"] - z["low"]))
+    grey = F.transform(F.arrays_zip(F.col("embedding").alias("x"), F.array_repeat(low, F.size("embedding")).alias("low"), F.array_repeat(high, F.size("embedding")).alias("high")), lambda z: ((z["x"] - z["low"]) / (z["high"] - z["low"])).cast("float"))
     f = glyphs.features(F.col("grey"), _SIDE, lambda v: v > F.lit(_LEVEL).cast("float"))
     return e.withColumn("grey", grey).withColumn("f", f).select(*e.columns, "f.holes", "f.upper", "f.lower")
 
