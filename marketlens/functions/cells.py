@@ -16,6 +16,11 @@ _AMOUNT = r"\A\$?" + _SPACE + r"?([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.([0-9]{1,
 DASH = "—"
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` evaluated once and not wherever ``then`` uses it (through a one-element array)."""
+    return F.transform(F.array(value), then)[0]
+
+
 def trimmed(c: Column) -> Column:
     """Without leading and trailing white space; null counts as empty."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), rf"\A{_SPACE}+|{_SPACE}+\z", "")
@@ -27,8 +32,11 @@ def label_key(c: Column) -> Column:
 
 
 def _cell(value: Column, blank: Column, why: Column) -> Column:
-    state = F.when(blank, "blank").when(why.isNotNull(), "error").otherwise("value")
-    return F.struct(F.when(state == "value", value).alias("value"), state.alias("state"), F.when(~blank, why).alias("why"))
+    def cell(x: Column) -> Column:
+        state = F.when(x["blank"], "blank").when(x["why"].isNotNull(), "error").otherwise("value")
+        return F.struct(F.when(~x["blank"] & x["why"].isNull(), x["value"]).alias("value"), state.alias("state"), F.when(~x["blank"], x["why"]).alias("why"))
+
+    return once(F.struct(value.alias("value"), blank.alias("blank"), why.alias("why")), cell)
 
 
 def money(c: Column, concession: bool = False) -> Column:
@@ -37,49 +45,59 @@ def money(c: Column, concession: bool = False) -> Column:
     A price is rounded to whole dollars, zero is blank, and bounds apply; a concession keeps its cents and has
     an upper bound only.
     """
-    t = trimmed(c)
-    whole = F.regexp_replace(F.regexp_extract(t, _AMOUNT, 1), ",", "")
-    cents = F.rpad(F.regexp_extract(t, _AMOUNT, 2), 2, "0")
-    # 26 digits before the point hold every amount that the bounds could accept; longer ones are out of range anyway.
-    amount = F.try_to_number(F.concat(whole, F.lit("."), cents), F.lit("9" * 26 + ".99"))
-    amount = F.when(F.length(whole) <= 26, amount)
-    is_amount = t.rlike(_AMOUNT)
-    if concession:
-        out_of_range = F.coalesce(amount > PRICE_MAX, F.lit(True))
+
+    def of(t: Column) -> Column:
+        whole = F.regexp_replace(F.regexp_extract(t, _AMOUNT, 1), ",", "")
+        cents = F.rpad(F.regexp_extract(t, _AMOUNT, 2), 2, "0")
+        # 26 digits before the point hold every amount that the bounds could accept; longer ones are out of range anyway.
+        amount = F.try_to_number(F.concat(whole, F.lit("."), cents), F.lit("9" * 26 + ".99"))
+        return once(F.when(F.length(whole) <= 26, amount), lambda v: judged(t, v))
+
+    def judged(t: Column, amount: Column) -> Column:
+        is_amount = t.rlike(_AMOUNT)
+        if concession:
+            out_of_range = F.coalesce(amount > PRICE_MAX, F.lit(True))
+            why = F.when(~is_amount, "not an amount").when(out_of_range, "out of range")
+            return _cell(amount.cast("decimal(12,2)"), t == "", why)
+        rounded = F.round(amount, 0).cast("decimal(28,0)")
+        zero = is_amount & F.coalesce(rounded == 0, F.lit(False))
+        out_of_range = F.coalesce((rounded < PRICE_MIN) | (rounded > PRICE_MAX), F.lit(True))
         why = F.when(~is_amount, "not an amount").when(out_of_range, "out of range")
-        return _cell(amount.cast("decimal(12,2)"), t == "", why)
-    rounded = F.round(amount, 0).cast("decimal(28,0)")
-    zero = is_amount & F.coalesce(rounded == 0, F.lit(False))
-    out_of_range = F.coalesce((rounded < PRICE_MIN) | (rounded > PRICE_MAX), F.lit(True))
-    why = F.when(~is_amount, "not an amount").when(out_of_range, "out of range")
-    return _cell(F.when(~out_of_range, rounded).cast("bigint"), (t == "") | zero, why)
+        return _cell(F.when(~out_of_range, rounded).cast("bigint"), (t == "") | zero, why)
+
+    return once(trimmed(c), of)
 
 
 def days(c: Column) -> Column:
     """Whole days, zero included, grouping allowed."""
-    t = trimmed(c)
-    digits = F.regexp_replace(t, ",", "")
-    fits = t.rlike(r"\A(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)\z")
-    value = F.when(fits & (F.length(F.regexp_replace(digits, r"\A0+", "")) <= 4), digits.try_cast("int"))
-    why = F.when(~fits, "not a whole number of days").when(F.coalesce(value > DAYS_MAX, F.lit(True)), "out of range")
-    return _cell(value, t == "", why)
+
+    def of(t: Column) -> Column:
+        digits = F.regexp_replace(t, ",", "")
+        fits = t.rlike(r"\A(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)\z")
+        value = F.when(fits & (F.length(F.regexp_replace(digits, r"\A0+", "")) <= 4), digits.try_cast("int"))
+        why = lambda v: F.when(~fits, "not a whole number of days").when(F.coalesce(v > DAYS_MAX, F.lit(True)), "out of range")
+        return once(value, lambda v: _cell(v, t == "", why(v)))
+
+    return once(trimmed(c), of)
 
 
 def typed_money(c: Column, concession: bool = False) -> Column:
     """An amount typed by hand: blanks, "$" and commas are dropped wherever they stand."""
-    t = trimmed(c)
-    bare = F.regexp_replace(t, rf"{_SPACE}|[$,]", "")
-    fits = bare.rlike(r"\A[0-9]+(?:\.[0-9]+)?\z")
-    amount = F.when(fits & (F.length(F.regexp_extract(bare, r"\A0*([0-9]*)", 1)) <= 12), F.round(F.substring(bare, 1, 40).try_cast("decimal(38,10)"), 2 if concession else 0))
     least = 0 if concession else PRICE_MIN
-    why = F.when(~fits, "not an amount").when(F.coalesce((amount < least) | (amount > PRICE_MAX), F.lit(True)), "out of range")
-    return _cell(F.when(why.isNull(), amount).cast("decimal(12,2)" if concession else "bigint"), t == "", why)
+
+    def of(t: Column, bare: Column) -> Column:
+        fits = bare.rlike(r"\A[0-9]+(?:\.[0-9]+)?\z")
+        amount = F.when(fits & (F.length(F.regexp_extract(bare, r"\A0*([0-9]*)", 1)) <= 12), F.round(F.substring(bare, 1, 40).try_cast("decimal(38,10)"), 2 if concession else 0))
+        why = lambda v: F.when(~fits, "not an amount").when(F.coalesce((v < least) | (v > PRICE_MAX), F.lit(True)), "out of range")
+        return once(amount, lambda v: once(why(v), lambda w: _cell(F.when(w.isNull(), v).cast("decimal(12,2)" if concession else "bigint"), t == "", w)))
+
+    return once(trimmed(c), lambda t: once(F.regexp_replace(t, rf"{_SPACE}|[$,]", ""), lambda bare: of(t, bare)))
 
 
 def typed_days(c: Column) -> Column:
     """Days typed by hand: blanks and commas are dropped wherever they stand."""
-    t = trimmed(c)
-    return F.when(t == "", days(F.lit(""))).otherwise(days(F.coalesce(F.nullif(F.regexp_replace(t, rf"{_SPACE}|,", ""), F.lit("")), F.lit("?"))))
+    bare = lambda t: F.when(t == "", "").otherwise(F.coalesce(F.nullif(F.regexp_replace(t, rf"{_SPACE}|,", ""), F.lit("")), F.lit("?")))
+    return days(once(trimmed(c), bare))
 
 
 def status_text(c: Column) -> Column:
@@ -98,8 +116,7 @@ def status_code(c: Column) -> Column:
         private = F.regexp_extract(s, r"(?s)\APRIV-(.+)\z", 1)
         return F.when(known(s), s).when(base != "", base).when(private != "", F.when(known(private), private).otherwise("PRIV"))
 
-    # Through a one-element array, so that trimming is evaluated once and not wherever the text is used.
-    return F.transform(F.array(F.upper(trimmed(c))), code)[0]
+    return once(F.upper(trimmed(c)), code)
 
 
 def _lookup(c: Column, table: dict[str, str]) -> Column:

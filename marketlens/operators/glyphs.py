@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marketlens.functions.cells import once
+
 # By how many segments a count may be off, how far a cut's place counts against its ink, gap that joins parts.
 MOST_OFF, LEAST_SPLIT, OFF_CENTRE, JOINED_GAP = 4, 4, 1.5, 2
 # Ink level of a glyph's raster for holes, and the pixels of a hole at least.
@@ -29,13 +31,16 @@ def _repeat(n: Column, start: Column, step) -> Column:
 
 def _stretches(flags: Column, breaks=None) -> Column:
     """Structs (a, b) of the half-open stretches of true flags; ``breaks`` tells at which indices a new one must start."""
-    n = F.size(flags)
-    at = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
     new = (lambda i: F.lit(False)) if breaks is None else breaks
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(places, lambda i: at(i) & (~at(i - 1) | new(i)))
-    ends = F.filter(places, lambda i: at(i) & (~at(i + 1) | new(i + 1)))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
+
+    def of(f: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(f, i), F.lit(False))
+        places = F.when(F.size(f) > 0, F.sequence(F.lit(0), F.size(f) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: at(i) & (~at(i - 1) | new(i)))
+        ends = F.filter(places, lambda i: at(i) & (~at(i + 1) | new(i + 1)))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
+
+    return once(flags, of)
 
 
 def raw_segments(projection: Column, least: Column | int) -> Column:
@@ -50,8 +55,9 @@ def merge_closest(segments: Column, target: Column) -> Column:
     def step(state: Column) -> Column:
         gap = lambda s, i: F.get(state, i + 1)["x"] - s["x"] - s["w"]
         k = F.array_min(F.transform(F.slice(state, F.lit(1), F.size(state) - 1), lambda s, i: F.struct(gap(s, i).alias("gap"), i.alias("i"))))["i"]
-        joined = lambda s, i: _segment(s["x"], F.get(state, i + 1)["x"] + F.get(state, i + 1)["w"] - s["x"])
-        return F.filter(F.transform(state, lambda s, i: F.when(i == k, joined(s, i)).when(i != k + 1, s)), lambda s: s.isNotNull()).cast(_SEGMENTS)
+        first = lambda k: F.get(state, k)["x"]
+        joined = lambda k: F.array(_segment(first(k), F.get(state, k + 1)["x"] + F.get(state, k + 1)["w"] - first(k)))
+        return once(k, lambda k: F.concat(F.slice(state, F.lit(1), k), joined(k), F.slice(state, k + 3, F.size(state)))).cast(_SEGMENTS)
 
     return _repeat(F.size(segments) - F.greatest(target, F.lit(1)), segments, step)
 
@@ -65,19 +71,25 @@ def split_widest(segments: Column, projection: Column, least: Column | int, targ
 
     def step(state: Column) -> Column:
         widest = F.array_min(F.transform(state, lambda s, i: F.struct((-s["w"]).alias("minus"), i.alias("i"))))["i"]
-        run = F.get(state, widest)
+        return once(widest, lambda i: once(F.get(state, i), lambda run: once(parts_in(state, i, run), lambda k: cut(state, i, run, k)))).cast(_SEGMENTS)
+
+    def parts_in(state: Column, widest: Column, run: Column) -> Column:
         others = F.array_sort(F.transform(F.filter(state, lambda s, i: i != widest), lambda s: s["w"]))
-        usual = F.get(others, F.floor(F.size(others) / 2).cast("int"))
-        k = F.coalesce(F.when(usual > 0, F.floor(run["w"] / usual + 0.5)), F.lit(2))
-        k = F.greatest(F.lit(2), F.least(k, F.greatest(F.lit(2), target - F.size(state) + 1)))
+        usual = F.get(others, F.floor((F.size(state) - 1) / 2).cast("int"))
+        k = once(usual, lambda u: F.coalesce(F.when(u > 0, F.floor(run["w"] / u + 0.5)), F.lit(2)))
+        return F.greatest(F.lit(2), F.least(k, F.greatest(F.lit(2), target - F.size(state) + 1)))
+
+    def cut(state: Column, widest: Column, run: Column, k: Column) -> Column:
         places = F.sequence(run["x"] + F.floor(run["w"] * 0.25).cast("int"), run["x"] + F.floor(run["w"] * 0.75).cast("int"))
         off = lambda x: F.array_min(F.transform(F.sequence(F.lit(1), k.cast("int") - 1), lambda i: F.abs(x - run["x"] - run["w"] * i / k)))
-        cut = F.array_min(F.transform(places, lambda x: F.struct((F.get(projection, x) + off(x) * OFF_CENTRE).alias("cost"), x.alias("x"))))["x"]
-        # The cut is one value, used several times below.
-        parts = F.transform(F.array(cut), lambda c: F.array(_segment(run["x"], c - run["x"]), _segment(c, run["x"] + run["w"] - c)))[0]
+        best = F.array_min(F.transform(places, lambda x: F.struct((F.get(projection, x) + off(x) * OFF_CENTRE).alias("cost"), x.alias("x"))))["x"]
+        parts = once(best, lambda c: F.array(_segment(run["x"], c - run["x"]), _segment(c, run["x"] + run["w"] - c)))
+        return once(parts, lambda p: split(state, widest, run, p))
+
+    def split(state: Column, widest: Column, run: Column, parts: Column) -> Column:
         fits = (run["w"] >= F.lit(2) * least) & F.forall(parts, lambda s: s["w"] >= least)
-        split = F.concat(F.slice(state, F.lit(1), widest), parts, F.slice(state, widest + 2, F.size(state)))
-        return F.when(F.coalesce(fits, F.lit(False)), split).otherwise(state).cast(_SEGMENTS)
+        made = F.concat(F.slice(state, F.lit(1), widest), parts, F.slice(state, widest + 2, F.size(state)))
+        return F.when(F.coalesce(fits, F.lit(False)), made).otherwise(state)
 
     return _repeat(target - F.size(segments), segments, step)
 
@@ -106,7 +118,7 @@ def digit_segments(projection: Column, least: Column | int, target: Column, part
     def of(raw: Column) -> Column:
         n = F.size(raw)
         merged = F.when((n > target) & (n <= target + MOST_OFF), merge_closest(raw, target)).otherwise(raw)
-        return F.transform(F.array(merged), lambda m: F.when((F.size(m) >= F.greatest(F.lit(LEAST_SPLIT), target - MOST_OFF)) & (F.size(m) < target), split_widest(m, projection, least, target)).otherwise(m))[0]
+        return once(merged, lambda m: F.when((F.size(m) >= F.greatest(F.lit(LEAST_SPLIT), target - MOST_OFF)) & (F.size(m) < target), split_widest(m, projection, least, target)).otherwise(m))
 
     def named(raw: Column, fitted: Column) -> Column:
         method = F.when(F.size(raw) == target, "projection").when(F.size(fitted) == target, "projection-adjusted")
@@ -115,8 +127,8 @@ def digit_segments(projection: Column, least: Column | int, target: Column, part
         chosen = fitted if parts is None else F.when(F.coalesce(method == "cc-fallback", F.lit(False)), parts).otherwise(fitted)
         return F.struct(chosen.alias("segments"), F.coalesce(method, F.lit("projection-failed")).alias("method")).cast(kind)
 
-    pair = F.transform(F.array(raw_segments(projection, least)), lambda raw: F.struct(raw.alias("raw"), of(raw).alias("fitted")))[0]
-    return F.transform(F.array(pair), lambda p: named(p["raw"], p["fitted"]))[0]
+    pair = once(raw_segments(projection, least), lambda raw: F.struct(raw.alias("raw"), of(raw).alias("fitted")))
+    return once(pair, lambda p: named(p["raw"], p["fitted"]))
 
 
 def runs(raster: Column, width: int, inked) -> Column:
@@ -134,9 +146,9 @@ def components(raster_runs: Column) -> Column:
 
     def step(state: Column, r: Column) -> Column:
         met = F.transform(F.filter(state, lambda s: (s["y"] == r["y"] - 1) & (s["a"] < r["b"]) & (r["a"] < s["b"])), lambda s: s["label"])
-        own = F.coalesce(F.array_min(met), F.size(state))
         of = lambda s, label: F.struct(s["y"].alias("y"), s["a"].alias("a"), s["b"].alias("b"), label.cast("int").alias("label"))
-        return F.concat(F.transform(state, lambda s: F.when(F.array_contains(met, s["label"]), of(s, own)).otherwise(s)), F.array(of(r, own))).cast(_RUNS)
+        all_ = lambda met, own: F.concat(F.transform(state, lambda s: F.when(F.array_contains(met, s["label"]), of(s, own)).otherwise(s)), F.array(of(r, own)))
+        return once(met, lambda met: once(F.coalesce(F.array_min(met), F.size(state)), lambda own: all_(met, own))).cast(_RUNS)
 
     labelled = F.aggregate(raster_runs, F.array().cast(_RUNS), step)
 
