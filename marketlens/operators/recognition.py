@@ -152,13 +152,18 @@ def marks(digits_at: Column, marks_at: Column) -> Column:
 
     Only the last mark can be a point, with one or two digits after it; the others sit on thousands.
     """
-    right = lambda m: F.size(F.filter(digits_at, lambda d: d > m))
-    order = F.array_sort(marks_at)
-    after_last = right(F.try_element_at(order, F.lit(-1)))
-    fraction = F.when((F.size(order) > 0) & after_last.isin(1, 2), after_last).otherwise(0)
-    rest = F.when(fraction > 0, F.slice(order, 1, F.greatest(F.size(order) - 1, F.lit(0)))).otherwise(order)
-    good = F.forall(rest, lambda m: (right(m) - fraction > 0) & ((right(m) - fraction) % 3 == 0))
-    return F.when(good, F.struct(F.size(rest).alias("commas"), fraction.alias("fraction")))
+
+    def of(digits: Column, order: Column) -> Column:
+        right = lambda m: F.size(F.filter(digits, lambda d: d > m))
+        after_last = right(F.try_element_at(order, F.lit(-1)))
+        return cells_.once(F.when((F.size(order) > 0) & after_last.isin(1, 2), after_last).otherwise(0), lambda fraction: judged(order, right, fraction))
+
+    def judged(order: Column, right, fraction: Column) -> Column:
+        rest = F.when(fraction > 0, F.slice(order, 1, F.greatest(F.size(order) - 1, F.lit(0)))).otherwise(order)
+        good = F.forall(rest, lambda m: (right(m) - fraction > 0) & ((right(m) - fraction) % 3 == 0))
+        return F.when(good, F.struct(F.size(rest).alias("commas"), fraction.alias("fraction")))
+
+    return cells_.once(digits_at, lambda digits: cells_.once(F.array_sort(marks_at), lambda order: of(digits, order)))
 
 
 def fill_pattern(cells: DataFrame, by: str = "col", filled: str = "filled", closed: str = "closed") -> DataFrame:

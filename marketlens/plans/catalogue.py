@@ -603,7 +603,7 @@ def numeric_marks(spark, sf_dir):
     cut = lambda k: F.substring(text, F.lit(1), n - k)
     token = F.when(size == 0, cut(1)).when(size == 1, cut(3)).when(size == 2, cut(4)).when(size == 3, F.replace(text, F.lit(","), F.lit(""))).when(size == 4, F.concat(text, F.lit("5"))).otherwise(text)
     t = _table(spark, sf_dir, "part").select("p_partkey", token.alias("token")).withColumn("at", F.sequence(F.lit(1), F.length("token")))
-    is_digit = lambda i: F.substring(F.col("token"), i, F.lit(1)).rlike("[0-9]")
+    is_digit = lambda i: F.substring(F.col("token"), i, F.lit(1)).between("0", "9")
     m = recognition.marks(F.filter("at", is_digit), F.filter("at", lambda i: ~is_digit(i)))
     return t.select("p_partkey", "token", m.alias("m")).select("p_partkey", "token", "m.commas", "m.fraction")
 
