@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from marketlens.functions.cells import once
 from marketlens.operators import placing
 from marketlens.operators.ranks import middles
 from marketlens.operators.recognition import colour_distance, header_roles, header_row
@@ -58,14 +59,19 @@ def token_columns(tokens: DataFrame) -> DataFrame:
     entry = lambda x: F.struct(x["x0"].cast("double").alias("a"), x["x1"].cast("double").alias("b"))
     start = F.struct(F.array().cast(f"array<{_SPAN}>").alias("spans"), F.array().cast("array<int>").alias("homes"))
 
-    def step(state, x):
-        e = entry(x)
-        shared = lambda s: F.least(e["b"], s["b"]) - F.greatest(e["a"], s["a"])
-        home = _first_index(state["spans"], lambda s: (shared(s) > 0) & (shared(s) >= OVERLAP * F.least(e["b"] - e["a"], s["b"] - s["a"])))
+    def joined(state: Column, e: Column, home: Column) -> Column:
         wider = F.transform(state["spans"], lambda s, i: F.when(i == home, F.struct(F.least(s["a"], e["a"]).alias("a"), F.greatest(s["b"], e["b"]).alias("b"))).otherwise(s))
         spans = F.when(home.isNull(), F.concat(state["spans"], F.array(e))).otherwise(wider)
         return F.struct(spans.cast(f"array<{_SPAN}>").alias("spans"), F.concat(state["homes"], F.array(F.coalesce(home, F.size(state["spans"])))).cast("array<int>").alias("homes"))
 
+    def step(state: Column, x: Column) -> Column:
+        def of(e: Column) -> Column:
+            shared = lambda s: F.least(e["b"], s["b"]) - F.greatest(e["a"], s["a"])
+            home = _first_index(state["spans"], lambda s: once(shared(s), lambda o: (o > 0) & (o >= OVERLAP * F.least(e["b"] - e["a"], s["b"] - s["a"]))))
+            return once(home, lambda h: joined(state, e, h))
+
+        return once(entry(x), of)
+
     folded = islands.withColumn("homes", F.aggregate("xs", start, step)["homes"])
     each = folded.select("grid", "island", F.inline(F.arrays_zip("xs", "homes"))).select("grid", "island", "xs.x0", "xs.x1", F.col("homes").alias("home"))
     return _numbered(tokens, each, ["island", "home"])
@@ -88,7 +94,7 @@ def fused_cuts(tokens: DataFrame) -> DataFrame:
     along = W.partitionBy("grid", "col", "row").orderBy("x0", "x1")  # tokens of one cell
     before = F.lag("x1").over(along)
     gaps = tokens.where("col is not null").withColumns({"gap": F.col("x0") - before, "at": before + (F.col("x0") - before) / 2})
-    votes = gaps.groupBy("grid", "col", "row").agg(F.min("x0").alias("c0"), F.max("x1").alias("c1"), F.max_by("at", F.struct("gap", -F.col("x0"))).alias("at"))
+    votes = settled(gaps.groupBy("grid", "col", "row").agg(F.min("x0").alias("c0"), F.max("x1").alias("c1"), F.max_by("at", F.struct("gap", -F.col("x0"))).alias("at")))
     whole = votes.groupBy("grid", "col").agg(F.count("*").alias("n_rows"), F.count("at").alias("votes"), (F.max("at") - F.min("at")).alias("spread"), (F.max("c1") - F.min("c0")).alias("width"))
     able = whole.where((F.col("votes") >= FUSED_ROWS) & (F.col("votes") >= FUSED_SHARE * F.col("n_rows")) & (F.col("spread") <= FUSED_SPREAD * F.col("width")))
     return able.join(middles(votes, ["grid", "col"], "at").select("grid", "col", F.col("upper").alias("cut")), ["grid", "col"]).select("grid", "col", "cut")

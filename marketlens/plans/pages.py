@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.vocab import STATUS_BUCKET
 from marketlens.operators import grids, market
+from marketlens.operators.rounds import settled
 from marketlens.plans.catalogue import L, listings, query
 from marketlens.sources import pages
 
@@ -38,14 +39,14 @@ T AS (SELECT g, row, name, CASE edge WHEN 'left' THEN place ELSE place - {CHARAC
 
 def tokens(spark, sf_dir) -> DataFrame:
     """The listing view as tokens (grid, row, name, x0, x1, text); ``name`` is what stands there and is not read."""
-    n, code = F.col("n"), pages.read.status_code(F.col("status"))
-    closed = F.coalesce(code.isin(*[c for c, b in STATUS_BUCKET.items() if b == "closed"]), F.lit(False))
+    n, closed = F.col("n"), F.col("closed")
+    is_closed = F.coalesce(pages.read.once(pages.read.status_code(F.col("status")), lambda c: c.isin(*[c_ for c_, b in STATUS_BUCKET.items() if b == "closed"])), F.lit(False))
     dollars = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
     shown = {
         "index": (n % _ROWS + 1).cast("string"), "status": F.trim("status"), "mls": F.col("mls"), "orig": dollars(F.greatest("list_price", "orig_price")), "list": dollars(F.least("list_price", "orig_price")),
         "sold": F.when(closed, dollars(F.col("sold_price"))), "conc": F.when(closed & (n % 3 == 0), F.format_number(F.round("concessions").cast("bigint"), 0)), "mt": F.col("market_time").cast("string"),
     }
-    rows = listings(spark, sf_dir).where(~F.col("omit")).withColumn("grid", F.floor(n / _ROWS))
+    rows = listings(spark, sf_dir).where(~F.col("omit")).withColumn("grid", F.floor(n / _ROWS)).withColumn("closed", is_closed)
     token = lambda name, text: F.struct(F.lit(name).alias("name"), text.alias("text"))
     body = rows.select("grid", (n % _ROWS + 2).cast("int").alias("row"), F.inline(F.array(*[token(k, v) for k, v in shown.items()])))
     page = rows.select("grid").distinct()
@@ -115,14 +116,14 @@ def _body(spark, sf_dir) -> DataFrame:
 @query(f"{_COLUMNS} SELECT g grid, col, name, count(*) n_tokens FROM D JOIN O USING (g, c) GROUP BY ALL")
 def token_columns(spark, sf_dir):
     """Every token in its own column, found by overlap and split where a wide token had joined two."""
-    placed = grids.split_fused(grids.token_columns(_body(spark, sf_dir)))
+    placed = grids.split_fused(settled(grids.token_columns(settled(_body(spark, sf_dir)))))
     return placed.groupBy("grid", "col", "name").agg(F.count("*").alias("n_tokens"))
 
 
 @query(f"{_COLUMNS}, W AS (SELECT g, row, max(x1) FILTER (WHERE name = 'status') a, min(x0) FILTER (WHERE name = 'mls') b FROM D WHERE g % 5 = 0 GROUP BY 1, 2), V2 AS (SELECT g, list((a + b) / 2 ORDER BY a + b) v FROM W WHERE a IS NOT NULL GROUP BY 1) SELECT g grid, 1 AS col, CAST(v[len(v) // 2 + 1] AS DOUBLE) cut FROM V2")
 def fused_columns(spark, sf_dir):
     """Columns that a wide token has joined, and where they part."""
-    return grids.fused_cuts(grids.token_columns(_body(spark, sf_dir))).withColumn("cut", F.col("cut").cast("double"))
+    return grids.fused_cuts(grids.token_columns(settled(_body(spark, sf_dir)))).withColumn("cut", F.col("cut").cast("double"))
 
 
 _SPANS = f"""{_COLUMNS}, E0 AS (SELECT g, greatest(0, c0 - 3) a, least(700, c1 + 3) b FROM O WHERE c NOT IN ('mls', 'mt')),
@@ -131,8 +132,7 @@ E2 AS (SELECT g, part, min(a) s0, max(b) s1 FROM (SELECT *, sum(CAST(opens AS IN
 E3 AS (SELECT *, 14 + coalesce(sum(s1 - s0 + 14) OVER (PARTITION BY g ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) d0 FROM E2)"""
 
 
-def _spans(spark, sf_dir) -> DataFrame:
-    rows = _body(spark, sf_dir)
+def _spans(rows: DataFrame) -> DataFrame:
     wide = rows.groupBy("grid", F.when(F.col("name") == "bridge", "mls").otherwise(F.col("name")).alias("name")).agg(F.min("x0").alias("c0"), F.max("x1").alias("c1"))
     pages_ = wide.select("grid").distinct().select("grid", F.lit(700).alias("width"), F.lit(CHARACTER).alias("glyph"))
     return grids.kept_spans(wide.where("name not in ('mls', 'mt')"), pages_)
@@ -141,14 +141,15 @@ def _spans(spark, sf_dir) -> DataFrame:
 @query(f"{_SPANS} SELECT g grid, CAST(s0 AS DOUBLE) s0, CAST(s1 AS DOUBLE) s1, CAST(d0 AS DOUBLE) d0, CAST(d0 + s1 - s0 AS DOUBLE) d1 FROM E3")
 def kept_spans(spark, sf_dir):
     """The parts of each page that are worth reading, and where they stand side by side."""
-    return _spans(spark, sf_dir)
+    return _spans(_body(spark, sf_dir))
 
 
 @query(f"{_SPANS} SELECT g grid, row, name, x0 x, CAST(d0 + x0 - s0 AS DOUBLE) cx, CAST(CASE WHEN s0 IS NOT NULL THEN x0 END AS DOUBLE) sx FROM (SELECT D.*, s0, s1, d0 FROM D LEFT JOIN E3 ON D.g = E3.g AND x0 BETWEEN s0 AND s1)")
 def compacted_places(spark, sf_dir):
     """Each token's place on the compacted page and, from there, back on its own; none where the page was not kept."""
-    spans = _spans(spark, sf_dir)
-    points = _body(spark, sf_dir).select("grid", "row", "name", F.col("x0").alias("x"))
+    body = settled(_body(spark, sf_dir).select("grid", "row", "name", "x0", "x1"))
+    spans = settled(_spans(body))
+    points = body.select("grid", "row", "name", F.col("x0").alias("x"))
     there = grids.to_compact(points, spans)
     return grids.to_source(there, spans, "cx")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import cells
 from marketlens.operators import glyphs, grids, recognition
+from marketlens.operators.rounds import settled
 from marketlens.plans import catalogue, layers
 
 
@@ -84,3 +85,10 @@ def test_values_of_nested_steps_are_written_once(spark):
     assert uses(recognition.marks(F.col("digits"), F.col("places")), "digits") == 1
     # A split's widest run is looked for once a step, however often it is used.
     assert uses(glyphs.split_widest(F.col("s"), F.col("p"), 1, F.col("t")), "minus") < 5
+
+
+def test_settled_tables_are_columns(spark):
+    # Steps that take a few columns of a settled table read those alone, and its files are packed.
+    df = settled(spark.range(1000).select("id", F.lit("the same text in every row").alias("t"), F.array("id").alias("a")))
+    assert {r.id for r in df.select("id").collect()} == set(range(1000)) and df.schema.names == ["id", "t", "a"]
+    assert "ReadSchema: struct<id:bigint>" in df.select("id")._jdf.queryExecution().executedPlan().toString()
