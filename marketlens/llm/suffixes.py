@@ -4,8 +4,9 @@ A byte goes if a ``length``-byte string that covers it also starts anywhere else
 
 Sorting every suffix of a corpus costs more than the corpus is worth here (the README has figures), so the
 arrays hold the suffixes that :mod:`segments` picks: any repeat of ``length`` bytes meets at one of them.  Equal texts
-are indexed once; a text that is there twice goes whole.  A batch of texts gives an array of (key, segment hash, place)
-rows.  :class:`LevelFamily` keeps the keys of earlier batches, with their counts, as levels of geometrically growing
+are indexed once; a text that is there twice goes whole.  A batch of texts gives an array of (key, segment hash, places)
+rows: the places that a segment has in the texts that a task turns over at once are one row, so what stands in very
+many texts is counted, joined and shuffled as a few rows and dealt out to its texts at the end.  :class:`LevelFamily` keeps the keys of earlier batches, with their counts, as levels of geometrically growing
 size: a new batch is matched against every level for keys met before, and two levels of equal rank merge into one of
 the next rank.  The number of batches follows the size of the texts.
 
@@ -43,6 +44,7 @@ HOT = 16384
 #: Rows that a task works on at a time.
 PIECE = 1024
 TEXT = ["t1", "t2"]
+PLACE = [*TEXT, "lo", "hi"]
 
 
 def _named(docs: DataFrame, text: str) -> DataFrame:
@@ -52,7 +54,11 @@ def _named(docs: DataFrame, text: str) -> DataFrame:
 
 
 def suffix_arrays(texts: DataFrame, length: int, batches: int) -> DataFrame:
-    """(batch, key, seg, t1, t2, lo, hi) rows, each task's batch of texts sorted by key."""
+    """(batch, key, seg, n, t1, t2, lo, hi, more) rows, each slice of a task's texts sorted by key.
+
+    A row is all ``n`` places of a segment in the slice: the first one in columns, the others in ``more`` (null if none).
+    """
+    names = ["batch", "key", "seg", "n", *PLACE, "more"]
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(arrow, "t"):
@@ -62,11 +68,18 @@ def suffix_arrays(texts: DataFrame, length: int, batches: int) -> DataFrame:
             n = np.array([len(f[0]) for f in found], np.int64)
             key, seg, lo, hi = (np.concatenate([f[i] for f in found]) for i in range(4))
             t1, t2 = (np.repeat(part[c].to_numpy(), n) for c in TEXT)
-            order = np.lexsort((seg, key))
-            columns = [(t1 % batches).astype(np.int32), key, seg, t1, t2, lo.astype(np.int32), hi.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in columns], names=["batch", "key", "seg", "t1", "t2", "lo", "hi"])
+            own = (t1 % batches).astype(np.int32)
+            order = np.lexsort((seg, key, own))
+            own, key, seg, *place = (c[order] for c in (own, key, seg, t1, t2, lo.astype(np.int32), hi.astype(np.int32)))
+            new = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))[: len(own)]
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(own))).astype(np.int32)
+            others = pa.StructArray.from_arrays([pa.array(c[~new]) for c in place], names=PLACE)
+            more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n - 1)), pa.int32()), others, mask=pa.array(n == 1))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in (own, key, seg)), pa.array(n), *(pa.array(c[first]) for c in place), more], names=names)
 
-    return texts.select("t", "t1", "t2").mapInArrow(run, "batch int, key bigint, seg bigint, t1 bigint, t2 int, lo int, hi int")
+    place = "t1:bigint, t2:int, lo:int, hi:int"
+    return texts.select("t", *TEXT).mapInArrow(run, f"batch int, key bigint, seg bigint, n int, {place.replace(':', ' ')}, more array<struct<{place}>>")
 
 
 class LevelFamily:
@@ -80,7 +93,7 @@ class LevelFamily:
 
         A batch is reduced to a row per key before it is dealt out, so a key that is everywhere is one row too.
         """
-        own = stored(batch.groupBy("key").agg(F.count("*").alias("n")), "level")
+        own = stored(batch.groupBy("key").agg(F.sum("n").alias("n")), "level")
         found = own.where(F.col("n") > 1).select("key")
         for _, level in self.levels:
             found = found.unionAll(own.select("key").join(level.select("key"), "key", "left_semi"))
@@ -201,9 +214,11 @@ def repeats(texts: DataFrame, length: int = LENGTH, batches: int | None = None)
     met = stored(rows.drop("batch").join(stored(matched.distinct(), "matched"), "key"), "met")
     discard(rows, *found)
 
-    place = F.struct("t1", "t2", "lo", "hi")
-    kinds = stored(met.groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(place).alias("at")), "kinds")
-    whole = met.join(kinds.where(F.col("n") > 1).select("key", "seg"), ["key", "seg"]).select(*TEXT, F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    place = F.struct(*PLACE)
+    kinds = stored(met.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(place).alias("at")), "kinds")
+    twice = met.join(kinds.where(F.col("n") > 1).select("key", "seg"), ["key", "seg"])
+    places = F.when(F.col("more").isNull(), F.array(place)).otherwise(F.concat(F.array(place), "more"))
+    whole = twice.select(F.inline(places)).select(*TEXT, F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1)
     open_ = kinds.join(several, "key").select("key", (F.col("kinds") > HOT).alias("hot"), (F.col("n") > 1).alias("full"), "at.*")
     asked = open_.groupBy(*TEXT).agg(F.collect_list(F.struct("key", "hot", "full", "lo", "hi")).alias("rows"))

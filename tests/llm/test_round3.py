@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import fim, manifest, pieces, queries
+from marketlens.llm import copies, fim, manifest, pieces, queries, segments, suffixes
+from tests.llm.test_operators import plain_dedup
 
 TEXTS = [
     (1, "Hello  World, don't STOP 42!!"), (2, None), (3, ""), (4, " \t\n"), (5, "x" * 5000), (6, "ab " * 3000), (7, "日本語 é ß ▁x <s></s><unk><0x41>\r\n　\x00"), (8, "the quick brown fox " * 12000), (9, "   lead and trail   "),
@@ -175,3 +176,21 @@ def test_manifest_tables_are_of_whole_blocks(monkeypatch):
         assert pa.concat_tables(parts).to_pydict() == rows.to_pydict()
         keys = [set(zip(p["tree"].to_pylist(), p["block"].to_pylist())) for p in parts]
         assert sum(map(len, keys)) == 4 and all(len(p) for p in parts)
+
+
+def test_segments_of_many_texts_are_few_rows(spark):
+    """A passage in every text of a slice is a row with all its places, and each place loses it."""
+    rng = np.random.default_rng(9)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    shared = letters(400)
+    rows = [(i, letters(int(rng.integers(100, 300))) + shared + letters(150)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    texts = suffixes._named(docs, "text")
+    got = suffixes.suffix_arrays(texts, suffixes.LENGTH, 1).collect()
+    names = {r.t1: r.text.encode() for r in texts.collect()}
+    places = Counter((r.key, r.seg, p.t1, p.lo, p.hi) for r in got for p in [r, *(r.more or ())])
+    assert places == Counter((int(k), int(s), t1, int(a), int(b)) for t1, t in names.items() for k, s, a, b in zip(*segments.segments(t)))
+    assert len(got) == len({(r.key, r.seg) for r in got}) and all(r.n == 1 + len(r.more or ()) for r in got) and max(r.n for r in got) == 300
+    kept = {r.doc_id: bytes(r.dedup.kept).decode() for r in suffixes.dedup(docs).collect()}
+    assert kept == {i: x[3].decode() for (i, _), x in zip(rows, plain_dedup([t for _, t in rows], suffixes.LENGTH))}
+    assert all(shared[10:-10] not in t for t in kept.values())
