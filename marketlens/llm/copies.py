@@ -1,11 +1,16 @@
 """Near copies of documents: pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A text's node is the hash of its words (equal words, equal node); nodes of different texts are brought together
-by MinHash bands: ``BANDS`` keys of ``ROWS`` minima each.  A pair at similarity s shares no key with probability
-(1 - s ** ROWS) ** BANDS, 1.3e-7 at 0.8, the same for every size of the table.  Sizes and SimHash fingerprints
-discard pairs, and the shingles of both texts decide about every pair that is left, so no link is a guess.
+A text's node is the hash of its words (equal words, equal node).  Nodes of different texts are brought together twice:
 
-A key's nodes are paired first with the next ``NEXT`` of the key and with its ``HUBS`` middle nodes: those whose
+* by SimHash, as in :mod:`simhash`: band keys of the fingerprints, pivot distance tables that discard, bits that
+  verify, which loses no two fingerprints within 4 bits;
+* by MinHash bands, as most pairs at 0.8 differ in more bits: ``BANDS`` keys of ``ROWS`` minima each.  A pair at
+  similarity s shares no key with probability (1 - s ** ROWS) ** BANDS, 1.3e-7 at 0.8, the same for every size of the
+  table.  Sizes and fingerprints discard pairs.
+
+The shingles of both texts decide about every pair of either kind, so no link is a guess.
+
+A MinHash key's nodes are paired first with the next ``NEXT`` of the key and with its ``HUBS`` middle nodes: those whose
 fingerprints are nearest to the bits that most of the key's have.  Copies that were changed in different places are
 further from each other than from what they were made of, so the middle connects them.  What these pairs connect
 needs no further comparison; afterwards all pairs of a key that are not yet connected are compared, which for large
@@ -26,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from marketlens.llm import simhash
 from marketlens.llm.common import ASCII_LOWER, byte_values, slices, stored
 from marketlens.llm.components import components
 
@@ -84,7 +90,7 @@ def _set(texts: pa.Array) -> pa.Array:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band key of each text (node, t)."""
+    """Band keys, number of shingles and fingerprint of each text (node, t)."""
     for batch in slices(batches, "t"):
         keys, sizes, fps = [], [], []
         for text in byte_values(batch["t"]):
@@ -92,10 +98,11 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(band_keys(h))
             sizes.append(len(h))
             fps.append(fingerprint(h))
-        many = np.array([len(k) for k in keys], np.int64)
-        column = lambda x, kind: pa.array(np.repeat(np.array(x, kind), many))
+        offsets = np.cumsum([0] + [len(k) for k in keys])
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(flat), column(batch["node"].to_numpy(), np.int64), column(sizes, np.int32), column(fps, np.int64)], names=["key", "node", "n", "fp"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), lists], names=["node", "n", "fp", "keys"])
+
 
 
 def _possible(n: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,6 +178,18 @@ def _other_pairs(following: int):
     return run
 
 
+def simhash_pairs(fps: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes (node, fp) that connect all whose fingerprints are equal or linked within the radius.
+
+    A fingerprint's nodes are paired with its least one, and linked fingerprints by their least ones.
+    """
+    least = stored(fps.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    end = lambda c: least.select(F.col("fp").alias(f"{c}_"), F.col("node").alias(c))
+    near = simhash.near_links(least.select("fp")).select(F.col("a").alias("a_"), F.col("b").alias("b_")).join(end("a"), "a_").join(end("b"), "b_")
+    equal = fps.join(least.select("fp", F.col("node").alias("least")), "fp").where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(equal)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts (node, t) have a similarity of 0.8 or more (shared shingles to all: 9 s >= 4 (a + b))."""
     pairs = stored(pairs.distinct(), "pairs")
@@ -188,10 +207,12 @@ def near_copies(docs: DataFrame, text: str, key: str, following: int = NEXT) ->
     # One text of each node: that of its smallest key.
     own = docs.select(F.col(f"`{key}`").alias("first"), F.col(f"`{text}`").alias("t"))
     texts = own.join(least, "first").select("node", "t")
-    keyed = stored(texts.mapInArrow(_keyed, "key bigint, node bigint, n int, fp bigint"), "keys")
+    marked = stored(texts.mapInArrow(_keyed, "node bigint, n int, fp bigint, keys array<bigint>"), "keys")
+    keyed = marked.select(F.explode("keys").alias("key"), "node", "n", "fp")
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > 1), "shared")
     ordered = lambda x: x.repartition("key").sortWithinPartitions("key", "node")
-    links = stored(verified(ordered(keyed.join(shared, "key", "left_semi")).mapInArrow(_first_pairs(following), "a bigint, b bigint"), texts), "links")
+    by_bands = ordered(keyed.join(shared, "key", "left_semi")).mapInArrow(_first_pairs(following), "a bigint, b bigint")
+    links = stored(verified(simhash_pairs(marked.select("node", "fp")).unionAll(by_bands), texts), "links")
     parts = stored(components(links), "parts")
     # Next ones and two middle nodes are all pairs of a key of three.
     large = shared.where(F.col("rows") > max(following, HUBS) + 1)

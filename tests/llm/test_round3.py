@@ -194,3 +194,23 @@ def test_segments_of_many_texts_are_few_rows(spark):
     kept = {r.doc_id: bytes(r.dedup.kept).decode() for r in suffixes.dedup(docs).collect()}
     assert kept == {i: x[3].decode() for (i, _), x in zip(rows, plain_dedup([t for _, t in rows], suffixes.LENGTH))}
     assert all(shared[10:-10] not in t for t in kept.values())
+
+
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """SimHash with its pivot tables brings copies together; the texts decide, and MinHash finds what is further apart."""
+    rng = np.random.default_rng(12)
+    base = [[f"w{x}" for x in rng.integers(0, 4000, 300)] for _ in range(12)]
+    lines = [" ".join(w) for w in base]
+    lines += [" ".join([*w[:150], f"new{i}", *w[151:]]) for i, w in enumerate(base)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "k bigint, t string")
+    fps = [copies.fingerprint(copies.shingles(copies._line(t.encode()))) for t in lines]
+    near = {i for i in range(12) if ((fps[i] ^ fps[12 + i]) & (2**64 - 1)).bit_count() <= 4}
+    assert len(near) >= 3
+    nodes = docs.select(F.col("k").alias("node"), "t")
+    marked = nodes.mapInArrow(copies._keyed, "node bigint, n int, fp bigint, keys array<bigint>")
+    pairs = {(r.a, r.b) for r in copies.verified(copies.simhash_pairs(marked.select("node", "fp")), nodes).collect()}
+    assert pairs == {(i, 12 + i) for i in near}
+    seen, plain = [], copies.simhash.near_links
+    monkeypatch.setattr(copies.simhash, "near_links", lambda rows, *a: (seen.append(rows.count()), plain(rows, *a))[1])
+    got = {r.k: r.component_id for r in copies.near_copies(docs, "t", "k").collect()}
+    assert got == {i: i % 12 for i in range(24)} and seen == [len(set(fps))]
