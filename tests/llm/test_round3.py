@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import copies, fim, manifest, pieces, queries, segments, suffixes
+from marketlens.llm import attention, copies, fim, manifest, pieces, queries, segments, suffixes
 from tests.llm.test_operators import plain_dedup
 
 TEXTS = [
@@ -214,3 +214,24 @@ def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(copies.simhash, "near_links", lambda rows, *a: (seen.append(rows.count()), plain(rows, *a))[1])
     got = {r.k: r.component_id for r in copies.near_copies(docs, "t", "k").collect()}
     assert got == {i: i % 12 for i in range(24)} and seen == [len(set(fps))]
+
+
+def test_attention_trains_one_vector():
+    """Adam over one vector of all weights gives what Adam of each array gives, and leaves the start alone."""
+    r = np.random.default_rng(3)
+    win, goal = attention.windows(r.integers(0, 8, 3000).astype(np.uint8), np.array([0, 1000, 3000]), 0)
+    start = attention.fresh(8, np.ones((8, 8)))
+    before = attention.pack(start)
+    got = attention.train(start, win, goal, 0.02, 16)
+    assert len({id(got[n].base) for n in attention.NAMES}) == 1 and got["q"].base.size == len(before) // 4 and attention.pack(start) == before
+    want = {n: x.copy() for n, x in start.items()}
+    first, second = ({n: np.zeros_like(x) for n, x in want.items()} for _ in range(2))
+    order, steps = np.random.default_rng(5).permutation(len(win)), -(-len(win) // 16)
+    for t in range(steps):
+        at = order[t * 16 : (t + 1) * 16]
+        _, g = attention.gradient(want, win[at], goal[at])
+        for n in attention.NAMES:
+            first[n] = 0.9 * first[n] + 0.1 * g[n]
+            second[n] = 0.99 * second[n] + 0.01 * g[n] ** 2
+            want[n] -= 0.02 * (1 - t / steps) * (first[n] / (1 - 0.9 ** (t + 1))) / (np.sqrt(second[n] / (1 - 0.99 ** (t + 1))) + 1e-8)
+    assert all(np.allclose(got[n], want[n], atol=1e-4) for n in attention.NAMES)
