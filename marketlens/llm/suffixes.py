@@ -6,7 +6,8 @@ Sorting every suffix of a corpus costs more than the corpus is worth here (the R
 arrays hold the suffixes that :mod:`segments` picks: any repeat of ``length`` bytes meets at one of them.  Equal texts
 are indexed once; a text that is there twice goes whole.  A batch of texts gives an array of (key, segment hash, places)
 rows: the places that a segment has in the texts that a task turns over at once are one row, so what stands in very
-many texts is counted, joined and shuffled as a few rows and dealt out to its texts at the end.  :class:`LevelFamily` keeps the keys of earlier batches, with their counts, as levels of geometrically growing
+many texts is counted, joined and shuffled as a few rows.  What a slice loses comes together again by slice, and each text
+gets its ranges merged in one row, not a row for every place.  :class:`LevelFamily` keeps the keys of earlier batches, with their counts, as levels of geometrically growing
 size: a new batch is matched against every level for keys met before, and two levels of equal rank merge into one of
 the next rank.  The number of batches follows the size of the texts.
 
@@ -54,11 +55,12 @@ def _named(docs: DataFrame, text: str) -> DataFrame:
 
 
 def suffix_arrays(texts: DataFrame, length: int, batches: int) -> DataFrame:
-    """(batch, key, seg, n, t1, t2, lo, hi, more) rows, each slice of a task's texts sorted by key.
+    """(batch, slice, key, seg, n, t1, t2, lo, hi, more) rows, each slice of a task's texts sorted by key.
 
     A row is all ``n`` places of a segment in the slice: the first one in columns, the others in ``more`` (null if none).
+    A slice is named by its first text.
     """
-    names = ["batch", "key", "seg", "n", *PLACE, "more"]
+    names = ["batch", "slice", "key", "seg", "n", *PLACE, "more"]
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(arrow, "t"):
@@ -76,10 +78,12 @@ def suffix_arrays(texts: DataFrame, length: int, batches: int) -> DataFrame:
             n = np.diff(np.append(first, len(own))).astype(np.int32)
             others = pa.StructArray.from_arrays([pa.array(c[~new]) for c in place], names=PLACE)
             more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n - 1)), pa.int32()), others, mask=pa.array(n == 1))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in (own, key, seg)), pa.array(n), *(pa.array(c[first]) for c in place), more], names=names)
+            name = np.full(len(first), part["t1"][0].as_py(), np.int64)
+            columns = [own[first], name, key[first], seg[first], n, *(c[first] for c in place)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), more], names=names)
 
     place = "t1:bigint, t2:int, lo:int, hi:int"
-    return texts.select("t", *TEXT).mapInArrow(run, f"batch int, key bigint, seg bigint, n int, {place.replace(':', ' ')}, more array<struct<{place}>>")
+    return texts.select("t", *TEXT).mapInArrow(run, f"batch int, slice bigint, key bigint, seg bigint, n int, {place.replace(':', ' ')}, more array<struct<{place}>>")
 
 
 class LevelFamily:
@@ -110,6 +114,30 @@ class LevelFamily:
         self.levels = []
 
 
+def _marked(length: int):
+    """Rows of places: for each text that they name, the byte ranges of its segments, merged."""
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            if not batch.num_rows:
+                continue
+            others = batch["more"].flatten()
+            t1, t2, lo, hi = (np.concatenate([batch[c].to_numpy(), others.field(c).to_numpy()]).astype(np.int64) for c in PLACE)
+            order = np.lexsort((lo, t2, t1))
+            t1, t2, a, b = t1[order], t2[order], lo[order], hi[order] + length
+            text = np.cumsum(np.append(0, (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])))
+            # The furthest end so far, texts apart.
+            upto = np.maximum.accumulate(text << 32 | b)
+            opens = np.flatnonzero(np.append(True, text[1:] << 32 | a[1:] > upto[:-1]))
+            ranges = a[opens] << 32 | upto[np.append(opens[1:] - 1, len(a) - 1)] & 0xFFFFFFFF
+            first = np.flatnonzero(np.append(True, text[opens[1:]] != text[opens[:-1]]))
+            at = opens[first]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(opens)), pa.int32()), pa.array(ranges))
+            yield pa.RecordBatch.from_arrays([pa.array(t1[at]), pa.array(t2[at].astype(np.int32)), lists], names=[*TEXT, "ranges"])
+
+    return run
+
+
 def _cut(length: int):
     """For each text, the bytes of the segments to compare."""
 
@@ -198,14 +226,17 @@ def _spread(length: int):
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, batches: int | None = None) -> DataFrame:
-    """(t1, t2, a, b): byte ranges to remove from each distinct text (they may overlap)."""
+    """(t1, t2, ranges): byte ranges to remove from each distinct text, in arrays of start << 32 | end.
+
+    They may overlap, and a text has more than one row where its ranges come from several slices of work.
+    """
     one = stored(texts.groupBy(*TEXT).agg(F.first("t").alias("t"), F.count("*").alias("copies")).where(F.octet_length("t") >= length), "texts")
     if batches is None:
         size = one.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0)).alias("n")).first().n
         batches = max(LEAST_BATCHES, min(MOST_BATCHES, -(-size // BATCH_SIZE)))
     rows = stored(suffix_arrays(one, length, batches), "suffixes", "batch")
     family = LevelFamily()
-    found = [family.add(rows.where(F.col("batch") == b).drop("batch")) for b in range(batches)]
+    found = [family.add(rows.where(F.col("batch") == b).select("key", "n")) for b in range(batches)]
     matched = found[0]
     for more in found[1:]:
         matched = matched.unionAll(more)
@@ -217,8 +248,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, batches: int | None = None)
     place = F.struct(*PLACE)
     kinds = stored(met.groupBy("key", "seg").agg(F.sum("n").alias("n"), F.min(place).alias("at")), "kinds")
     twice = met.join(kinds.where(F.col("n") > 1).select("key", "seg"), ["key", "seg"])
-    places = F.when(F.col("more").isNull(), F.array(place)).otherwise(F.concat(F.array(place), "more"))
-    whole = twice.select(F.inline(places)).select(*TEXT, F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    places = twice.select("slice", *PLACE, "more").repartition("slice").sortWithinPartitions("slice")
+    whole = places.drop("slice").mapInArrow(_marked(length), "t1 bigint, t2 int, ranges array<bigint>")
     several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1)
     open_ = kinds.join(several, "key").select("key", (F.col("kinds") > HOT).alias("hot"), (F.col("n") > 1).alias("full"), "at.*")
     asked = open_.groupBy(*TEXT).agg(F.collect_list(F.struct("key", "hot", "full", "lo", "hi")).alias("rows"))
@@ -228,7 +259,9 @@ def repeats(texts: DataFrame, length: int = LENGTH, batches: int | None = None)
     twice = spread.groupBy("key", "h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key", "h")
     hot = spread.where(~F.col("full")).join(twice, ["key", "h"]).select(*TEXT, F.col("p").alias("a"), (F.col("p") + length).alias("b"))
     copied = one.where(F.col("copies") > 1).select(*TEXT, F.lit(0).alias("a"), F.octet_length("t").alias("b"))
-    marks = stored(whole.unionAll(part).unionAll(hot).unionAll(copied), "marks")
+    packed = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
+    single = part.unionAll(hot).unionAll(copied).select(*TEXT, F.array(packed).alias("ranges"))
+    marks = stored(whole.unionAll(single), "marks")
     discard(met, kinds, cut, one)
     return marks
 
@@ -265,10 +298,9 @@ def _keep_udf(digest: bool):
 def dedup(docs: DataFrame, text: str = "text", out: str = "dedup", digest: bool = False, length: int = LENGTH, batches: int | None = None) -> DataFrame:
     """``docs`` with a struct column ``out``: n_bytes, n_removed, n_spans and the kept bytes (or their SHA-256)."""
     names = docs.columns
-    packed = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
     body = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != out]).alias("row"), F.col(f"`{text}`").alias("text_"))
     named = _named(body, "text_").drop("text_")
     marks = repeats(_named(docs.select(F.col(f"`{text}`").alias("x")), "x"), length, batches)
-    ranges = marks.groupBy(*TEXT).agg(F.collect_set(packed).alias("ranges"))
+    ranges = marks.groupBy(*TEXT).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     joined = named.join(ranges, TEXT, "left")
     return joined.select("row", _keep_udf(digest)("t", "ranges").alias(out)).select("row.*", out)

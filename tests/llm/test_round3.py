@@ -196,6 +196,27 @@ def test_segments_of_many_texts_are_few_rows(spark):
     assert all(shared[10:-10] not in t for t in kept.values())
 
 
+def test_a_common_passage_gives_a_row_for_each_text(spark):
+    """What every text shares leaves each of them in one row of merged ranges, so rows follow texts, not places."""
+    rng = np.random.default_rng(10)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    first, second = letters(1500), letters(900)
+    for n in (60, 240):
+        lines = [letters(120) + first + letters(30 + i % 7) + second + letters(90) for i in range(n)]
+        texts = suffixes._named(spark.createDataFrame([(t,) for t in lines], "text string").coalesce(2), "text")
+        got = suffixes.repeats(texts).collect()
+        # One row, and those of the segments at the four edges of the passages, which are compared window by window.
+        assert n <= len(got) <= 6 * n
+        names = {(r.t1, r.t2): r.text.encode() for r in texts.collect()}
+        lost: dict = {k: set() for k in names}
+        for r in got:
+            for x in r.ranges:
+                lost[r.t1, r.t2].update(range(x >> 32, x & 0xFFFFFFFF))
+        plain = plain_dedup(lines, suffixes.LENGTH)
+        kept = sorted(bytes(c for i, c in enumerate(t) if i not in lost[k]) for k, t in names.items())
+        assert kept == sorted(x[3] for x in plain)
+
+
 def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
     """SimHash with its pivot tables brings copies together; the texts decide, and MinHash finds what is further apart."""
     rng = np.random.default_rng(12)
