@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import attention, copies, fim, manifest, pieces, queries, segments, suffixes
+from marketlens.llm import attention, copies, fim, lm, manifest, pieces, queries, segments, suffixes
 from tests.llm.test_operators import plain_dedup
 
 TEXTS = [
@@ -256,3 +256,27 @@ def test_attention_trains_one_vector():
             second[n] = 0.99 * second[n] + 0.01 * g[n] ** 2
             want[n] -= 0.02 * (1 - t / steps) * (first[n] / (1 - 0.9 ** (t + 1))) / (np.sqrt(second[n] / (1 - 0.99 ** (t + 1))) + 1e-8)
     assert all(np.allclose(got[n], want[n], atol=1e-4) for n in attention.NAMES)
+
+
+def test_lm_looks_each_word_of_a_slice_up_once():
+    """Words are split and told apart in Arrow; what comes out is what the plain split gives, white space of all kinds included."""
+    lines = ["", " ", "a  b\t\nc ", "\x0bA\x0cB\r", "É Ü x İ", "\x1c\x85 z z", "a\x00b a A a", None, "b b b"]
+    plain = [lm.words_of((t or "").encode()) for t in lines]
+    words = sorted({w for ws in plain for w in ws})
+    asked: list[bytes] = []
+
+    class Spied(lm.Lexicon):
+        def codes(self, words):
+            asked.extend(words)
+            return super().codes(words)
+
+    for known in (words, words[::2], []):
+        lex = Spied(queries.vocabulary(), np.arange(lm.IDS) % 128, known, bytes(i % 128 for i in range(len(known))), np.arange(len(known)) / 7)
+        asked.clear()
+        got = lm._encoded(lex, pa.concat_arrays([pa.array(["cut off"]), pa.array(lines)])[1:])
+        assert sorted(asked) == words
+        for ws, r in zip(plain, got.to_pylist()):
+            codes = [int(c) for c in lm.Lexicon.codes(lex, ws)]
+            assert r["classes"] == bytes(c & 255 for c in codes) and r["n_tokens"] == len(ws)
+            assert r["rare"] == [w.decode() for w, c in zip(ws, codes) if c < 256] and r["n_known"] == sum(c >= 256 for c in codes)
+            assert abs(r["words"] - sum(lex.logs[c >> 8] for c in codes)) < 1e-9
