@@ -280,3 +280,68 @@ def test_lm_looks_each_word_of_a_slice_up_once():
             assert r["classes"] == bytes(c & 255 for c in codes) and r["n_tokens"] == len(ws)
             assert r["rare"] == [w.decode() for w, c in zip(ws, codes) if c < 256] and r["n_known"] == sum(c >= 256 for c in codes)
             assert abs(r["words"] - sum(lex.logs[c >> 8] for c in codes)) < 1e-9
+
+
+def test_attention_gradient_is_that_of_plain_softmax():
+    """The gradient equals one taken window by window in float64, at 128 classes, padding and frequent classes among them."""
+    r = np.random.default_rng(8)
+    start = attention.fresh(128, np.ones((128, 128)))
+    m = {n: x.astype(np.float64) for n, x in start.items()}
+    ids = np.where(r.random(900) < 0.3, 7, r.integers(0, 128, 900)).astype(np.uint8)
+    win, goal = attention.windows(ids, np.array([0, 3, 700, 701, 900]), 0)
+    loss, want = 0.0, {n: np.zeros_like(x) for n, x in m.items()}
+    n = (goal >= 0).sum()
+    for w, g in zip(win, goal):
+        for i in range(attention.BLOCK):
+            if g[i] < 0:
+                continue
+            seen, c = w[: attention.BLOCK + i + 1], w[attention.BLOCK + i]
+            q, k, v = m["q"][c] + m["pq"][i], m["k"][seen] + m["pk"][: len(seen)], m["v"][seen]
+            a = np.exp(k @ q) / np.exp(k @ q).sum()
+            p = np.exp(m["b"][c] + (a @ v) @ m["w"])
+            p /= p.sum()
+            loss -= np.log(p[g[i]]) / n
+            d = (p - (np.arange(128) == g[i])) / n
+            dh = m["w"] @ d
+            ds = a * (v @ dh - a @ v @ dh)
+            want["b"][c] += d
+            want["w"] += np.outer(a @ v, d)
+            want["q"][c] += ds @ k
+            want["pq"][i] += ds @ k
+            want["pk"][: len(seen)] += np.outer(ds, q)
+            np.add.at(want["k"], seen, np.outer(ds, q))
+            np.add.at(want["v"], seen, np.outer(a, dh))
+    for kind, least in ((np.float64, 1e-12), (np.float32, 1e-6)):
+        got_loss, got = attention.gradient({n: x.astype(kind) for n, x in start.items()}, win, goal)
+        assert abs(got_loss - loss) < 1e-5 and all(got[n].dtype == kind and np.allclose(got[n], want[n], atol=least) for n in attention.NAMES)
+
+
+def test_attention_sums_by_rank():
+    """Each class's rows are added by rank: as many additions as the most frequent class has rows."""
+    r = np.random.default_rng(2)
+    for at in (r.integers(0, 128, 768), np.zeros(768, np.int64), np.arange(128), np.array([5])):
+        at = at.astype(np.uint8)
+        rows = r.standard_normal((len(at), 3))
+        want = np.zeros((128, 3))
+        np.add.at(want, at, rows)
+        order, met, sizes = attention._ranks(at, 128)
+        assert sorted(order) == list(range(len(at))) and len(sizes) == np.bincount(at).max() and sizes == sorted(sizes, reverse=True)
+        assert np.allclose(attention._ranked_sums(met, sizes, rows[order], 128), want) and np.allclose(attention._sums(at, rows, 128), want)
+
+
+def test_lm_leading_subwords_of_many_words_at_once(monkeypatch):
+    """Looked up together, words get the subword that each gets alone; a slice's rare words take no call each."""
+    pieces = lm.Pieces(queries.vocabulary())
+    r = np.random.default_rng(6)
+    tokens = [*pieces.inner, *pieces.last]
+    words = [lm.END, b"x" * 500, "naïve日本".encode(), *tokens[::7], *(a + b for a, b in zip(tokens[::5], tokens[3::5])), *(t + b"\0" for t in tokens[::11]), *(t[:-1] for t in tokens[::13] if len(t) > 1)]
+    words += [bytes(r.choice(np.frombuffer(b"\0ae\xc3\xa9", np.uint8), n)) for n in r.integers(1, 13, 3000)]
+    words += [bytes(r.integers(0, 256, n).astype(np.uint8)) for n in r.integers(1, 13, 3000)]
+    assert pieces.firsts(words).tolist() == [pieces.first(w) for w in words] and len(pieces.firsts([])) == 0
+    asked: list[bytes] = []
+    plain = lm.Pieces.first
+    monkeypatch.setattr(lm.Pieces, "first", lambda self, w: (asked.append(w), plain(self, w))[1])
+    rare = ["".join(x) for x in r.choice(["tre", "ion", "qua", "ser", "ing"], (2000, 4))]
+    lex = lm.Lexicon(queries.vocabulary(), np.arange(lm.IDS) % 128, [], b"", np.empty(0))
+    assert lm._encoded(lex, pa.array([" ".join(rare)])).to_pylist()[0]["n_tokens"] == 2001
+    assert len(asked) < 0.2 * len(set(rare))
