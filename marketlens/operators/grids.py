@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from marketlens.functions.cells import once
 from marketlens.operators import placing
-from marketlens.operators.ranks import middles
+from marketlens.operators.ranks import middles, with_middles
 from marketlens.operators.recognition import colour_distance, header_roles, header_row
 from marketlens.operators.rounds import settled
 
@@ -96,10 +96,15 @@ def fused_cuts(tokens: DataFrame) -> DataFrame:
     gaps = tokens.where("col is not null").withColumns({"gap": F.col("x0") - before, "at": before + (F.col("x0") - before) / 2})
     votes = settled(gaps.groupBy("grid", "col", "row").agg(F.min("x0").alias("c0"), F.max("x1").alias("c1"), F.max_by("at", F.struct("gap", -F.col("x0"))).alias("at")))
     whole = votes.groupBy("grid", "col").agg(F.count("*").alias("n_rows"), F.count("at").alias("votes"), (F.max("at") - F.min("at")).alias("spread"), (F.max("c1") - F.min("c0")).alias("width"))
-    able = whole.where((F.col("votes") >= FUSED_ROWS) & (F.col("votes") >= FUSED_SHARE * F.col("n_rows")) & (F.col("spread") <= FUSED_SPREAD * F.col("width")))
+    able = whole.where(_is_fused())
     return able.join(middles(votes, ["grid", "col"], "at").select("grid", "col", F.col("upper").alias("cut")), ["grid", "col"]).select("grid", "col", "cut")
 
 
+def _is_fused() -> Column:
+    """Whether the votes of a column (n_rows, votes, spread, width) make it two."""
+    return (F.col("votes") >= FUSED_ROWS) & (F.col("votes") >= FUSED_SHARE * F.col("n_rows")) & (F.col("spread") <= FUSED_SPREAD * F.col("width"))
+
+
 def split_fused(tokens: DataFrame) -> DataFrame:
     """``tokens`` (see :func:`token_columns`) with fused columns split at their cut and all columns numbered anew."""
     cut = tokens.join(fused_cuts(tokens), ["grid", "col"], "left")
@@ -115,6 +120,32 @@ def cells(tokens: DataFrame) -> DataFrame:
     return tokens.where("col is not null").groupBy("grid", "col", "row").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_join(texts, " ").alias("text"), F.count("*").alias("n_tokens"))
 
 
+def split_cells(tokens: DataFrame, small: bool) -> DataFrame:
+    """The :func:`cells` of ``tokens`` (see :func:`token_columns`) after :func:`split_fused`, from tokens dealt once by cell.
+
+    Only cells of several tokens vote on a cut or are gathered, and only grids with a cut are numbered anew.  ``small`` says
+    that no grid has more than ``ranks.SMALL`` tokens.
+    """
+    along = W.partitionBy("grid", "col", "row").orderBy("x0", "x1")  # tokens of one cell
+    given = tokens.where("col is not null").withColumns({"nth": F.row_number().over(along), "n": F.count("*").over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "before": F.lag("x1").over(along)})
+    met = settled(given)
+    gaps = met.where("nth > 1").withColumns({"gap": F.col("x0") - F.col("before"), "at": F.col("before") + (F.col("x0") - F.col("before")) / 2})
+    votes = gaps.groupBy("grid", "col", "row").agg(F.max_by("at", F.struct("gap", -F.col("x0"))).alias("at"))
+    wide = met.groupBy("grid", "col").agg(F.count_if(F.col("nth") == 1).alias("n_rows"), (F.max("x1") - F.min("x0")).alias("width"), (F.max("n") > 1).alias("several")).where("several")
+    votes = settled(with_middles(votes, ["grid", "col"], "at", small))
+    cast = votes.groupBy("grid", "col").agg(F.count("at").alias("votes"), (F.max("at") - F.min("at")).alias("spread"), F.max("upper").alias("cut"))
+    cuts = settled(cast.join(wide, ["grid", "col"]).where(_is_fused()).select("grid", "col", "cut"))
+    side = F.coalesce((F.col("x0") + F.col("x1")) / 2 >= F.col("cut"), F.lit(False))
+    sides = met.join(cuts.select("grid").distinct(), "grid", "left_semi").join(cuts, ["grid", "col"], "left").withColumn("side", side.cast("int"))
+    spans = sides.groupBy("grid", "col", "side").agg(F.min("x0").alias("c0"), F.max("x1").alias("c1"), F.max("cut").alias("cut"))
+    number = F.row_number().over(W.partitionBy("grid").orderBy("c0", "c1", "col", "side")) - 1  # columns of a page
+    # A row per column of a grid with a cut: its number, and the one of what stands right of its cut.
+    new = spans.withColumn("number", number).groupBy("grid", "col").agg(F.max("cut").alias("cut"), *[F.max(F.when(F.col("side") == i, F.col("number"))).alias(name) for i, name in enumerate(("left_", "right_"))])
+    placed = met.join(new, ["grid", "col"], "left").withColumn("col", F.coalesce(F.when(side, F.col("right_")).otherwise(F.col("left_")), F.col("col")))
+    alone = placed.where("n = 1").select("grid", "col", "row", "x0", "x1", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).cast("bigint").alias("n_tokens"))
+    return alone.unionByName(cells(placed.where("n > 1")))
+
+
 def columns_of(tokens: DataFrame) -> DataFrame:
     """(grid, col, c0, c1): the spans of the columns."""
     return tokens.where("col is not null").groupBy("grid", "col").agg(F.min("x0").alias("c0"), F.max("x1").alias("c1"))

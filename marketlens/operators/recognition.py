@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from marketlens.functions import cells as cells_
 from marketlens.functions.vocab import HEADER_VOCABULARY, label_key
 from marketlens.operators import placing
-from marketlens.operators.ranks import medians, middles
+from marketlens.operators.ranks import medians, middles, with_median
+from marketlens.operators.rounds import settled
 
 # Score floors, margins and the label pairs that need a wider one.
 MIN_SCORE, MIN_MARGIN, PAIR_MARGIN = 0.35, 0.02, 0.05
@@ -359,9 +360,15 @@ COLOURS_APART = 42
 
 def _sampled(cells: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
     """Evenly spread rows of each group, ``most`` at most (each step-th, as the reference samples)."""
-    w = W.partitionBy(*by)  # cells of one column of a grid
-    placed = cells.withColumn("at_", F.row_number().over(w.orderBy(order)) - 1).withColumn("step_", F.greatest(F.lit(1), F.floor(F.count("*").over(w) / most)))
-    return placed.where((F.col("at_") % F.col("step_") == 0) & (F.col("at_") / F.col("step_") < most)).drop("at_", "step_")
+    w = W.partitionBy(*by).orderBy(order)  # cells of one column of a grid
+    placed = cells.withColumns({"at_": F.row_number().over(w) - 1, "n_cells": F.count("*").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    return placed.where(_taken(most)).drop("at_", "n_cells")
+
+
+def _taken(most: int) -> Column:
+    """Whether a row (its place ``at_`` of ``n_cells``) is one of ``most`` evenly spread ones."""
+    step = F.greatest(F.lit(1), F.floor(F.col("n_cells") / most))
+    return (F.col("at_") % step == 0) & (F.col("at_") / step < most)
 
 
 def numeric_columns(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -379,11 +386,18 @@ def status_columns(cells: DataFrame, rows: DataFrame, header: DataFrame | None =
     """
     by = ["grid", "col"]
     named = (header if header is not None else cells.select(*by).where("false")).select(*by).distinct().withColumn("named", F.lit(True))
-    enough = cells.groupBy(*by).agg(F.count("*").alias("n_cells")).where("n_cells >= 2").join(named, by, "left").join(numeric_columns(cells, by), by)
-    able = enough.where(F.col("named").isNotNull() | ~F.col("numeric"))
+    # Both samples come from one numbering of a column's cells.
+    along = W.partitionBy(*by).orderBy("cell")  # cells of one column of a grid
+    placed = cells.withColumns({"at_": F.row_number().over(along) - 1, "n_cells": F.count("*").over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))}).where("n_cells >= 2")
+    looked, voted = _taken(NUMERIC_CELLS), _taken(STATUS_CELLS)
     good = (F.col("score") >= VOTE_SCORE) & (F.col("shape") >= VOTE_SHAPE) & (F.col("margin") >= required_margin(F.col("top"), F.col("second")))
-    g = _sampled(cells, by, "cell", STATUS_CELLS).groupBy(*by).agg(F.avg(good.cast("int")).alias("resolved"), F.coalesce(F.avg(F.when(good, F.col("score"))), F.lit(0.0)).alias("mean"))
-    full = able.join(g, by).join(rows, "grid").withColumn("coverage", F.least(F.lit(1.0), F.col("n_cells") / F.col("n_rows")))
+    taken = placed.withColumns({"looked_": looked, "voted_": voted}).where("looked_ or voted_").withColumn("good_", F.when(F.col("voted_"), good))
+    g = taken.groupBy(*by).agg(
+        F.max("n_cells").alias("n_cells"), F.count_if("looked_").alias("looked"), F.avg(F.when(F.col("looked_"), F.col("digits").cast("int"))).alias("share"),
+        F.avg(F.when(F.col("voted_"), F.col("good_").cast("int"))).alias("resolved"), F.coalesce(F.avg(F.when(F.col("good_"), F.col("score"))), F.lit(0.0)).alias("mean"),
+    )
+    able = g.join(named, by, "left").where(F.col("named").isNotNull() | ~((F.col("looked") >= 2) & (F.col("share") >= NUMERIC_SHARE))).drop("looked", "share")
+    full = able.join(rows, "grid").withColumn("coverage", F.least(F.lit(1.0), F.col("n_cells") / F.col("n_rows")))
     total = STATUS_RESOLVED * F.col("resolved") + STATUS_MEAN * F.col("mean") + STATUS_COVERAGE * F.col("coverage") + F.when(F.col("named"), STATUS_HEADER).otherwise(0.0)
     full = full.withColumn("total", F.round(total, 9))
     best = full.groupBy("grid").agg(F.min_by("col", F.struct(F.col("named").isNull(), -F.col("total"), "col")).alias("best"))  # columns of a grid
@@ -449,7 +463,7 @@ def kept_bands(bands: DataFrame) -> DataFrame:
     return bands.withColumn("kept", F.when(F.col("has_status"), "row").when(evidence, "row without status").otherwise("not a listing"))
 
 
-def assign_roles(cells: DataFrame, header: DataFrame | None = None) -> DataFrame:
+def assign_roles(cells: DataFrame, header: DataFrame | None = None, small: bool = False) -> DataFrame:
     """Which columns of each grid hold list, original and sold price and concessions.
 
     ``cells`` are (grid, col, x0, kind "money" or "integer", row, value, closed), a row per column and row of the grid;
@@ -458,14 +472,17 @@ def assign_roles(cells: DataFrame, header: DataFrame | None = None) -> DataFrame
     integer column that is filled on closed rows only; then the checks that can overturn this: list and original the
     wrong way round, sold prices in another market than list prices, concessions too large.
     Gives grid, list, orig, sold, conc, sold_method, list_method, problems, confidence, and problem_kinds: which of
-    ``none_sold``, ``apart`` and ``large`` the problems are.
+    ``none_sold``, ``apart`` and ``large`` the problems are.  ``small`` says that no column has more than ``ranks.SMALL`` rows.
     """
     filled, closed = F.col("value").isNotNull(), F.col("closed")
-    middle = medians(cells, ["grid", "col"], "value").select("grid", "col", "median")
-    stats = cells.groupBy("grid", "col").agg(
+    met = with_median(cells, ["grid", "col"], "value", small) if small else cells
+    median = [F.max("median").alias("median")] if small else []
+    stats = met.groupBy("grid", "col").agg(
         F.min("x0").alias("x0"), F.min("kind").alias("kind"), F.count("*").alias("n"), F.count("value").alias("filled"), F.count_if(filled == closed).alias("agree"), F.count_if(~filled & ~closed).alias("blank"),
-        F.sum(F.when(filled & ~closed, -2).when(filled, 1).otherwise(0)).alias("weighted"), F.count_if(closed).alias("n_closed"),
-    ).join(middle, ["grid", "col"], "left")
+        F.sum(F.when(filled & ~closed, -2).when(filled, 1).otherwise(0)).alias("weighted"), F.count_if(closed).alias("n_closed"), *median,
+    )
+    if not small:
+        stats = stats.join(medians(cells, ["grid", "col"], "value").select("grid", "col", "median"), ["grid", "col"], "left")
     entry = F.struct("x0", "col", "kind", "n", "filled", "agree", "blank", "weighted", "n_closed", "median")
     grids = stats.groupBy("grid").agg(F.array_sort(F.collect_list(entry)).alias("cols"))  # columns of a grid
     roles = ["list", "orig", "sold", "conc"]
@@ -495,6 +512,7 @@ def assign_roles(cells: DataFrame, header: DataFrame | None = None) -> DataFrame
     g = g.withColumn("price", price)
     small = F.filter("cols", lambda x: (x["kind"] == "integer") & (x["filled"] >= 2) & ~dense(x) & (x["blank"] >= FILL_BLANKS) & (x["weighted"] > 0) & other(x, "list", "orig", "sold") & F.coalesce(x["median"].between(F.col("price") * CONC_LOW, F.col("price") * CONC_HIGH), F.lit(True)))
     g = g.withColumn("conc", F.coalesce("conc", F.array_min(F.transform(small, lambda x: F.struct((-x["weighted"]).alias("minus"), x["x0"].alias("x0"), x["col"].alias("col"))))["col"]))
+    g = settled(g)  # a row per grid
     pair = cells.join(g.select("grid", "list", "orig"), "grid").where(F.col("col").isin(F.col("list"), F.col("orig")))
     met = pair.groupBy("grid", "row").agg(F.max(F.when(F.col("col") == F.col("list"), F.col("value"))).alias("a"), F.max(F.when(F.col("col") == F.col("orig"), F.col("value"))).alias("b"))
     swap = met.groupBy("grid").agg(((F.count_if(F.col("a") != F.col("b")) >= 3) & (F.count_if(F.col("a") > F.col("b")) > SWAP_SHARE * F.count_if(F.col("a") != F.col("b")))).alias("swap"))

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import cells
-from marketlens.operators import glyphs, grids, recognition
+from marketlens.operators import glyphs, grids, ranks, recognition
 from marketlens.operators.rounds import settled
 from marketlens.plans import catalogue, layers
+from marketlens.sources import pages
 
 
 @pytest.mark.parametrize("most", [grids.PAGE_PAIRS, 6, 0])
@@ -92,3 +93,38 @@ def test_settled_tables_are_columns(spark):
     df = settled(spark.range(1000).select("id", F.lit("the same text in every row").alias("t"), F.array("id").alias("a")))
     assert {r.id for r in df.select("id").collect()} == set(range(1000)) and df.schema.names == ["id", "t", "a"]
     assert "ReadSchema: struct<id:bigint>" in df.select("id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_page_is_read_in_few_passes(spark, monkeypatch):
+    """Listings ask for no counts or notices; prices are read once a cell, and no sketch is made of pages that one sort holds."""
+    made, plain = [], pages.settled
+    monkeypatch.setattr(pages, "settled", lambda df: made.append(df) or plain(df))
+    made_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    tokens = [(g, r, x, x + 7 * len(t), t) for g in (1, 2) for r in range(6) for x, t in ((0, str(r + 1)), (60, ("ACTV", "CLSD")[r % 2]), (150, f"0000000{r}"), (250, f"${200 + r},000"))]
+    got = pages.read_pages(spark.createDataFrame(tokens, "grid int, row int, x0 int, x1 int, text string"))
+    plans = [made_of(df) for df in made]
+    assert got.listings.where("list_price is not null and status is not null").count() == 12
+    assert sum("try_cast" in p.lower() or "decimal(38,2)" in p.lower() for p in plans) == 1 and not any("percentile_approx" in p or "approx_percentile" in p for p in plans)
+    n = len(made)
+    assert got.counts.count() == 2 and len(made) == n + 1 and got.notices.count() > 0 and len(made) == n + 2
+
+
+def test_pages_of_any_size_are_read_alike(spark, monkeypatch):
+    """Pages that are too large for one sort are read by sketches, with the same result."""
+    r = random.Random(3)
+    tokens = [(g, row, x, x + 7 * len(t), t) for g in range(3) for row in range(20) for x, t in ((0, str(row + 1)), (60, r.choice(["ACTV", "CLSD"])), (150, f"{row:08}"), (250, f"${r.randrange(100, 999)},000"), (350, r.choice(["", f"${r.randrange(100, 999)},000"]))) if t]
+    tokens += [(g, 20 + g, 66, 200, "Northwestern Avenue") for g in range(2)] + [(g, row, 30, 37, "x") for g in range(2) for row in (3, 9)]
+    df = spark.createDataFrame(tokens, "grid int, row int, x0 int, x1 int, text string")
+    whole = [tuple(sorted(map(str, part.collect()))) for x in [pages.read_pages(df)] for part in (x.listings, x.cells, x.roles, x.notices, x.counts)]
+    monkeypatch.setattr(ranks, "SMALL", 10)
+    assert not ranks.is_small(df, ["grid"])
+    assert [tuple(sorted(map(str, part.collect()))) for x in [pages.read_pages(df)] for part in (x.listings, x.cells, x.roles, x.notices, x.counts)] == whole
+    plain = grids.cells(grids.split_fused(grids.token_columns(df)))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, grids.split_cells(grids.token_columns(df), True).collect()))
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_middles_beside_their_rows(spark, small):
+    rows = [(g, v) for g, vs in {1: [5, 1, None, 9], 2: [4, 2, 2, 8], 3: [None], 4: [7]}.items() for v in vs]
+    got = ranks.with_middles(spark.createDataFrame(rows, "g int, v int"), ["g"], "v", small).collect()
+    assert {(r.g, r.lower, r.upper) for r in got} == {(1, 5, 5), (2, 2, 4), (3, None, None), (4, 7, 7)} and len(got) == len(rows)
