@@ -371,12 +371,6 @@ def _taken(most: int) -> Column:
     return (F.col("at_") % step == 0) & (F.col("at_") / step < most)
 
 
-def numeric_columns(cells: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., numeric): whether most of a few sampled cells (cell, digits: all glyphs are digits) are numbers."""
-    g = _sampled(cells, by, "cell", NUMERIC_CELLS).groupBy(*by).agg(F.count("*").alias("looked"), F.avg(F.col("digits").cast("int")).alias("share"))
-    return g.select(*by, ((F.col("looked") >= 2) & (F.col("share") >= NUMERIC_SHARE)).alias("numeric"))
-
-
 def status_columns(cells: DataFrame, rows: DataFrame, header: DataFrame | None = None) -> DataFrame:
     """(grid, col, resolved, mean, coverage, score, chosen): candidates for the status column, and the one taken.
 
